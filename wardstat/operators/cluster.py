@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardstat.functions.labels import age_bins
 from wardstat.operators.prevalence import group_profile
+from wardstat.session import materialize
 from wardstat.sources.tables import FLAGS
 
 _FEATURES = "_features"
@@ -48,7 +49,8 @@ def kmeans_profiles(
 ) -> tuple[KMeansModel, DataFrame]:
     """Cluster the mean flag profile of every age group, or age group and gender."""
     keys = ["age_group", *(["gender"] if by_gender else [])]
-    return _fit(group_profile(df, keys, flags), flags, k, seed)
+    # A handful of rows: computed once, then read by every step of the fit.
+    return _fit(materialize(group_profile(df, keys, flags)), flags, k, seed)
 
 
 def cluster_profile(

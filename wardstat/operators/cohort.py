@@ -20,18 +20,27 @@ def first_event(df: DataFrame, key: str = "subject_id", time: str = "intime") ->
     The minimum is combined on the map side and the rows are matched on ``(key, time)``, so a
     key with very many events is spread over its event times rather than sorted in one task.
     """
-    earliest = df.groupBy(key).agg(F.min(time).alias(time))
-    return df.join(earliest, [key, time], "left_semi")
+    return df.join(earliest(df, key, time), [key, time], "left_semi")
+
+
+def earliest(df: DataFrame, key: str = "subject_id", time: str = "intime") -> DataFrame:
+    """The earliest non-NULL ``time`` of every ``key``."""
+    return df.where(F.col(time).isNotNull()).groupBy(key).agg(F.min(time).alias(time))
 
 
 def unique_patients(
     tables: ClinicalTables, min_age: int | None = 16, max_age: int | None = None
 ) -> DataFrame:
-    """First stay of every subject inside the age window, with demographics."""
-    stays = first_event(tables.icustays.select("subject_id", "hadm_id", "icustay_id", "intime", "outtime"))
+    """First stay of every subject inside the age window, with demographics.
+
+    The age needs the first time and the birth date only, so subjects are selected before the
+    stays are joined; the grouped minimum is already partitioned for the join to the subjects.
+    """
+    stays = tables.icustays.select("subject_id", "hadm_id", "icustay_id", "intime", "outtime")
     people = tables.patients.select("subject_id", "dob", "gender")
-    aged = stays.join(people, "subject_id").withColumn("age_at_admission", calendar_age("intime", "dob"))
-    return aged.where(age_window("age_at_admission", min_age, max_age)).select(
+    aged = earliest(stays).join(people, "subject_id").withColumn("age_at_admission", calendar_age("intime", "dob"))
+    selected = aged.where(age_window("age_at_admission", min_age, max_age))
+    return selected.join(stays, ["subject_id", "intime"]).select(
         "subject_id", "dob", "gender", "hadm_id", "icustay_id", "intime", "outtime", "age_at_admission"
     )
 

@@ -15,7 +15,7 @@ from pyspark.storagelevel import StorageLevel
 
 from wardstat.functions.labels import recode
 from wardstat.operators.cohort import complete_cases
-from wardstat.operators.passes import batch_matrix, summed_arrays
+from wardstat.operators.passes import column, matrix, summed_arrays
 from wardstat.session import materialize
 from wardstat.sources.tables import FLAGS
 
@@ -40,12 +40,14 @@ class Coding:
     def starts(self) -> np.ndarray:
         return np.cumsum([0] + [len(lv) for lv in self.levels])
 
-    def codes(self) -> list[Column]:
-        """Level number of each variable; NULL for a value the model has not seen."""
-        return [
-            recode(v, {level: i for i, level in enumerate(lv)}).cast("int").alias(f"_c{j}")
-            for j, (v, lv) in enumerate(zip(self.variables, self.levels))
-        ]
+    def codes(self) -> Column:
+        """Level number of each variable in one array; NULL for a value the model has not seen."""
+        return F.array(
+            *[
+                recode(v, {level: i for i, level in enumerate(lv)}).cast("int")
+                for v, lv in zip(self.variables, self.levels)
+            ]
+        )
 
     def free_parameters(self, n_classes: int) -> int:
         return n_classes * sum(k - 1 for k in self.outcomes) + n_classes - 1
@@ -99,14 +101,17 @@ class LatentClassModel:
         log_probs, log_shares, starts = _logs(self.probs), _logs(self.shares), self.coding.starts
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def probabilities(codes: pd.DataFrame) -> pd.Series:
-            known = np.flatnonzero(codes.notna().all(axis=1))
-            filled = codes.iloc[known].to_numpy().astype(int)
-            post = _posterior(_one_hot(filled, starts) @ log_probs + log_shares)[0]
+        def probabilities(codes: pd.Series) -> pd.Series:
+            known = np.flatnonzero(codes.notna())
+            if len(known) == 0:
+                return pd.Series([None] * len(codes), dtype=object)
+            post = _posterior(_one_hot(np.stack(codes.iloc[known]), starts) @ log_probs + log_shares)[0]
             found = pd.Series(list(post), index=known, dtype=object).reindex(range(len(codes)))
             return found.where(found.notna(), None)
 
-        scored = df.withColumn(posterior, probabilities(F.struct(*self.coding.codes())))
+        codes = self.coding.codes()
+        complete = F.when(~F.exists(codes, F.isnull), codes)
+        scored = df.withColumn(posterior, probabilities(complete))
         best = F.array_position(F.col(posterior), F.array_max(posterior)).cast("int")
         return scored.withColumn(column, best)
 
@@ -141,8 +146,9 @@ class Patterns:
         usable = complete_cases(df.select(*variables), variables)
         raw = materialize(usable.groupBy(*variables).agg(F.count(F.lit(1)).alias("_w")))
         self.coding = _coding(raw, list(variables), max_levels)
-        coded = raw.select(*self.coding.codes(), F.col("_w").cast("double").alias("_w"))
+        coded = raw.select(self.coding.codes().alias("_codes"), F.col("_w").cast("double").alias("_w"))
         self.rows = coded.persist(StorageLevel.MEMORY_AND_DISK)
+        self.partitions = self.rows.rdd.getNumPartitions()
         self.n_rows = int(self.rows.agg(F.sum("_w")).first()[0] or 0)
         if self.n_rows == 0:
             raise ValueError("no complete row to fit a class model to")
@@ -174,7 +180,9 @@ def _coding(raw: DataFrame, variables: list[str], max_levels: int) -> Coding:
 
 
 @dataclass
-class _Restart:
+class _Run:
+    """One random start for one number of classes."""
+
     shares: np.ndarray
     probs: np.ndarray
     log_likelihood: float = -np.inf
@@ -182,23 +190,22 @@ class _Restart:
     converged: bool = False
 
 
-def _random_start(coding: Coding, n_classes: int, rng: np.random.Generator) -> _Restart:
+def _random_start(coding: Coding, n_classes: int, rng: np.random.Generator) -> _Run:
     blocks = []
     for lv in coding.levels:
         draw = rng.uniform(size=(len(lv), n_classes))
         blocks.append(draw / draw.sum(axis=0))
-    return _Restart(np.full(n_classes, 1.0 / n_classes), np.concatenate(blocks))
+    return _Run(np.full(n_classes, 1.0 / n_classes), np.concatenate(blocks))
 
 
 def _em_pass(patterns: Patterns, params: dict[int, tuple]) -> dict[int, tuple]:
     """One pass for every parameter set: its log-likelihood and its EM update."""
     starts = patterns.coding.starts
-    names = [f"_c{j}" for j in range(len(patterns.coding.variables))]
     logs = {i: (_logs(shares), _logs(probs)) for i, (shares, probs) in params.items()}
 
     def work(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
-        hot = _one_hot(batch_matrix(batch, names, int), starts)
-        weight = batch_matrix(batch, ["_w"], float)[:, 0]
+        hot = _one_hot(matrix(batch, "_codes"), starts)
+        weight = column(batch, "_w")
         out = {}
         for i, (log_shares, log_probs) in logs.items():
             post, marginal = _posterior(hot @ log_probs + log_shares)
@@ -206,7 +213,7 @@ def _em_pass(patterns: Patterns, params: dict[int, tuple]) -> dict[int, tuple]:
         return out
 
     updated = {}
-    for i, sums in summed_arrays(patterns.rows, work).items():
+    for i, sums in summed_arrays(patterns.rows, patterns.partitions, work).items():
         shares, probs = params[i]
         counts = sums[1:].reshape(probs.shape)
         mass = counts[starts[0] : starts[1]].sum(axis=0)  # every row answers the first variable once
@@ -233,22 +240,26 @@ def _valid(shares: np.ndarray, probs: np.ndarray, starts: np.ndarray) -> tuple[n
 
 def fit_patterns(
     patterns: Patterns,
-    n_classes: int,
+    class_range: Iterable[int],
     max_iter: int = 7000,
     tol: float = 1e-5,
     n_rep: int = 5,
     seed: int = 1,
     accelerate: bool = True,
-) -> LatentClassModel:
-    """Best of ``n_rep`` random starts. All starts advance in the same pass over the patterns.
+) -> list[LatentClassModel]:
+    """For every number of classes the best of ``n_rep`` random starts.
+
+    All starts of all models advance in the same pass over the patterns, so the number of passes
+    is that of the slowest one and not their sum.
 
     A start stops when a step gains no more than ``tol``. With ``accelerate`` every two EM steps
     are followed by an extrapolated one, which is kept only if its likelihood is not lower, so
     the likelihood never falls either way.
     """
     rng = np.random.default_rng(seed)
-    runs = [_random_start(patterns.coding, n_classes, rng) for _ in range(n_rep)]
-    active = list(range(n_rep))
+    sizes = list(class_range)
+    runs = [_random_start(patterns.coding, k, rng) for k in sizes for _ in range(n_rep)]
+    active = list(range(len(runs)))
     starts = patterns.coding.starts
 
     def advance(points: dict[int, tuple]) -> dict[int, tuple]:
@@ -288,6 +299,10 @@ def fit_patterns(
             runs[i].log_likelihood = landed[i][0] if better else second[i][0]
             _, runs[i].shares, runs[i].probs = landed[i] if better else second[i]
 
+    return [_best_model(patterns, runs[m * n_rep : (m + 1) * n_rep]) for m in range(len(sizes))]
+
+
+def _best_model(patterns: Patterns, runs: list[_Run]) -> LatentClassModel:
     best = max(runs, key=lambda run: run.log_likelihood)
     order = np.argsort(-best.shares, kind="stable")
     return LatentClassModel(
@@ -314,7 +329,7 @@ def lca_fit(
     """Fit one class model to the complete rows of ``df``."""
     patterns = Patterns(df, variables)
     try:
-        return fit_patterns(patterns, n_classes, max_iter, tol, n_rep, seed, accelerate)
+        return fit_patterns(patterns, [n_classes], max_iter, tol, n_rep, seed, accelerate)[0]
     finally:
         patterns.release()
 
@@ -363,9 +378,9 @@ class Selection:
 def lca_select(
     df: DataFrame, class_range: Iterable[int], variables: Sequence[str] = MANIFEST, **options
 ) -> Selection:
-    """Fit one model per class number on the same collapsed patterns and compare them."""
+    """Fit one model per number of classes, all in the same passes, and compare them."""
     patterns = Patterns(df, variables)
     try:
-        return Selection([fit_patterns(patterns, k, **options) for k in class_range])
+        return Selection(fit_patterns(patterns, class_range, **options))
     finally:
         patterns.release()

@@ -17,13 +17,20 @@ _PARTIAL = "slot int, sums array<double>"
 _DIRECT_PARTITIONS = 64
 
 
-def batch_matrix(batch: pa.RecordBatch, names: list[str], dtype: type) -> np.ndarray:
-    """The named columns of an Arrow batch as one row-major matrix."""
-    columns = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
-    return np.column_stack(columns).astype(dtype, copy=False)
+def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A scalar column of an Arrow batch."""
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def summed_arrays(df: DataFrame, work: Callable[[pa.RecordBatch], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """An array column of equally long, complete arrays as one row-major matrix."""
+    arrays = batch.column(batch.schema.get_field_index(name))
+    return arrays.flatten().to_numpy(zero_copy_only=False).reshape(len(arrays), -1)
+
+
+def summed_arrays(
+    df: DataFrame, partitions: int, work: Callable[[pa.RecordBatch], dict[int, np.ndarray]]
+) -> dict[int, np.ndarray]:
     """Apply ``work`` to every Arrow batch and sum its arrays per slot over the whole table.
 
     A task adds its batches up before it emits one row per slot, so what leaves a task depends
@@ -45,7 +52,7 @@ def summed_arrays(df: DataFrame, work: Callable[[pa.RecordBatch], dict[int, np.n
             )
 
     partial = df.mapInArrow(task, _PARTIAL)
-    if df.rdd.getNumPartitions() > _DIRECT_PARTITIONS:
+    if partitions > _DIRECT_PARTITIONS:
         merged = partial.groupBy("slot").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
         partial = merged.select("slot", vector_to_array(F.col("sums")).alias("sums"))
     result: dict[int, np.ndarray] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from wardstat.operators.passes import batch_matrix, summed_arrays
+from wardstat.operators.passes import column, matrix, summed_arrays
 from wardstat.operators.roc import auc_score, roc_points
 from wardstat.session import materialize, small_side
 
@@ -63,11 +63,10 @@ def out_of_fold_counts(
 
     Returns (class, threshold, pos, neg), ready for :mod:`wardstat.operators.roc`.
     """
-    names = [f"_x{i}" for i in range(len(features))]
     collapsed = (
         df.na.drop(subset=[*features, class_col, fold_col])
         .groupBy(
-            *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)],
+            F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
             F.col(class_col).alias("_class"),
             F.col(fold_col).alias("_fold"),
         )
@@ -76,14 +75,15 @@ def out_of_fold_counts(
     rows = materialize(collapsed).persist(StorageLevel.MEMORY_AND_DISK)
     classes = sorted(r[0] for r in rows.select("_class").distinct().collect())
     folds = sorted(r[0] for r in rows.select("_fold").distinct().collect())
-    fits = _newton(rows, names, classes, folds, inverse_penalty, max_iter, tol)
-    scored = materialize(_held_out(rows, names, classes, folds, fits, class_col))
+    fits = _newton(rows, len(features), classes, folds, inverse_penalty, max_iter, tol)
+    scored = materialize(_held_out(rows, classes, folds, fits, class_col))
     rows.unpersist()
     return scored
 
 
-def _newton(rows, names, classes, folds, inverse_penalty, max_iter, tol) -> np.ndarray:
-    width = len(names) + 1
+def _newton(rows, n_features, classes, folds, inverse_penalty, max_iter, tol) -> np.ndarray:
+    width = n_features + 1
+    partitions = rows.rdd.getNumPartitions()
     slots = [(c, f) for c in classes for f in folds]
     beta = np.zeros((len(slots), width))
     ridge = np.full(width, 1.0 / inverse_penalty)
@@ -93,7 +93,7 @@ def _newton(rows, names, classes, folds, inverse_penalty, max_iter, tol) -> np.n
     step = np.zeros_like(beta)
     for _ in range(max_iter):
         current = {i: beta[i] for i in active}
-        found = summed_arrays(rows, lambda batch: _derivatives(batch, names, slots, current))
+        found = summed_arrays(rows, partitions, lambda batch: _derivatives(batch, slots, current))
         still = []
         for i in active:
             sums = found[i]
@@ -117,15 +117,14 @@ def _newton(rows, names, classes, folds, inverse_penalty, max_iter, tol) -> np.n
     return beta
 
 
-def _design(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.insert(batch_matrix(batch, names, float), 0, 1.0, axis=1)
+def _design(batch: pa.RecordBatch) -> np.ndarray:
+    return np.insert(matrix(batch, "_x"), 0, 1.0, axis=1)
 
 
-def _derivatives(batch: pa.RecordBatch, names: list[str], slots: list, current: dict) -> dict[int, np.ndarray]:
+def _derivatives(batch: pa.RecordBatch, slots: list, current: dict) -> dict[int, np.ndarray]:
     """Loss, gradient and curvature of every active model on the rows outside its fold."""
-    x = _design(batch, names)
-    label, fold = (batch_matrix(batch, [n], int)[:, 0] for n in ("_class", "_fold"))
-    weight = batch_matrix(batch, ["_w"], float)[:, 0]
+    x = _design(batch)
+    label, fold, weight = (column(batch, n) for n in ("_class", "_fold", "_w"))
     out = {}
     for slot, beta in current.items():
         target, held_out = slots[slot]
@@ -139,15 +138,14 @@ def _derivatives(batch: pa.RecordBatch, names: list[str], slots: list, current:
     return out
 
 
-def _held_out(rows, names, classes, folds, fits: np.ndarray, class_col: str) -> DataFrame:
+def _held_out(rows, classes, folds, fits: np.ndarray, class_col: str) -> DataFrame:
     """Score every row by the models that did not see its fold, then count per class and score."""
     by_fold = {f: np.stack([fits[ci * len(folds) + fi] for ci in range(len(classes))]) for fi, f in enumerate(folds)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _design(batch, names)
-            label, fold = (batch_matrix(batch, [n], int)[:, 0] for n in ("_class", "_fold"))
-            weight = batch_matrix(batch, ["_w"], float)[:, 0]
+            x = _design(batch)
+            label, fold, weight = (column(batch, n) for n in ("_class", "_fold", "_w"))
             eta = np.zeros((len(label), len(classes)))
             for f in np.unique(fold):
                 eta[fold == f] = x[fold == f] @ by_fold[f].T

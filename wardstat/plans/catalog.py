@@ -20,8 +20,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 N_CLASSES = 7
 IDS = ["subject_id", "hadm_id", "icustay_id"]
-# The fits below start from several random points; the number of starts is a fit option.
-LCA_OPTIONS = {"n_rep": 2, "max_iter": 500, "tol": 1e-3}
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -115,18 +113,18 @@ def _relabelled(t: ClinicalTables) -> DataFrame:
 
 
 def _lca_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = latent.lca_fit(model_rows(star_tables(tune(spark), sf_dir)), N_CLASSES, **LCA_OPTIONS)
+    model = latent.lca_fit(model_rows(star_tables(tune(spark), sf_dir)), N_CLASSES)
     return tidy(model.parameters(spark))
 
 
 def _lca_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model_rows(star_tables(tune(spark), sf_dir))
-    return tidy(latent.lca_select(rows, range(2, 5), **LCA_OPTIONS).metrics(spark))
+    return tidy(latent.lca_select(rows, range(2, 5)).metrics(spark))
 
 
 def _lca_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(model_rows(star_tables(tune(spark), sf_dir)))
-    model = latent.lca_fit(rows, N_CLASSES, **LCA_OPTIONS)
+    model = latent.lca_fit(rows, N_CLASSES)
     return model.transform(rows).select(*IDS, "posterior", "class_assignment")
 
 
