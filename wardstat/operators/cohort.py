@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, and_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,16 +87,14 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     One test per column, unlike ``na.drop``: the tests reach the file scan, and the optimizer
     can follow each of them through renamed columns on its own.
     """
-    kinds = dict(df.dtypes)
-    tests = [F.col(c).isNotNull() for c in columns]
-    tests += [~F.isnan(c) for c in columns if kinds[c] in ("double", "float")]
-    return df.where(reduce(and_, tests, F.lit(True)))
+    tests = [f"`{c}` is not null" for c in columns]
+    tests += [f"not isnan(`{c}`)" for c, kind in df.dtypes if c in set(columns) and kind in ("double", "float")]
+    return df.where(" and ".join(tests))
 
 
 def flag_count(flags: Sequence[str] = FLAGS, missing_as_zero: bool = True) -> Column:
     """Number of set flags in a row. A missing flag counts 0, or makes the sum NULL."""
-    terms = [F.coalesce(F.col(f), F.lit(0)) if missing_as_zero else F.col(f) for f in flags]
-    return reduce(add, terms)
+    return F.expr(" + ".join(f"coalesce(`{f}`, 0)" if missing_as_zero else f"`{f}`" for f in flags))
 
 
 _COHORT_COLUMNS = [

@@ -16,7 +16,7 @@ from pyspark.storagelevel import StorageLevel
 from wardstat.functions.labels import recode
 from wardstat.operators.cohort import complete_cases
 from wardstat.operators.passes import column, matrix, summed_arrays
-from wardstat.session import materialize
+from wardstat.session import materialize, ship_code
 from wardstat.sources.tables import FLAGS
 
 # The variables of the class model besides the flags.
@@ -98,6 +98,7 @@ class LatentClassModel:
         Rows with a missing or unseen value get NULL in both; equal probabilities go to the
         first class.
         """
+        ship_code(df.sparkSession)
         log_probs, log_shares, starts = _logs(self.probs), _logs(self.shares), self.coding.starts
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardstat.functions.labels import cap_at
 from wardstat.sources.tables import FLAGS
 
 
-def _is_set(flag: str) -> Column:
-    return F.coalesce((F.col(flag) != 0).cast("int"), F.lit(0))
-
-
 def cooccurrence(df: DataFrame, flags: Sequence[str] = FLAGS, by: str | None = None) -> DataFrame:
     """Rows in which both conditions are set, for every ordered pair, as (``a``, ``b``, ``n``).
 
@@ -24,11 +20,12 @@ def cooccurrence(df: DataFrame, flags: Sequence[str] = FLAGS, by: str | None = N
     """
     keys = [by] if by else []
     df = df.where(F.col(by).isNotNull()) if by else df
-    present = F.array_compact(F.array(*[F.when(_is_set(f) == 1, F.lit(f)) for f in flags]))
-    marks = df.select(*keys, F.explode(present).alias("a"), *[_is_set(f).alias(f) for f in flags])
-    counted = marks.groupBy(*keys, "a").agg(*[F.sum(f).alias(f) for f in flags])
+    present = ", ".join(f"if(`{f}` <> 0, '{f}', null)" for f in flags)
+    bits = [f"if(`{f}` <> 0, 1L, 0L) as `{f}`" for f in flags]
+    marks = df.selectExpr(*keys, f"explode(array_compact(array({present}))) as a", *bits)
+    counted = marks.groupBy(*keys, "a").agg(*[F.expr(f"sum(`{f}`) as `{f}`") for f in flags])
 
-    names = F.explode(F.array(*[F.lit(f) for f in flags])).alias("a")
+    names = F.explode(F.lit(list(flags))).alias("a")
     grid = df.select(*keys).distinct().select(*keys, names) if by else df.sparkSession.range(1).select(names)
     full = grid.join(counted, [*keys, "a"], "left").na.fill(0, subset=list(flags))
     return full.unpivot([*keys, "a"], list(flags), "b", "n").select(*keys, "a", "b", F.col("n").cast("bigint").alias("n"))

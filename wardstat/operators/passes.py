@@ -11,6 +11,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstat.session import ship_code
+
 _PARTIAL = "slot int, sums array<double>"
 
 # Up to this many partitions the partial rows go straight to the driver, which saves an exchange.
@@ -51,6 +53,7 @@ def summed_arrays(
                 }
             )
 
+    ship_code(df.sparkSession)
     partial = df.mapInArrow(task, _PARTIAL)
     if partitions > _DIRECT_PARTITIONS:
         merged = partial.groupBy("slot").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))

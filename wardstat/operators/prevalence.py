@@ -32,7 +32,7 @@ def morbidity_distribution(df: DataFrame, flags: Sequence[str] = FLAGS) -> DataF
 def group_profile(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Mean of every column per key combination; rows with a missing key are left out."""
     keys = list(keys)
-    return df.na.drop(subset=keys).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
+    return df.na.drop(subset=keys).groupBy(*keys).agg(*[F.expr(f"avg(`{c}`) as `{c}`") for c in columns])
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:
@@ -41,13 +41,13 @@ def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name:
 
 def prevalence_overall(df: DataFrame, flags: Sequence[str] = FLAGS) -> DataFrame:
     """Mean of each flag over all rows, as (condition, prevalence)."""
-    return long_form(df.agg(*[F.avg(f).alias(f) for f in flags]), [], flags, "condition", "prevalence")
+    return long_form(df.agg(*[F.expr(f"avg(`{f}`) as `{f}`") for f in flags]), [], flags, "condition", "prevalence")
 
 
 def prevalence_by_group(df: DataFrame, conditions: Sequence[str] = FLAGS, group: str = "class_assignment") -> DataFrame:
     """Percentage with each condition per group, one row per group."""
     present = df.where(F.col(group).isNotNull())
-    return present.groupBy(group).agg(*[(F.avg(c) * 100.0).alias(c) for c in conditions])
+    return present.groupBy(group).agg(*[F.expr(f"avg(`{c}`) * 100D as `{c}`") for c in conditions])
 
 
 def prevalence_capped(
@@ -82,9 +82,9 @@ def binary_columns(df: DataFrame, candidates: Sequence[str] | None = None) -> li
     floating = {c for c in names if isinstance(kinds[c], (T.DoubleType, T.FloatType))}
     clean = df.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c in floating else F.col(c) for c in names])
     edge = clean.agg(
-        *[F.min(c).alias(f"lo_{c}") for c in names],
-        *[F.max(c).alias(f"hi_{c}") for c in names],
-        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in names],
+        *[F.expr(f"min(`{c}`) as `lo_{c}`") for c in names],
+        *[F.expr(f"max(`{c}`) as `hi_{c}`") for c in names],
+        *[F.expr(f"count_if(`{c}` is null) as `missing_{c}`") for c in names],
     ).first()
 
     def distinct_ends(c: str) -> int:

@@ -28,7 +28,7 @@ def lca_prepare(cohort: DataFrame, flags: Sequence[str] = FLAGS) -> DataFrame:
         {
             "admission_type": F.coalesce(elective, F.lit(False)).cast("int"),
             "gender": recode("gender", GENDER_CODES),
-            **{f: (F.col(f) + 1) for f in flags},
+            **{f: F.expr(f"`{f}` + 1") for f in flags},
         }
     )
 
@@ -65,7 +65,7 @@ def subgroup_table(
     cap: int = 8,
 ) -> DataFrame:
     """Flags back on 0/1, top-coded condition count, its percentage in the class, tidy class numbers."""
-    unshifted = df.withColumns({f: F.col(f) - shift for f in flags})
+    unshifted = df.withColumns({f: F.expr(f"`{f}` - {shift}") for f in flags})
     counted = unshifted.withColumn("count_morbidity", topcode(flag_count(flags), cap))
     table = percent_within_group(counted, "class_assignment", "count_morbidity", "subject_id")
     table = relabel_sequential(table, "class_assignment")

@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 
 from wardstat.operators.passes import column, matrix, summed_arrays
 from wardstat.operators.roc import auc_score, roc_points
-from wardstat.session import materialize, small_side
+from wardstat.session import materialize, ship_code, small_side
 
 
 def stratified_folds(
@@ -160,6 +160,7 @@ def _held_out(rows, classes, folds, fits: np.ndarray, class_col: str) -> DataFra
                     }
                 )
 
+    ship_code(rows.sparkSession)
     scored = rows.mapInArrow(task, f"{class_col} bigint, threshold double, pos double, neg double")
     return scored.groupBy(class_col, "threshold").agg(
         F.sum("pos").cast("bigint").alias("pos"), F.sum("neg").cast("bigint").alias("neg")

@@ -7,6 +7,8 @@ the scans and the work grows with the data.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +16,25 @@ from wardstat.sources.tables import FLAGS, ClinicalTables
 
 
 def star_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
+    @cache
     def load(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    customer, orders, lineitem = load("customer"), load("orders"), load("lineitem")
-    owner = orders.select(F.col("o_orderkey").alias("hadm_id"), F.col("o_custkey").alias("subject_id"))
+    def owner() -> DataFrame:
+        return load("orders").selectExpr("o_orderkey as hadm_id", "o_custkey as subject_id")
+
+    def scores(keep: str, name: str, score: str) -> DataFrame:
+        return _stay_score(load("lineitem").where(keep), owner(), name, score)
+
     return ClinicalTables(
-        patients=_patients(customer),
-        icustays=_stays(lineitem, owner),
-        admissions=_admissions(orders),
-        elixhauser_quan=_flags(lineitem),
-        sofa=_stay_score(lineitem.where(F.col("l_suppkey") % 10 != 0), owner, "sofa", F.col("l_partkey") % 25),
-        oasis=_stay_score(lineitem.where(F.col("l_suppkey") % 10 != 1), owner, "oasis", F.col("l_suppkey") % 61),
-        angus=_angus(lineitem, owner),
-        diagnoses_icd=_diagnoses(lineitem),
+        patients=lambda: _patients(load("customer")),
+        icustays=lambda: _stays(load("lineitem"), owner()),
+        admissions=lambda: _admissions(load("orders")),
+        elixhauser_quan=lambda: _flags(load("lineitem")),
+        sofa=lambda: scores("l_suppkey % 10 <> 0", "sofa", "l_partkey % 25"),
+        oasis=lambda: scores("l_suppkey % 10 <> 1", "oasis", "l_suppkey % 61"),
+        angus=lambda: _angus(load("lineitem"), owner()),
+        diagnoses_icd=lambda: _diagnoses(load("lineitem")),
     )
 
 
@@ -83,17 +90,16 @@ def _stays(lineitem: DataFrame, owner: DataFrame) -> DataFrame:
     )
 
 
-def _stay_score(lines: DataFrame, owner: DataFrame, name: str, score: Column) -> DataFrame:
-    scored = lines.groupBy(*_stay_keys()).agg(F.max(score).cast("int").alias(name))
+def _stay_score(lines: DataFrame, owner: DataFrame, name: str, score: str) -> DataFrame:
+    scored = lines.groupBy(*_stay_keys()).agg(F.max(F.expr(score)).cast("int").alias(name))
     return scored.join(owner, "hadm_id").select(_stay_id(), "hadm_id", "subject_id", name)
 
 
 def _flags(lineitem: DataFrame) -> DataFrame:
     # One 64-bit mask per admission travels through the shuffle instead of 30 columns.
-    bit = F.expr("shiftleft(1L, cast(l_partkey % 30 as int))")
-    mask = F.bit_or(F.when(F.col("l_discount") >= 0.03, bit).otherwise(F.lit(0).cast("bigint")))
+    mask = "bit_or(if(l_discount >= 0.03, shiftleft(1L, cast(l_partkey % 30 as int)), 0L))"
     return lineitem.groupBy(F.col("l_orderkey").alias("hadm_id")).agg(
-        *[F.getbit(mask, F.lit(i)).cast("int").alias(name) for i, name in enumerate(FLAGS)]
+        *[F.expr(f"cast(getbit({mask}, {i}) as int) as {name}") for i, name in enumerate(FLAGS)]
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -86,9 +87,11 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-@dataclass(frozen=True)
 class ClinicalTables:
-    """One DataFrame per clinical table. Nothing is read until a query asks for it."""
+    """The clinical tables as attributes; each is opened when a query first asks for it.
+
+    Give every table as a DataFrame or as a function that returns one.
+    """
 
     patients: DataFrame
     icustays: DataFrame
@@ -99,23 +102,40 @@ class ClinicalTables:
     angus: DataFrame
     diagnoses_icd: DataFrame
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        if missing := set(SCHEMAS) - set(tables):
+            raise ValueError(f"missing tables: {sorted(missing)}")
+        self._sources = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._sources:
+            raise AttributeError(name)
+        source = self._sources[name]
+        opened = source if isinstance(source, DataFrame) else source()
+        setattr(self, name, opened)
+        return opened
+
     @classmethod
     def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+        return list(SCHEMAS)
+
+    @classmethod
+    def _opened_by(cls, open_table: Callable[[str], DataFrame]) -> ClinicalTables:
+        return cls(**{name: partial(open_table, name) for name in cls.names()})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, schema: str = "mimiciii") -> ClinicalTables:
-        return cls(**{name: spark.table(f"{schema}.{name}") for name in cls.names()})
+        return cls._opened_by(lambda name: spark.table(f"{schema}.{name}"))
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> ClinicalTables:
-        return cls(**{name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}") for name in cls.names()})
+        return cls._opened_by(lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}"))
 
     @classmethod
     def from_csv(cls, spark: SparkSession, root: str) -> ClinicalTables:
         from wardstat.sources.csvfiles import read_csv
 
-        return cls(**{name: read_csv(spark, f"{root}/{name}.csv", SCHEMAS[name]) for name in cls.names()})
+        return cls._opened_by(lambda name: read_csv(spark, f"{root}/{name}.csv", SCHEMAS[name]))
 
     def register_views(self) -> None:
         """Expose every table to ``spark.sql`` under its own name."""
