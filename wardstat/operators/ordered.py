@@ -7,17 +7,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardstat.session import materialize
+from wardstat.session import materialize, small_side
 
 _SLICE = "_slice"
 
 
 def running_totals(
-    df: DataFrame, order: Sequence[str], totals: Mapping[str, str], group: str | None = None, descending: bool = False
+    df: DataFrame,
+    order: Sequence[str],
+    totals: Mapping[str, str],
+    group: str | None = None,
+    descending: bool = False,
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums along ``order`` (within ``group`` if given).
 
-    ``totals`` maps a numeric column to the name of its running sum. The rows are range
+    ``totals`` maps a numeric column to the name of its running sum, ``whole`` maps one to the
+    name of its sum over the whole group (or frame). The rows are range
     partitioned and written once to the checkpoint folder, so slice numbers stay fixed; each
     slice is summed on its own and shifted by the total of the slices before it. Neither a large
     group nor the whole frame ever meets in one task.
@@ -27,19 +33,22 @@ def running_totals(
     keys += [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     sliced = materialize(df.repartitionByRange(*keys).withColumn(_SLICE, F.spark_partition_id()))
 
-    per_slice = sliced.groupBy(*lead, _SLICE).agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
+    whole = dict(whole or {})
+    per_slice = sliced.groupBy(*lead, _SLICE).agg(*[F.sum(c).alias(f"_sum_{c}") for c in {**totals, **whole}])
     # One row per slice and group: bounded by the partition count plus the number of groups.
-    earlier = Window.partitionBy(*lead).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*lead)
+    before = every.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *lead,
         _SLICE,
-        *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_offset_{c}") for c in totals],
+        *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_offset_{c}") for c in totals],
+        *[F.sum(f"_sum_{c}").over(every).alias(name) for c, name in whole.items()],
     )
     inside = Window.partitionBy(*lead, _SLICE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = sliced.withColumns({name: F.sum(c).over(inside) for c, name in totals.items()})
     matched = _null_safe_join(summed, offsets, [*lead, _SLICE])
     shifted = matched.withColumns({name: F.col(name) + F.col(f"_offset_{c}") for c, name in totals.items()})
-    return shifted.select(*df.columns, *totals.values())
+    return shifted.select(*df.columns, *totals.values(), *whole.values())
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,6 +67,11 @@ def value_histogram(df: DataFrame, value: str, group: str | None = None) -> Data
     return df.where(F.col(value).isNotNull()).groupBy(*lead, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranked(df: DataFrame, value: str, group: str | None) -> DataFrame:
+    histogram = value_histogram(df, value, group)
+    return running_totals(histogram, [value], {"n": "upto"}, group, whole={"n": "size"})
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: Mapping[str, float], group: str | None = None
 ) -> DataFrame:
@@ -66,42 +80,38 @@ def exact_quantiles(
     Duplicate values collapse first; the rest is two grouped aggregations, so a group may be of
     any size and the values may be continuous.
     """
-    ranked = running_totals(value_histogram(df, value, group), [value], {"n": "upto"}, group)
-    return quantiles_of_ranked(ranked, value, probabilities, group)
+    return _quantiles_of_ranked(_ranked(df, value, group), value, probabilities, group)
 
 
-def quantiles_of_ranked(
-    ranked: DataFrame, value: str, probabilities: Mapping[str, float], group: str | None = None
+def _quantiles_of_ranked(
+    ranked: DataFrame, value: str, probabilities: Mapping[str, float], group: str | None
 ) -> DataFrame:
-    lead = [group] if group else []
-    sizes = ranked.groupBy(*lead).agg(F.max("upto").alias("_size"))
-    sized = _null_safe_join(ranked, sizes, lead) if lead else ranked.crossJoin(sizes)
-
     def at_rank(position: Column) -> Column:
         # The value at a zero-based rank is the smallest one whose running count exceeds it.
         return F.min(F.when(F.col("upto") > position, F.col(value).cast("double")))
 
     columns = []
     for name, p in probabilities.items():
-        target = F.lit(float(p)) * (F.col("_size") - 1)
+        target = F.lit(float(p)) * (F.col("size") - 1)
         below, above = at_rank(F.floor(target)), at_rank(F.ceil(target))
         weight = F.max(target - F.floor(target))
         columns.append((below + (above - below) * weight).alias(name))
-    return sized.groupBy(*lead).agg(F.max("_size").alias("n"), *columns)
+    return ranked.groupBy(*([group] if group else [])).agg(F.max("size").alias("n"), *columns)
 
 
 def boxplot_summary(df: DataFrame, group: str, value: str, reach: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, whisker ends inside ``reach`` box lengths, outliers."""
-    ranked = running_totals(value_histogram(df, value, group), [value], {"n": "upto"}, group)
-    box = quantiles_of_ranked(ranked, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group)
-    fences = box.select(group, "q1", "median", "q3", F.col("n").alias("_rows"))
+    ranked = _ranked(df, value, group)
+    box = _quantiles_of_ranked(ranked, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group)
+    # One row per group; sent to the values when small, so a large group is not gathered again.
+    fences = small_side(box.select(group, "q1", "median", "q3"))
     v, span = F.col(value), (F.col("q3") - F.col("q1")) * reach
     inside = v.between(F.col("q1") - span, F.col("q3") + span)
     return (
         _null_safe_join(ranked, fences, [group])
         .groupBy(group)
         .agg(
-            F.max("_rows").alias("n"),
+            F.max("size").alias("n"),
             F.max("q1").alias("q1"),
             F.max("median").alias("median"),
             F.max("q3").alias("q3"),

@@ -18,8 +18,8 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFra
     """Frequency of each non-NULL value, most frequent first; ``share`` is added on request."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        # The window runs over one row per distinct value.
-        counts = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+        # A scalar subquery over the same counts; Spark reuses their exchange.
+        counts = counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
     return counts.orderBy(F.desc("n"), column)
 
 
@@ -118,11 +118,19 @@ def percent_within_group(df: DataFrame, group: str, part: str, count_of: str, na
     The counts are grouped once and joined back as a small lookup, so the rows are not shuffled
     by ``group``, where one value may hold a large part of them.
     """
+    lookup = small_side(part_percentages(df, group, part, count_of, name))
+    return df.join(lookup, [group, part], "left").select(*df.columns, name)
+
+
+def part_percentages(df: DataFrame, group: str, part: str, count_of: str, name: str = "percent") -> DataFrame:
+    """Percentage of each ``part`` in its ``group``, one row per pair without missing values.
+
+    Rows with a missing ``part`` count in the size of their group.
+    """
     counts = df.where(F.col(group).isNotNull()).groupBy(group, part).agg(F.count(count_of).alias("_part_n"))
     total = F.sum("_part_n").over(Window.partitionBy(group))
     percent = (F.col("_part_n") / F.nullif(total, F.lit(0)) * 100.0).alias(name)
-    lookup = small_side(counts.select(group, part, percent).where(F.col(part).isNotNull()))
-    return df.join(lookup, [group, part], "left").select(*df.columns, name)
+    return counts.select(group, part, percent).where(F.col(part).isNotNull())
 
 
 def relabel_sequential(df: DataFrame, column: str) -> DataFrame:

@@ -22,7 +22,8 @@ def score_counts(
 
 
 def _cumulated(counts: DataFrame, group: str | None) -> DataFrame:
-    return running_totals(counts, ["threshold"], {"pos": "tp", "neg": "fp"}, group, descending=True)
+    sums = {"pos": "tp", "neg": "fp"}
+    return running_totals(counts, ["threshold"], sums, group, descending=True, whole={"pos": "p", "neg": "n"})
 
 
 def roc_points(counts: DataFrame, group: str | None = None) -> DataFrame:
@@ -30,15 +31,11 @@ def roc_points(counts: DataFrame, group: str | None = None) -> DataFrame:
 
     ``counts`` comes from :func:`score_counts`.
     """
-    lead = [group] if group else []
-    reached = _cumulated(counts, group)
-    sizes = reached.groupBy(*lead).agg(F.max("tp").alias("_p"), F.max("fp").alias("_n"))
-    sized = reached.join(sizes, lead) if lead else reached.crossJoin(sizes)
-    return sized.select(
-        *lead,
+    return _cumulated(counts, group).select(
+        *([group] if group else []),
         "threshold",
-        (F.col("fp") / F.nullif(F.col("_n"), F.lit(0))).alias("fpr"),
-        (F.col("tp") / F.nullif(F.col("_p"), F.lit(0))).alias("tpr"),
+        (F.col("fp") / F.nullif(F.col("n"), F.lit(0))).alias("fpr"),
+        (F.col("tp") / F.nullif(F.col("p"), F.lit(0))).alias("tpr"),
     )
 
 

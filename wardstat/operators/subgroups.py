@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardstat.functions.labels import recode, topcode
 from wardstat.operators.cohort import complete_cases, flag_count
-from wardstat.operators.prevalence import percent_within_group, relabel_sequential, value_counts
+from wardstat.operators.prevalence import part_percentages, value_counts
+from wardstat.session import small_side
 from wardstat.sources.tables import FLAGS, ClinicalTables
 
 # Integer codes of the two-level variables in the class model.
@@ -57,6 +58,13 @@ def class_distribution(df: DataFrame, column: str = "class_assignment") -> DataF
     return value_counts(df, column, normalize=True)
 
 
+def class_lookup(df: DataFrame, group: str, part: str, count_of: str) -> DataFrame:
+    """Per (group, part): its percentage of the group and the group's sequential number."""
+    return part_percentages(df, group, part, count_of).withColumn(
+        "_label", F.dense_rank().over(Window.orderBy(group))
+    )
+
+
 def subgroup_table(
     df: DataFrame,
     flags: Sequence[str] = FLAGS,
@@ -67,8 +75,12 @@ def subgroup_table(
     """Flags back on 0/1, top-coded condition count, its percentage in the class, tidy class numbers."""
     unshifted = df.withColumns({f: F.expr(f"`{f}` - {shift}") for f in flags})
     counted = unshifted.withColumn("count_morbidity", topcode(flag_count(flags), cap))
-    table = percent_within_group(counted, "class_assignment", "count_morbidity", "subject_id")
-    table = relabel_sequential(table, "class_assignment")
+    # Percentages and tidy numbers both come from the (class, count) frequencies: one pass over
+    # the rows for the small lookup, one to attach it.
+    labels = class_lookup(counted, "class_assignment", "count_morbidity", "subject_id")
+    attached = counted.join(small_side(labels), ["class_assignment", "count_morbidity"], "left")
+    columns = [F.col("_label").alias(c) if c == "class_assignment" else F.col(c) for c in counted.columns]
+    table = attached.select(*columns, "percent")
     if class_map is not None:
         table = table.withColumn("class_assignment", recode("class_assignment", class_map))
     return table.orderBy("count_morbidity")
