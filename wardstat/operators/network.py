@@ -22,13 +22,17 @@ def cooccurrence(df: DataFrame, flags: Sequence[str] = FLAGS, by: str | None = N
     df = df.where(F.col(by).isNotNull()) if by else df
     present = ", ".join(f"if(`{f}` <> 0, '{f}', null)" for f in flags)
     bits = [f"if(`{f}` <> 0, 1L, 0L) as `{f}`" for f in flags]
-    marks = df.selectExpr(*keys, f"explode(array_compact(array({present}))) as a", *bits)
+    # The empty name marks every row once, so a group without any condition stays in the result.
+    marks = df.selectExpr(*keys, f"explode(array_compact(array('', {present}))) as a", *bits)
     counted = marks.groupBy(*keys, "a").agg(*[F.expr(f"sum(`{f}`) as `{f}`") for f in flags])
 
-    names = F.explode(F.lit(list(flags))).alias("a")
-    grid = df.select(*keys).distinct().select(*keys, names) if by else df.sparkSession.range(1).select(names)
-    full = grid.join(counted, [*keys, "a"], "left").na.fill(0, subset=list(flags))
-    return full.unpivot([*keys, "a"], list(flags), "b", "n").select(*keys, "a", "b", F.col("n").cast("bigint").alias("n"))
+    # At most one entry per condition and group: spread them over the full grid of pairs.
+    entries = F.collect_list(F.struct("a", F.array(*flags).alias("sums")))
+    tables = counted.groupBy(*keys).agg(F.map_from_entries(entries).alias("table"))
+    names = F.lit(list(flags))
+    firsts = tables.select(*keys, F.explode(names).alias("a"), "table")
+    pairs = firsts.select(*keys, "a", F.posexplode(names).alias("i", "b"), F.try_element_at("table", F.col("a")).alias("sums"))
+    return pairs.select(*keys, "a", "b", F.coalesce(F.get("sums", F.col("i")), F.lit(0)).cast("bigint").alias("n"))
 
 
 def network_edges(pairs: DataFrame, by: str | None = None, unique: bool = False) -> DataFrame:
