@@ -19,22 +19,19 @@ def calendar_age(at: Column | str, born: Column | str) -> Column:
     before ``born`` the result is the negated age of the reversed pair.
     """
     at, born = as_column(at), as_column(born)
-    return F.when(at >= born, _completed_years(at, born)).otherwise(-_completed_years(born, at))
-
-
-def _completed_years(later: Column, earlier: Column) -> Column:
-    anniversary_pending = _position_in_year(later) < _position_in_year(earlier)
-    return F.year(later) - F.year(earlier) - anniversary_pending.cast("int")
-
-
-def _position_in_year(t: Column) -> Column:
-    return F.struct(
-        F.month(t).alias("month"),
-        F.dayofmonth(t).alias("day"),
-        F.hour(t).alias("hour"),
-        F.minute(t).alias("minute"),
-        F.extract(F.lit("SECOND"), t).alias("second"),
-    )
+    by_date = F.timestamp_diff("YEAR", born.cast("date"), at.cast("date"))
+    # Only on the anniversary itself does the time of day decide. The expression is kept short:
+    # the JVM does not compile very long generated methods.
+    anniversary = (F.dayofmonth(at) == F.dayofmonth(born)) & (F.month(at) == F.month(born))
+    clock, birth_clock = _time_of_day(at), _time_of_day(born)
+    early = F.when(anniversary & (clock < birth_clock) & (at > born), 1)
+    late = F.when(anniversary & (clock > birth_clock) & (at < born), -1)
+    same_year = F.year(at) == F.year(born)
+    return (by_date - F.when(same_year, 0).otherwise(F.coalesce(early, late, F.lit(0)))).cast("int")
+
+
+def _time_of_day(t: Column) -> Column:
+    return t - F.date_trunc("DAY", t)
 
 
 def duration_days(start: Column | str, end: Column | str) -> Column:
