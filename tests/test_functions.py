@@ -40,6 +40,9 @@ def ntz(text):
         ("1996-02-29 00:00:00", "1932-02-29", 64),
         ("2000-03-15 11:59:59", "1960-03-15 12:00:00", 39),
         ("2000-03-15 12:00:00", "1960-03-15 12:00:00", 40),
+        ("1993-03-01 06:00:00", "1932-02-29 12:00:00", 61),
+        ("1990-03-15 12:00:00", "2000-03-15 06:00:00", -9),
+        ("1990-03-15 05:00:00", "2000-03-15 06:00:00", -10),
         ("2000-01-01", "2000-01-01", 0),
         ("2000-01-01", "2000-01-02", 0),
         ("1999-01-01", "2000-01-02", -1),
