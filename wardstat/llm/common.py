@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wardstat.session import scratch_path, ship_code
 
@@ -44,6 +46,19 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def schema_of(*parts: StructField | str) -> StructType:
+    """A schema from fields and DDL text; fields keep any name and type they have."""
+    fields = []
+    for part in parts:
+        fields += StructType.fromDDL(part).fields if isinstance(part, str) else [part]
+    return StructType(fields)
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as one struct column ``row``, so that no name of its can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A top-level column by exact name."""
     return batch.column(batch.schema.get_field_index(name))

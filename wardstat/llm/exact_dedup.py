@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wardstat.llm.common import column, partitions_for, written
+from wardstat.llm.common import column, partitions_for, schema_of, whole_rows, written
 from wardstat.session import ship_code
 
 #: Contents, in bytes, that one table may hold before its bucket is partitioned further.
@@ -142,7 +142,7 @@ def exact_dedup_rows(
     of wholly equal rows exactly one stays. An empty table gives an empty result.
     """
     ship_code(docs.sparkSession)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = whole_rows(docs)
     id_place, text_place = docs.columns.index(id_col), docs.columns.index(text_col)
     id_arrow = to_arrow_type(docs.schema[id_col].dataType)
 
@@ -185,11 +185,13 @@ def exact_dedup_rows(
             slot += len(texts)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    row_type = packed.schema["row"].dataType.simpleString()
     first = written(
         packed.mapInArrow(
             collapse,
-            f"row {row_type}, id {id_type}, part long, slot long, local long, rows long, points long, text_sha256 string",
+            schema_of(
+                packed.schema["row"],
+                f"id {id_type}, part long, slot long, local long, rows long, points long, text_sha256 string",
+            ),
         ),
         "exact-rows",
     )

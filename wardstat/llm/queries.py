@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import exact_dedup, packing, pii, sharding
-from wardstat.llm.common import documents
+from wardstat.llm import exact_dedup, packing, pii, sharding, toxicity
+from wardstat.llm.common import documents, labels
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def remainder(modulus: int) -> Column:
+    """What is left of the id's CRC-32 after division."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, labels(spark, sf_dir).where(remainder(4) != 2))
+    scored = toxicity.score(docs, model).select("row.doc_id", "score", "evidence")
+    return scored.select(
+        "doc_id",
+        (remainder(4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.col("evidence.id").alias("nearest"),
+    )
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(documents(spark, sf_dir)))
 
@@ -30,6 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
