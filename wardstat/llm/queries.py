@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import exact_dedup, packing, pii, sharding, toxicity
+from wardstat.llm import exact_dedup, order_minhash, packing, pii, sharding, toxicity
 from wardstat.llm.common import documents, labels
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row.doc_id", "class_id", "class_size", "kept")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -46,6 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_toxicity": op8_toxicity,
