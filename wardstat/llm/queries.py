@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import exact_dedup, order_minhash, packing, pii, sharding, toxicity
+from wardstat.llm import decontamination, exact_dedup, order_minhash, packing, pii, sharding, toxicity
 from wardstat.llm.common import documents, labels
 
 
+#: A document is called toxic from this score on.
+TOXIC_SCORE = 0.3
+
+
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("row.doc_id", "class_id", "class_size", "kept")
@@ -24,6 +28,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", F.round("leak.similarity", 6).alias("similarity"), F.col("leak.start").alias("start_word")
+    )
+
+
 def remainder(modulus: int) -> Column:
     """What is left of the id's CRC-32 after division."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -37,7 +49,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (remainder(4) == 2).alias("held_out"),
         "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"),
         F.col("evidence.id").alias("nearest"),
     )
 
@@ -54,6 +66,7 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
