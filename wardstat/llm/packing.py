@@ -10,6 +10,7 @@ fewer partitions and are packed again, until all partitions are certified or one
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,7 +30,7 @@ PIECES = 8_000
 #: Exchanges at most; what is open after the last one stays as best fit decreasing left it.
 ROUNDS = 6
 #: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 class Tokens:
@@ -41,20 +42,20 @@ class Tokens:
     """
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
-        import regex
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.unusual = regex.compile(r"[^\S \n]|  | \n|\n |^ | $|^\n|\n$|[\x1c-\x1f]").search
+        self.other_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         self.known: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
         return np.asarray(self.encode(text), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.unusual(text):
+        runs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        if runs or text[:1] in " \n" or text[-1:] in " \n" or self.other_space(text):
             return self._bytes(text)
         first, *rest = text.split(" ")
         known, out = self.known, [self._bytes(first)]
