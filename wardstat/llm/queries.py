@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontamination, exact_dedup, order_minhash, packing, pii, sharding, toxicity
+from wardstat.llm import decontamination, exact_dedup, order_minhash, packing, pii, quality, sharding, toxicity
 from wardstat.llm.common import documents, labels
 
 
@@ -22,6 +22,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, labels(spark, sf_dir).where(remainder(3) != 1))
+    return quality.score(docs, model).select("row.doc_id", "score").select(
+        "doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = exact_dedup.exact_dedup_rows(docs)
@@ -65,6 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality": op3_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
