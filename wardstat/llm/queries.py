@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontamination, exact_dedup, order_minhash, packing, pii, quality, sharding, toxicity
+from wardstat.llm import decontamination, exact_dedup, hidden_markov, order_minhash, packing, pii, quality, sharding, toxicity
 from wardstat.llm.common import documents, labels
 
 
@@ -36,6 +36,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return hidden_markov.score(docs, remainder(5) != 1).select(
+        "doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -75,6 +82,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality": op3_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_hidden_markov": op6_hidden_markov,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
