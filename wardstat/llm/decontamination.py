@@ -50,7 +50,10 @@ class ItemIndex:
         self.weights = 1.0 + np.log((len(ids) + 1.0) / (held + 1.0))
         self.unknown = 1.0 + np.log(len(ids) + 1.0)
         self.bags = [self.bag(s) for s in sequences]
-        self.lengths = np.array(sorted({len(s) for s in sequences}), np.int64)
+        self.lengths = np.array([len(s) for s in sequences], np.int64)
+        self.sizes = {
+            int(n): np.unique(np.concatenate([s for s in sequences if len(s) == n])) for n in np.unique(self.lengths)
+        }
         self.prints = np.array(
             [fingerprints(s, self.weight(s), np.array([0]), np.array([len(s)]))[0] for s in sequences], np.uint64
         )
@@ -74,14 +77,19 @@ class ItemIndex:
         kinds, counts = np.unique(hashes, return_counts=True)
         return kinds, counts, self.weight(kinds)
 
-    def within(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) of all pairs whose fingerprints differ in at most ``radius`` bits."""
+    def within(self, prints: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+        """(window, item) of all pairs whose fingerprints differ in at most ``radius`` bits.
+
+        With ``size``, only items of so many shingles.
+        """
         for k, value in enumerate(prints):
             near = []
             for block, (starts, items) in enumerate(self.tables):
                 cell = int(value >> np.uint64(BLOCK_BITS * block)) & ((1 << BLOCK_BITS) - 1)
                 near.append(items[starts[cell] : starts[cell + 1]])
             found = np.unique(np.concatenate(near))
+            if size is not None:
+                found = found[self.lengths[found] == size]
             for item in found[np.bitwise_count(self.prints[found] ^ value) <= self.radius]:
                 yield k, int(item)
 
@@ -98,26 +106,28 @@ class ItemIndex:
         """Best similarity and its start for every item that some window of one document reaches."""
         best: dict[int, tuple[float, int]] = {}
         place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        hit = self.known[place] == hashes
-        if not hit.any():
+        places = np.flatnonzero(self.known[place] == hashes)
+        if not len(places):
             return best
-        weights = np.where(hit, self.weights[place], self.unknown)
-        running, held = np.r_[0.0, np.cumsum(weights)], np.r_[0.0, np.cumsum(np.where(hit, weights, 0.0))]
-        for length in np.unique(np.minimum(self.lengths, len(hashes))):
+        weights = np.full(len(hashes), self.unknown)
+        weights[places] = self.weights[place[places]]
+        running = np.r_[0.0, np.cumsum(weights)]
+        for size, own in self.sizes.items():
+            # Shingles that no item of this size has count as missed.
+            held = np.zeros(len(hashes) + 1)
+            of_size = places[np.isin(hashes[places], own)]
+            held[of_size + 1] = weights[of_size]
+            held = np.cumsum(held)
+            length = min(size, len(hashes))
             starts = np.arange(len(hashes) - length + 1)
-            ends = starts + length
-            full = held[ends] - held[starts] >= least * (running[ends] - running[starts]) - 1e-9
-            starts, ends = starts[full], ends[full]
-            if not len(starts):
-                continue
-            # Work on the stretch of the document that the windows cover.
-            low, high = starts[0], ends[-1]
+            full = held[length:] - held[: len(starts)] >= least * (running[length:] - running[: len(starts)]) - 1e-9
+            starts = starts[full]
             for cut in range(0, len(starts), 4096):
-                s, e = starts[cut : cut + 4096], ends[cut : cut + 4096]
-                low, high = s[0], e[-1]
-                prints = fingerprints(hashes[low:high], weights[low:high], s - low, e - low)
-                for k, item in self.within(prints):
-                    value = self.similarity(hashes[s[k] : e[k]], item)
+                s = starts[cut : cut + 4096]
+                low, high = s[0], s[-1] + length
+                prints = fingerprints(hashes[low:high], weights[low:high], s - low, s - low + length)
+                for k, item in self.within(prints, size):
+                    value = self.similarity(hashes[s[k] : s[k] + length], item)
                     if value >= least - 1e-9 and value > best.get(item, (0.0, 0))[0]:
                         best[item] = value, int(s[k])
         return best
@@ -159,10 +169,11 @@ def find_leaks(
 
 
 def _pass(spark, ids, sequences, place, kind, similarity, radius):
-    shared = spark.sparkContext.broadcast((ids, sequences))
+    # Bounded by the items of a pass; each worker reads it once.
+    shared = spark.sparkContext.broadcast(ItemIndex(ids, sequences, radius))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*shared.value, radius)
+        index = shared.value
         for batch in batches:
             leaks = batch.column(1).to_pylist()
             for first, rows, hashes, owners in shingles(pc.struct_field(batch.column(0), [place]), WORDS):
