@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontamination, exact_dedup, hidden_markov, order_minhash, packing, pii, quality, sharding, toxicity
+from wardstat.llm import decontamination, exact_dedup, hidden_markov, order_minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
 from wardstat.llm.common import documents, labels
 
 
@@ -30,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = exact_dedup.exact_dedup_rows(docs)
@@ -81,6 +85,7 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality": op3_quality,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_hidden_markov": op6_hidden_markov,
     "op7_decontamination": op7_decontamination,
