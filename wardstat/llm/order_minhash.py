@@ -6,9 +6,11 @@ Texts that share a band are candidates, and an alignment of their shingle sequen
 similarity is M / (a + b - M), with M the shingles that an alignment matches in order and a, b the
 lengths; it reaches 0.8 only inside a band around the diagonal, to which the alignment is confined.
 
-Equal word sequences are one node of the graph. A bucket of candidates is compared as a star: all
-members with its smallest one. Only buckets whose members are not yet connected go on, without
-that centre, so every pair of a bucket is either compared or known to be in one class.
+Equal word sequences are one node of the graph. A bucket of candidates is first compared as a star:
+all members with its smallest one. Buckets whose members are not connected by that go on in pieces
+of bounded size, any two of which meet in one task; there the whole sketches of members of
+different classes are compared, and the pairs that agree often enough are aligned. So every pair of
+a bucket is either in one class already or judged by its sketches and its alignment.
 """
 
 from __future__ import annotations
@@ -33,6 +35,11 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches per band, bands, and shingles per sketch. A pair of similarity 0.8 misses a sketch with
 #: a chance of about 0.37 and all bands with one of about 0.002.
 ROWS, BANDS, PICKS = 2, 13, 2
+#: Sketches that a pair must share to be aligned after the stars; a pair of similarity 0.8 shares 16
+#: of the 26 on average and fewer than these with a chance of about 0.0002.
+SHARED_SKETCHES = 8
+#: Members of a bucket in one piece, and members that one task takes.
+PIECE, TASK_MEMBERS = 512, 50_000
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1 << 62, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -164,12 +171,16 @@ def _signatures(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             texts = pc.struct_field(batch.column(0), [place])
             bands = np.zeros((batch.num_rows, BANDS), np.uint64)
+            whole, counts = [b""] * batch.num_rows, [0] * batch.num_rows
             has, keys = np.zeros(batch.num_rows, bool), [b""] * batch.num_rows
             for first, rows, hashes, owners in shingles(texts):
                 cuts = np.searchsorted(owners, np.arange(rows + 1))
                 for k in range(rows):
                     keys[first + k] = hashes[cuts[k] : cuts[k + 1]].tobytes()
+                    counts[first + k] = int(cuts[k + 1] - cuts[k])
                 found, values = sketches(hashes, owners)
+                for row, sketch in zip(found.tolist(), values):
+                    whole[first + row] = sketch.tobytes()
                 with np.errstate(over="ignore"):
                     total = np.zeros((len(found), BANDS), np.uint64)
                     for r in range(ROWS):
@@ -184,12 +195,13 @@ def _signatures(docs: DataFrame, text_col: str) -> DataFrame:
                 [
                     batch.column(0), pa.array(digests, pa.binary()), pa.array([part] * batch.num_rows, pa.int64()),
                     pa.array(range(slot, slot + batch.num_rows), pa.int64()), pa.array(lists, pa.list_(pa.int64())),
+                    pa.array(whole, pa.binary()), pa.array(counts, pa.int64()),
                 ],
-                names=["row", "content", "part", "slot", "bands"],
+                names=["row", "content", "part", "slot", "bands", "sketch", "shingles"],
             )
             slot += batch.num_rows
 
-    schema = schema_of(packed.schema["row"], "content binary, part long, slot long, bands array<long>")
+    schema = schema_of(packed.schema["row"], "content binary, part long, slot long, bands array<long>, sketch binary, shingles long")
     return written(packed.mapInArrow(work, schema), "order-minhash")
 
 
@@ -219,21 +231,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(work, "a long, b long, similarity double")
 
 
+def _meetings(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket that are in different classes and share enough sketches."""
+    told = _labelled(members, labels, "node")
+    open_ = told.groupBy("bucket").agg(
+        F.min("label_node").alias("low"), F.max("label_node").alias("high"), F.count(F.lit(1)).alias("n")
+    ).where("low <> high")
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    dealt = told.join(open_.select("bucket", pieces.alias("pieces")), "bucket").withColumn("own", own)
+    # A member meets the members of every piece of its bucket.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.select(
+        "node", F.col("label_node").alias("label"), "own",
+        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
+        (F.col("own") == F.col("other")).alias("inside"),
+    )
+    dealt = dealt.join(nodes.select("node", "sketch", "shingles"), "node")
+    count = dealt.count()
+    grouped = dealt.withColumn("task", F.pmod("meeting", F.lit(max(1, -(-count // TASK_MEMBERS)))))
+
+    def meet(table: pa.Table) -> pa.Table:
+        meeting, node, label, own, size = (table.column(c).to_numpy() for c in ("meeting", "node", "label", "own", "shingles"))
+        inside = table.column("inside").to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(v.as_py() for v in table.column("sketch")), np.uint64).reshape(len(node), -1)
+        order = np.argsort(meeting, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(meeting[order]) != 0, True])
+        left, right = [], []
+        for start, stop in zip(cuts, cuts[1:]):
+            at = order[start:stop]
+            for k, i in enumerate(at[:-1]):
+                rest = at[k + 1 :]
+                # Short of classes and lengths that rule a pair out, sketches are compared.
+                fit = (label[rest] != label[i]) & (np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9)
+                if not inside[i]:
+                    fit &= own[rest] != own[i]
+                rest = rest[fit]
+                if len(rest):
+                    rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= SHARED_SKETCHES]
+                    left += np.minimum(node[rest], node[i]).tolist()
+                    right += np.maximum(node[rest], node[i]).tolist()
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return grouped.groupBy("task").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every row of ``docs`` as struct ``row`` with its class.
 
-    ``class_id`` is the smallest id of the class, ``class_size`` its rows, ``kept`` marks the one
-    row that stays (smallest id, null ids last) and ``links`` counts the verified links of the
-    row's text to other texts found before the class was complete. Texts with equal words are one
-    text. Texts without words, empty and null ones among them, are in a class only with rows of
-    the same text. Of wholly equal rows one stays. An empty table gives an empty result.
+    ``class_id`` is the smallest id of the class, ``class_size`` its rows, and ``kept`` marks the one
+    row that stays (smallest id, null ids last). Texts with equal words are one text. Texts without
+    words, empty and null ones among them, are in a class only with rows of the same text. Of wholly
+    equal rows one stays. An empty table gives an empty result.
     """
     ship_code(docs.sparkSession)
     rows = _signatures(docs, text_col)
     ident = F.col("row").getField(id_col)
     rank = F.struct(ident.isNull().alias("missing"), ident.alias("id"), "part", "slot")
     # The smallest row of each content, combined before the exchange.
-    nodes = rows.groupBy("content").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("content").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("bands", "sketch", "shingles")])
     nodes = written(nodes.select("*", F.monotonically_increasing_id().alias("node")), "contents")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -246,39 +302,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "candidate-texts",
     )
 
-    links, failed, labels = None, None, None
-    while True:
-        centres = members.groupBy("bucket").agg(F.min("node").alias("centre"))
-        pairs = members.join(centres, "bucket").where("node <> centre")
-        if labels is not None:
-            pairs = _labelled(_labelled(pairs, labels, "node"), labels, "centre").where("label_node <> label_centre")
-        pairs = pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        checked = written(_verified(pairs, texts, similarity), "alignments")
-        passed, missed = checked.where("similarity > 0").select("a", "b"), checked.where("similarity = 0").select("a", "b")
-        links = passed if links is None else links.unionByName(passed)
-        failed = missed if failed is None else failed.unionByName(missed)
-        if labels is None or not passed.isEmpty():
-            labels = written(components(links), "labels")
-        # Centres have met all members; buckets of one class are done.
-        rest = _labelled(members.join(centres, "bucket").where("node <> centre").drop("centre"), labels, "node")
-        open_ = rest.groupBy("bucket").agg(F.min("label_node").alias("low"), F.max("label_node").alias("high")).where("low <> high")
-        members = written(rest.join(open_, "bucket").select("bucket", "node"), "buckets")
-        if members.isEmpty():
-            break
+    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"))
+    stars = members.join(centres, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tried = written(_verified(stars, texts, similarity), "alignments")
+    links = tried.where("similarity > 0").select("a", "b")
+    labels = written(components(links), "labels")
+    rest = written(_meetings(members, nodes, labels, similarity), "meetings").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    later = written(_verified(rest, texts, similarity), "alignments")
+    labels = written(components(links.unionByName(later.where("similarity > 0").select("a", "b"))), "labels")
 
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     named = _labelled(nodes.select("node", "content", "best", "n"), labels, "node")
     classes = named.groupBy("label_node").agg(F.min("best").alias("keep"), F.sum("n").alias("class_size"))
-    told = named.join(classes, "label_node").join(degree, "node", "left").select(
-        "content", "keep", "class_size", F.coalesce("links", F.lit(0)).alias("links")
-    )
+    told = named.join(classes, "label_node").select("content", "keep", "class_size")
     return rows.select("row", "content", "part", "slot").join(told, "content").select(
         "row",
         F.col("keep.id").alias("class_id"),
         "class_size",
-        "links",
         ((F.col("part") == F.col("keep.part")) & (F.col("slot") == F.col("keep.slot"))).alias("kept"),
     )
 
