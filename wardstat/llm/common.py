@@ -142,16 +142,15 @@ def gram_hashes(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nda
         total = np.zeros(n, np.uint64)
         whole = np.zeros(n, bool)
         for step in range(size):
+            left = max(n - step, 0)
             part = np.zeros(n, np.uint64)
-            part[: n - step] = hashes[step:] if step else hashes
+            part[:left] = hashes[step:]
             same = np.zeros(n, bool)
-            same[: n - step] = rows[step:] == rows[: n - step]
+            same[:left] = rows[step:] == rows[:left]
             total = np.where(same, total * _BASE + part, total)
             whole = same
         first = np.ones(n, bool)
         first[1:] = rows[1:] != rows[:-1]
-        last_of_row = np.zeros(n, bool)
-        counts = np.bincount(rows, minlength=int(rows.max()) + 1)
-        last_of_row = counts[rows] < size
-        keep = whole | (first & last_of_row)
+        short = np.bincount(rows)[rows] < size
+        keep = whole | (first & short)
         return mix(total[keep]), rows[keep]
