@@ -9,13 +9,13 @@ lengths; it reaches 0.8 only inside a band around the diagonal, to which the ali
 Equal word sequences are one node of the graph. A bucket of candidates is first compared as a star:
 all members with its smallest one. Buckets whose members are not connected by that go on in pieces
 of bounded size, any two of which meet in one task; there the whole sketches of members of
-different classes are compared, and the pairs that agree often enough are aligned. So every pair of
+different classes are compared. Each member's likeliest link is aligned first, which joins most
+classes that have one, then all pairs of what are still different classes that agree often enough. So every pair of
 a bucket is either in one class already or judged by its sketches and its alignment.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -205,34 +205,43 @@ def _signatures(docs: DataFrame, text_col: str) -> DataFrame:
     return written(packed.mapInArrow(work, schema), "order-minhash")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) with their similarity, 0 where it is below ``least``."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def _sequences(texts: DataFrame) -> DataFrame:
+    """(node, sequence): the shingle hashes of each (node, text), in text order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        for batch in batches:
+            out = []
+            for _, rows, hashes, owners in shingles(column(batch, "text")):
+                cuts = np.searchsorted(owners, np.arange(rows + 1))
+                out += [hashes[cuts[k] : cuts[k + 1]].tobytes() for k in range(rows)]
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(out, pa.binary())], names=["node", "sequence"])
 
-        def sequence(node: int, text: pa.Scalar) -> np.ndarray:
-            if node not in known:
-                known[node] = next(iter(shingles(pa.array([text.as_py()], pa.string()))))[2]
-                if len(known) > 64:
-                    known.popitem(last=False)
-            return known[node]
+    return written(texts.mapInArrow(work, "node long, sequence binary"), "candidate-sequences")
+
+
+def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) with their similarity, 0 where it is below ``least``."""
+    left = sequences.select(F.col("node").alias("a"), F.col("sequence").alias("sequence_a"))
+    right = sequences.select(F.col("node").alias("b"), F.col("sequence").alias("sequence_b"))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
             out = [
-                aligned(sequence(x, t), sequence(y, u), least)
-                for x, y, t, u in zip(a, b, column(batch, "text_a"), column(batch, "text_b"))
+                aligned(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least)
+                for x, y in zip(column(batch, "sequence_a"), column(batch, "sequence_b"))
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "a"), column(batch, "b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"]
+            )
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(work, "a long, b long, similarity double")
 
 
-def _meetings(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket that are in different classes and share enough sketches."""
+def _meetings(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: float, best: bool) -> DataFrame:
+    """Pairs (a, b) of a bucket that are in different classes and share enough sketches.
+
+    With ``best``, each member of a meeting only names the one that it shares most sketches with.
+    """
     told = _labelled(members, labels, "node")
     open_ = told.groupBy("bucket").agg(
         F.min("label_node").alias("low"), F.max("label_node").alias("high"), F.count(F.lit(1)).alias("n")
@@ -260,15 +269,16 @@ def _meetings(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: fl
         left, right = [], []
         for start, stop in zip(cuts, cuts[1:]):
             at = order[start:stop]
-            for k, i in enumerate(at[:-1]):
-                rest = at[k + 1 :]
+            for k, i in enumerate(at):
+                rest = at if best else at[k + 1 :]
                 # Short of classes and lengths that rule a pair out, sketches are compared.
                 fit = (label[rest] != label[i]) & (np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9)
                 if not inside[i]:
                     fit &= own[rest] != own[i]
                 rest = rest[fit]
                 if len(rest):
-                    rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= SHARED_SKETCHES]
+                    common = (sketch[rest] == sketch[i]).sum(axis=1)
+                    rest = rest[common >= SHARED_SKETCHES] if not best else rest[[common.argmax()]][: int(common.max() >= SHARED_SKETCHES)]
                     left += np.minimum(node[rest], node[i]).tolist()
                     right += np.maximum(node[rest], node[i]).tolist()
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
@@ -297,19 +307,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(members, "buckets")
     chosen = members.select("node").distinct().join(nodes.select("node", "content", "best"), "node")
     where = chosen.select("node", F.col("best.part").alias("part"), F.col("best.slot").alias("slot"))
-    texts = written(
-        rows.select(F.col("row").getField(text_col).alias("text"), "part", "slot").join(where, ["part", "slot"]).select("node", "text"),
-        "candidate-texts",
+    texts = _sequences(
+        rows.select(F.col("row").getField(text_col).alias("text"), "part", "slot").join(where, ["part", "slot"]).select("node", "text")
     )
 
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"))
     stars = members.join(centres, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tried = written(_verified(stars, texts, similarity), "alignments")
-    links = tried.where("similarity > 0").select("a", "b")
-    labels = written(components(links), "labels")
-    rest = written(_meetings(members, nodes, labels, similarity), "meetings").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    later = written(_verified(rest, texts, similarity), "alignments")
-    labels = written(components(links.unionByName(later.where("similarity > 0").select("a", "b"))), "labels")
+    labels = written(components(tried.where("similarity > 0").select("a", "b")), "labels")
+    # First everyone's likeliest link to another class, twice, then all that may still be links.
+    for best in (True, True, False):
+        rest = written(_meetings(members, nodes, labels, similarity, best), "meetings").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        later = written(_verified(rest, texts, similarity), "alignments")
+        if not later.where("similarity > 0").isEmpty():
+            labels = written(components(tried.unionByName(later).where("similarity > 0").select("a", "b")), "labels")
+        tried = tried.unionByName(later)
 
     named = _labelled(nodes.select("node", "content", "best", "n"), labels, "node")
     classes = named.groupBy("label_node").agg(F.min("best").alias("keep"), F.sum("n").alias("class_size"))
