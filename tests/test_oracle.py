@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from oracle.sql import oracle_queries
 from tests.compare import differences, duck
+from wardstat.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SQL = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+SQL = oracle_queries()
+QUERIES = catalog.queries()
 MODELS = ["class_auc", "class_roc", "lca_fit", "lca_select", "lca_posterior", "kmeans_rows", "kmeans_profiles", "cluster_profile"]
 
 
@@ -21,6 +23,7 @@ def con():
 def test_every_query_but_the_models_has_sql():
     assert sorted(set(QUERIES) - set(SQL)) == sorted(MODELS)
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(SQL))

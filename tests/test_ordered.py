@@ -165,3 +165,32 @@ def test_top_conditions_tie_goes_to_the_earlier_column(spark):
     df = spark.createDataFrame([(1, 1, 1, 0), (1, 0, 0, 0)], "class_assignment int, b int, a int, c int")
     rows = prevalence.top_conditions_by_group(df, ["b", "a", "c"], k=2).orderBy("rank").collect()
     assert [r.condition for r in rows] == ["b", "a"]
+
+
+def test_missing_strata_and_nan_values(spark):
+    from wardstat.operators.ordered import boxplot_summary
+    from wardstat.operators.roc import score_counts
+
+    rows = [(k, None if k % 4 == 0 else k % 3) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, c int")
+    for order_col in (None, "id"):
+        folded = validation.stratified_folds(df, "c", ["id"], 10, order_col=order_col).collect()
+        assert sorted(r.id for r in folded) == list(range(1000))
+        sizes = {}
+        for r in folded:
+            sizes[r.c, r.fold] = sizes.get((r.c, r.fold), 0) + 1
+        for c in (None, 0, 1, 2):
+            own = [sizes[c, f] for f in range(10)]
+            assert max(own) - min(own) <= 1
+    values = spark.createDataFrame([("g", float(v)) for v in (0, 1, 2, 3)] + [("g", float("nan"))], "g string, v double")
+    box = boxplot_summary(values, "g", "v").first()
+    assert (box.n, box.median, box.outliers) == (4, 1.5, 0)
+    assert score_counts(values.withColumn("label", F.lit(1)), "v").count() == 4
+
+
+def test_tune_keeps_what_the_user_set(spark):
+    from wardstat.session import tune
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    assert tune(other).conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"

@@ -41,13 +41,17 @@ class Coding:
         return np.cumsum([0] + [len(lv) for lv in self.levels])
 
     def codes(self) -> Column:
-        """Level number of each variable in one array; NULL for a value the model has not seen."""
-        return F.array(
-            *[
-                recode(v, {level: i for i, level in enumerate(lv)}).cast("int")
-                for v, lv in zip(self.variables, self.levels)
-            ]
-        )
+        """Level number of each variable in one array; NULL for a value the model has not seen.
+
+        Levels are sorted, so a variable's level is found by its place in a constant array.
+        """
+
+        def code(variable: str, levels: list) -> Column:
+            known = F.lit(levels)
+            place = F.array_position(known, F.col(variable).cast("bigint" if isinstance(levels[0], int) else "string"))
+            return F.nullif(place, F.lit(0).cast("bigint")).cast("int") - 1
+
+        return F.array(*[code(v, lv) for v, lv in zip(self.variables, self.levels)])
 
     def free_parameters(self, n_classes: int) -> int:
         return n_classes * sum(k - 1 for k in self.outcomes) + n_classes - 1
@@ -143,10 +147,10 @@ class Patterns:
     a lost executor re-reads its part from the checkpoint.
     """
 
-    def __init__(self, df: DataFrame, variables: Sequence[str], max_levels: int = 10_000):
+    def __init__(self, df: DataFrame, variables: Sequence[str]):
         usable = complete_cases(df.select(*variables), variables)
         raw = materialize(usable.groupBy(*variables).agg(F.count(F.lit(1)).alias("_w")))
-        self.coding = _coding(raw, list(variables), max_levels)
+        self.coding = _coding(raw, list(variables))
         coded = raw.select(self.coding.codes().alias("_codes"), F.col("_w").cast("double").alias("_w"))
         self.rows = coded.persist(StorageLevel.MEMORY_AND_DISK)
         self.partitions = self.rows.rdd.getNumPartitions()
@@ -158,14 +162,12 @@ class Patterns:
         self.rows.unpersist()
 
 
-def _coding(raw: DataFrame, variables: list[str], max_levels: int) -> Coding:
+def _coding(raw: DataFrame, variables: list[str]) -> Coding:
     kinds = dict(raw.dtypes)
     cells = F.explode(
         F.array(*[F.struct(F.lit(j).alias("j"), F.col(v).cast("string").alias("level")) for j, v in enumerate(variables)])
     ).alias("cell")
-    found = raw.select(cells).select("cell.j", "cell.level").distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(f"the class variables have more than {max_levels} levels; bucket the wide ones first")
+    found = raw.select(cells).select("cell.j", "cell.level").distinct().collect()  # model-sized
     levels: list[list] = [[] for _ in variables]
     for j, level in found:
         number = kinds[variables[j]] in ("tinyint", "smallint", "int", "bigint")

@@ -46,12 +46,12 @@ def running_totals(
     )
     inside = Window.partitionBy(*lead, _SLICE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = sliced.withColumns({name: F.sum(c).over(inside) for c, name in totals.items()})
-    matched = _null_safe_join(summed, offsets, [*lead, _SLICE])
+    matched = null_safe_join(summed, offsets, [*lead, _SLICE])
     shifted = matched.withColumns({name: F.col(name) + F.col(f"_offset_{c}") for c, name in totals.items()})
     return shifted.select(*df.columns, *totals.values(), *whole.values())
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` where NULL meets NULL; the keys are kept from the left side."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
@@ -62,9 +62,9 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def value_histogram(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
-    """Distinct non-NULL values with their row count; everything after this works on values."""
+    """Distinct values with their row count, without NULL and NaN; all that follows works on values."""
     lead = [group] if group else []
-    return df.where(F.col(value).isNotNull()).groupBy(*lead, value).agg(F.count(F.lit(1)).alias("n"))
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*lead, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _ranked(df: DataFrame, value: str, group: str | None) -> DataFrame:
@@ -108,7 +108,7 @@ def boxplot_summary(df: DataFrame, group: str, value: str, reach: float = 1.5) -
     v, span = F.col(value), (F.col("q3") - F.col("q1")) * reach
     inside = v.between(F.col("q1") - span, F.col("q3") + span)
     return (
-        _null_safe_join(ranked, fences, [group])
+        null_safe_join(ranked, fences, [group])
         .groupBy(group)
         .agg(
             F.max("size").alias("n"),

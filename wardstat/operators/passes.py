@@ -15,9 +15,6 @@ from wardstat.session import ship_code
 
 _PARTIAL = "slot int, sums array<double>"
 
-# Up to this many partitions the partial rows go straight to the driver, which saves an exchange.
-_DIRECT_PARTITIONS = 64
-
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """A scalar column of an Arrow batch."""
@@ -35,8 +32,8 @@ def summed_arrays(
 ) -> dict[int, np.ndarray]:
     """Apply ``work`` to every Arrow batch and sum its arrays per slot over the whole table.
 
-    A task adds its batches up before it emits one row per slot, so what leaves a task depends
-    on the model size and not on the data.
+    A task adds its batches up before it emits one row per slot, and the rows of a slot are added
+    on the executors, so what reaches the driver depends on the model size and not on the data.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,11 +52,6 @@ def summed_arrays(
 
     ship_code(df.sparkSession)
     partial = df.mapInArrow(task, _PARTIAL)
-    if partitions > _DIRECT_PARTITIONS:
-        merged = partial.groupBy("slot").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
-        partial = merged.select("slot", vector_to_array(F.col("sums")).alias("sums"))
-    result: dict[int, np.ndarray] = {}
-    for slot, sums in partial.collect():
-        values = np.asarray(sums)
-        result[slot] = result[slot] + values if slot in result else values
-    return result
+    merged = partial.groupBy("slot").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    rows = merged.select("slot", vector_to_array(F.col("sums")).alias("sums")).collect()
+    return {slot: np.asarray(sums) for slot, sums in rows}

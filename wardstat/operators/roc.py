@@ -11,10 +11,11 @@ from wardstat.operators.ordered import running_totals
 def score_counts(
     df: DataFrame, score: str = "score", label: str = "label", group: str | None = None, weight: str | None = None
 ) -> DataFrame:
-    """Positives and negatives per distinct score (and group); rows without score or label drop out."""
+    """Positives and negatives per distinct score (and group); rows without score (NaN counts as none) or label drop out."""
     lead = [group] if group else []
     w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    usable = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    usable = df.where(known & F.col(label).isNotNull())
     return usable.groupBy(*lead, F.col(score).alias("threshold")).agg(
         F.sum(F.when(F.col(label) == 1, w).otherwise(F.lit(0))).alias("pos"),
         F.sum(F.when(F.col(label) == 1, F.lit(0)).otherwise(w)).alias("neg"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardstat.functions.labels import recode, topcode
 from wardstat.operators.cohort import complete_cases, flag_count
 from wardstat.operators.prevalence import part_percentages, value_counts
-from wardstat.session import small_side
+from wardstat.session import materialize, small_side
 from wardstat.sources.tables import FLAGS, ClinicalTables
 
 # Integer codes of the two-level variables in the class model.
@@ -71,10 +71,16 @@ def subgroup_table(
     class_map: Mapping[int, int] | None = None,
     shift: int = 1,
     cap: int = 8,
+    id_cols: Sequence[str] = ("subject_id", "hadm_id", "icustay_id"),
 ) -> DataFrame:
-    """Flags back on 0/1, top-coded condition count, its percentage in the class, tidy class numbers."""
+    """Flags back on 0/1, top-coded condition count, its percentage in the class, tidy class numbers.
+
+    Rows are sorted by the count and then by those of ``id_cols`` that there are, so that the rows
+    of one count spread over many sorting tasks.
+    """
     unshifted = df.withColumns({f: F.expr(f"`{f}` - {shift}") for f in flags})
-    counted = unshifted.withColumn("count_morbidity", topcode(flag_count(flags), cap))
+    # Written once: the lookup and the result both read it.
+    counted = materialize(unshifted.withColumn("count_morbidity", topcode(flag_count(flags), cap)))
     # Percentages and tidy numbers both come from the (class, count) frequencies: one pass over
     # the rows for the small lookup, one to attach it.
     labels = class_lookup(counted, "class_assignment", "count_morbidity", "subject_id")
@@ -83,21 +89,29 @@ def subgroup_table(
     table = attached.select(*columns, "percent")
     if class_map is not None:
         table = table.withColumn("class_assignment", recode("class_assignment", class_map))
-    return table.orderBy("count_morbidity")
+    return table.orderBy("count_morbidity", *[c for c in id_cols if c in table.columns])
 
 
-def outcome_merge(subgroups: DataFrame, tables: ClinicalTables, sepsis: DataFrame) -> DataFrame:
+def outcome_merge(
+    subgroups: DataFrame, tables: ClinicalTables, sepsis: DataFrame, dedupe: bool = False
+) -> DataFrame:
     """Add scores, organ dysfunction, sepsis and survival to the subgroup rows (inner joins).
 
-    A stay-level score table repeats an admission with several stays, and so does the result.
+    A stay-level score table repeats an admission with several stays, and so does the result. With
+    ``dedupe`` every score table keeps the largest score of an admission, and no row is repeated.
     """
     ids = ["subject_id", "hadm_id"]
+
+    def scores(table: DataFrame, *names: str) -> DataFrame:
+        picked = table.select(*ids, *names)
+        return picked.groupBy(*ids).agg(*[F.max(n).alias(n) for n in names]) if dedupe else picked
+
     alive = tables.patients.select("subject_id", F.isnull("dod").alias("dod_missing"))
     return (
-        subgroups.join(tables.sofa.select(*ids, "sofa"), ids)
-        .join(tables.oasis.select(*ids, "oasis"), ids)
-        .join(tables.angus.select(*ids, "organ_dysfunction", "explicit_sepsis"), ids)
-        .join(sepsis.select(*ids, "sepsis"), ids)
+        subgroups.join(scores(tables.sofa, "sofa"), ids)
+        .join(scores(tables.oasis, "oasis"), ids)
+        .join(scores(tables.angus, "organ_dysfunction", "explicit_sepsis"), ids)
+        .join(scores(sepsis, "sepsis"), ids)
         .join(alive, "subject_id")
         .withColumnRenamed("class_assignment", "Subgroup")
     )

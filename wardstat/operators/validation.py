@@ -10,20 +10,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from wardstat.operators.ordered import null_safe_join, running_totals
 from wardstat.operators.passes import column, matrix, summed_arrays
 from wardstat.operators.roc import auc_score, roc_points
 from wardstat.session import materialize, ship_code, small_side
 
 
 def stratified_folds(
-    df: DataFrame, stratum: str, id_cols: Sequence[str], folds: int = 10, cells: int = 4096
+    df: DataFrame,
+    stratum: str,
+    id_cols: Sequence[str],
+    folds: int = 10,
+    cells: int | None = None,
+    order_col: str | None = None,
 ) -> DataFrame:
     """Add ``fold`` so that every stratum is spread over the folds to within one row.
 
     Rows are ordered by a hash of their id. A row's position in its stratum is its position in
     its hash cell plus the size of the cells before it, so a large stratum is ordered in
-    ``cells`` pieces instead of one.
+    ``cells`` pieces instead of one; by default there are more of them the more partitions a
+    shuffle has. With ``order_col`` the folds are runs along that column instead. Rows without a
+    stratum are a stratum of their own.
     """
+    if order_col is not None:
+        one = df.withColumn("_one", F.lit(1).cast("bigint"))
+        ranked = running_totals(one, [order_col, *id_cols], {"_one": "_upto"}, stratum, whole={"_one": "_size"})
+        fold = F.floor((F.col("_upto") - 1) * folds / F.col("_size")).cast("int")
+        return ranked.select(*df.columns, fold.alias("fold"))
+    if cells is None:
+        cells = 1 << max(12, (64 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     hashed = F.xxhash64(*id_cols)
     placed = df.withColumns({"_hash": hashed, "_cell": F.shiftrightunsigned(hashed, 32).bitwiseAND(F.lit(cells - 1))})
     sizes = placed.groupBy(stratum, "_cell").agg(F.count(F.lit(1)).alias("_size"))
@@ -37,7 +52,7 @@ def stratified_folds(
         )
     )
     inside = Window.partitionBy(stratum, "_cell").orderBy("_hash", *id_cols)
-    ranked = placed.join(offsets, [stratum, "_cell"]).withColumn(
+    ranked = null_safe_join(placed, offsets, [stratum, "_cell"]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(inside) - 1
     )
     fold = F.floor(F.col("_rank") * folds / F.col("_stratum_size")).cast("int")

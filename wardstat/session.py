@@ -9,14 +9,12 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest lookup table, in rows, that is sent to every executor.
-BROADCAST_ROW_LIMIT = 200_000
-
 
 _shipped: set[str] = set()
 
+# Marks a session whose options have been set.
+_TUNED = "wardstat.tuned"
+
 
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, for the Arrow functions."""
@@ -33,17 +31,23 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the runtime options the operators rely on (all are changeable at run time)."""
+    """Ship the package and set, once per session, those runtime options that the user left unset."""
     ship_code(spark)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # Split a hot join key even where that costs another exchange.
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    if spark.conf.get(_TUNED, None) is None:
+        # Split a hot join key even where that costs another exchange.
+        wanted = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+        for key, value in wanted.items():
+            if not spark.sparkContext.getConf().contains(key) and not _changed(spark, key):
+                spark.conf.set(key, value)
+        spark.conf.set(_TUNED, "true")
     return spark
 
 
+def _changed(spark: SparkSession, key: str) -> bool:
+    """Whether the session differs from the default that a new session would have."""
+    return spark.conf.get(key) != spark.newSession().conf.get(key)
+
+
 def local_session(cores: int | str = 8, app: str = "wardstat", **conf: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
@@ -89,13 +93,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Compute a lookup table once and mark it for broadcast if its row count allows it.
+def small_side(df: DataFrame) -> DataFrame:
+    """Write a lookup table once below the shared folder and read it back.
 
-    Above ``limit`` rows the table is returned unmarked and joins fall back to a shuffle.
+    The planner then knows its size in bytes and broadcasts it where
+    ``spark.sql.autoBroadcastJoinThreshold`` allows that.
     """
-    ready = materialize(df)
-    return F.broadcast(ready) if ready.count() <= limit else ready
+    path = scratch_path(df.sparkSession, "lookup")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
