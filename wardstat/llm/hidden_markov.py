@@ -97,7 +97,7 @@ def _totals(blocks: DataFrame) -> DataFrame:
     a frequent token; a range sends no more than ``FREQUENT`` of these.
     """
     distinct = blocks.agg(F.sum("distinct")).first()[0] or 0
-    ranges = max(1, -(-distinct // RANGE_TOKENS), min(partitions_for(blocks), distinct // 1000))
+    ranges = max(1, -(-distinct // RANGE_TOKENS), min(partitions_for(blocks), distinct // (50 * FREQUENT)))
     bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
