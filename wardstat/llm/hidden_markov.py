@@ -28,6 +28,8 @@ from wardstat.session import ship_code
 
 #: Bytes of text in a block, and distinct tokens (of all blocks) that one counting task takes.
 BLOCK_BYTES, RANGE_TOKENS = 6 << 20, 1_000_000
+#: Tokens whose forward values a training task holds at a time, unless one block has more.
+TOGETHER = 2_500_000
 #: Classes by ending, frequent tokens with a class of their own, states, and Baum-Welch passes.
 ENDINGS, FREQUENT, STATES, PASSES = 1024, 1000, 8, 6
 #: Bytes of an ending.
@@ -286,7 +288,8 @@ def expected_counts(chain: Chain, symbols: np.ndarray, lengths: np.ndarray) -> t
             beta[:later] = seen @ chain.moves.T
         # Step t - 1 reads its own forward values only, so those of step t can make room.
         alphas[place] *= beta[:n]
-    gammas = alphas / np.maximum(alphas.sum(axis=1, keepdims=True), 1e-300)
+    gammas = alphas
+    gammas /= np.maximum(gammas.sum(axis=1, keepdims=True), 1e-300)
     emitted = np.array([np.bincount(symbols, gammas[:, s], kinds) for s in range(states)])
     starts = gammas[(np.cumsum(lengths) - lengths)].sum(axis=0)
     return starts, moves * chain.moves, emitted, float(likelihood.sum())
@@ -297,6 +300,27 @@ def _symbols(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column(batch, "classes")[k].as_buffer(), "<u2"), lengths
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The training sequences of a batch, several blocks at a time.
+
+    A recursion takes as many steps as its longest sequence has tokens, so blocks share the steps.
+    """
+    symbols, lengths, size = [], [], 0
+    for k in range(batch.num_rows):
+        own, counts = _symbols(batch, k)
+        learned = np.array(column(batch, "train")[k].as_py(), bool)
+        own, counts = own[np.repeat(learned, counts)], counts[learned]
+        if size and size + len(own) > TOGETHER:
+            yield np.concatenate(symbols), np.concatenate(lengths)
+            symbols, lengths, size = [], [], 0
+        if len(own):
+            symbols.append(own)
+            lengths.append(counts)
+            size += len(own)
+    if size:
+        yield np.concatenate(symbols), np.concatenate(lengths)
+
+
 def _learned(shares: np.ndarray, starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray) -> Chain:
     emits = emitted + EMISSION_PRIOR * shares
     moves, starts = moves + TRANSITION_PRIOR, starts + TRANSITION_PRIOR
@@ -314,13 +338,10 @@ def train(sequences: DataFrame, classes: Classes, states: int = STATES, passes:
     def counter(chain: Chain) -> Callable[[pa.RecordBatch], dict[int, np.ndarray]]:
         def work(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
             sums = [np.zeros(states), np.zeros((states, states)), np.zeros((states, kinds)), np.zeros(1)]
-            for k in range(batch.num_rows):
-                symbols, lengths = _symbols(batch, k)
-                learned = np.array(column(batch, "train")[k].as_py(), bool)
-                if learned.any():
-                    *counts, likelihood = expected_counts(chain, symbols[np.repeat(learned, lengths)], lengths[learned])
-                    for total, part in zip(sums, [*counts, np.array([likelihood])]):
-                        total += part
+            for symbols, lengths in _together(batch):
+                *counts, likelihood = expected_counts(chain, symbols, lengths)
+                for total, part in zip(sums, [*counts, np.array([likelihood])]):
+                    total += part
             return dict(enumerate(sums))
 
         return work
