@@ -7,11 +7,11 @@ similarity is M / (a + b - M), with M the shingles that an alignment matches in
 lengths; it reaches 0.8 only inside a band around the diagonal, to which the alignment is confined.
 
 Equal word sequences are one node of the graph. A bucket of candidates is first compared as a star:
-all members with its smallest one. Buckets whose members are not connected by that go on in pieces
-of bounded size, any two of which meet in one task; there the whole sketches of members of
-different classes are compared. Each member's likeliest link is aligned first, which joins most
-classes that have one, then all pairs of what are still different classes that agree often enough. So every pair of
-a bucket is either in one class already or judged by its sketches and its alignment.
+all members with its smallest one. In buckets whose members are not connected by that, the members
+outside the largest class meet all others, in pieces of bounded size: every two pieces meet once and
+bring their sequences along. There a pair of different classes is judged by its sketches, the
+shingles it has in common and its alignment, and only links that join two classes leave the task. So
+every pair of a bucket is either in one class already or judged, and no list of pairs is ever written.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.llm.common import (
@@ -38,8 +38,8 @@ ROWS, BANDS, PICKS = 2, 13, 2
 #: Sketches that a pair must share to be aligned after the stars; a pair of similarity 0.8 shares 16
 #: of the 26 on average and fewer than these with a chance of about 0.0002.
 SHARED_SKETCHES = 8
-#: Members of a bucket in one piece, and members that one task takes.
-PIECE, TASK_MEMBERS = 512, 50_000
+#: Members of a bucket in one piece, and bytes of their sequences.
+PIECE, PIECE_BYTES = 512, 16 << 20
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1 << 62, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -66,16 +66,31 @@ def occurrences(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return count
 
 
+def labelled_by_occurrence(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The hashes with repetitions within a row told apart."""
+    again = occurrences(hashes, rows)
+    repeated = again > 0
+    labelled = hashes.copy()
+    with np.errstate(over="ignore"):
+        labelled[repeated] = mix(hashes[repeated] + again[repeated].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return labelled
+
+
+def banded(values: np.ndarray) -> np.ndarray:
+    """The bands of each row of sketches."""
+    total = np.zeros((len(values), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            total = mix(total * np.uint64(37) + values[:, r::ROWS])
+    return total
+
+
 def sketches(hashes: np.ndarray, rows: np.ndarray, picks: int = PICKS) -> tuple[np.ndarray, np.ndarray]:
     """Rows that have shingles, and for each its ROWS * BANDS sketches."""
     if not len(hashes):
         return np.empty(0, np.int64), np.empty((0, len(_MULTIPLIERS)), np.uint64)
-    labelled = hashes
-    again = occurrences(hashes, rows)
+    labelled = labelled_by_occurrence(hashes, rows)
     with np.errstate(over="ignore"):
-        repeated = again > 0
-        labelled = hashes.copy()
-        labelled[repeated] = mix(hashes[repeated] + again[repeated].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         sizes = np.diff(np.r_[starts, len(rows)])
         out = np.empty((len(starts), len(_MULTIPLIERS)), np.uint64)
@@ -181,11 +196,7 @@ def _signatures(docs: DataFrame, text_col: str) -> DataFrame:
                 found, values = sketches(hashes, owners)
                 for row, sketch in zip(found.tolist(), values):
                     whole[first + row] = sketch.tobytes()
-                with np.errstate(over="ignore"):
-                    total = np.zeros((len(found), BANDS), np.uint64)
-                    for r in range(ROWS):
-                        total = mix(total * np.uint64(37) + values[:, r::ROWS])
-                bands[first + found] = total
+                bands[first + found] = banded(values)
                 has[first + found] = True
             # A text without words is only ever equal to the same text.
             raw = [b"" if h else (t.as_py() or "").encode() for h, t in zip(has, texts)]
@@ -237,53 +248,94 @@ def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").mapInArrow(work, "a long, b long, similarity double")
 
 
-def _meetings(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: float, best: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket that are in different classes and share enough sketches.
+def _links(pieces: np.ndarray, band: int, nodes: np.ndarray, classes: np.ndarray, sketch: np.ndarray, sequences: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of one meeting that join different classes: within its one piece, or between its two.
 
-    With ``best``, each member of a meeting only names the one that it shares most sketches with.
+    A pair is judged in the meeting of the first band that it shares.
     """
-    told = _labelled(members, labels, "node")
-    open_ = told.groupBy("bucket").agg(
-        F.min("label_node").alias("low"), F.max("label_node").alias("high"), F.count(F.lit(1)).alias("n")
-    ).where("low <> high")
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    dealt = told.join(open_.select("bucket", pieces.alias("pieces")), "bucket").withColumn("own", own)
-    # A member meets the members of every piece of its bucket.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    sizes = np.array([len(s) for s in sequences])
+    starts = np.cumsum(sizes) - sizes
+    bands = banded(sketch)
+    low = pieces.min()
+    inside = low == pieces.max()
+    coded, links = None, []
+    for i in np.flatnonzero(pieces == low):
+        rest = np.arange(i + 1, len(nodes)) if inside else np.flatnonzero(pieces != low)
+        rest = rest[classes[rest] != classes[i]]
+        rest = rest[np.minimum(sizes[rest], sizes[i]) >= least * np.maximum(sizes[rest], sizes[i]) - 1e-9]
+        rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= SHARED_SKETCHES]
+        rest = rest[(bands[rest] == bands[i]).argmax(axis=1) == band]
+        if not len(rest):
+            continue
+        if coded is None:
+            labelled = labelled_by_occurrence(np.concatenate(sequences), np.repeat(np.arange(len(nodes)), sizes))
+            coded = np.unique(labelled, return_inverse=True)[1]
+            present = np.zeros(int(coded.max()) + 1, bool)
+        # An alignment never matches more shingles than the two texts have in common.
+        own = coded[starts[i] : starts[i] + sizes[i]]
+        present[own] = True
+        common = np.array([np.count_nonzero(present[coded[starts[j] : starts[j] + sizes[j]]]) for j in rest])
+        present[own] = False
+        enough = common >= least * (sizes[i] + sizes[rest] - common) - 1e-9
+        for j in rest[enough][np.argsort(-common[enough], kind="stable")]:
+            if classes[i] != classes[j] and aligned(sequences[i], sequences[j], least):
+                links.append((int(nodes[i]), int(nodes[j])))
+                classes[classes == classes[j]] = classes[i]
+    return links
+
+
+def _meetings(members: DataFrame, nodes: DataFrame, sequences: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join what the stars have left in different classes."""
+    told = _labelled(members, labels, "node").withColumnRenamed("label_node", "label").join(nodes.select("node", "sketch", "shingles"), "node")
+    classes = told.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("shingles")).alias("bytes"))
+    n, size = F.sum("n"), F.sum("bytes")
+    # The star has judged the only pair of a bucket of two.
+    open_ = classes.groupBy("bucket").agg(
+        F.max(F.struct("n", "bytes", "label")).alias("top"), n.alias("n"), size.alias("bytes"), F.count(F.lit(1)).alias("classes")
+    ).where("classes > 1 AND n > 2")
+
+    def pieces(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / PIECE), F.ceil(size / PIECE_BYTES)).cast("int")
+
+    open_ = open_.select(
+        "bucket", F.col("top.label").alias("main"), pieces(F.col("top.n"), F.col("top.bytes")).alias("inner"),
+        pieces(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("outer"),
+    )
+    dealt = told.join(open_, "bucket").join(sequences, "node")
+    # Outer pieces, numbered from 0, meet all pieces; those of the largest class meet the outer ones.
+    home, deal = F.col("label") == F.col("main"), F.xxhash64("node")
+    own = F.when(home, F.col("outer") + F.pmod(deal, F.col("inner"))).otherwise(F.pmod(deal, F.col("outer"))).cast("int")
+    last = F.when(home, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select(
-        "node", F.col("label_node").alias("label"), "own",
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
-        (F.col("own") == F.col("other")).alias("inside"),
+        "band", "own", "node", "label", "sketch", "sequence",
     )
-    dealt = dealt.join(nodes.select("node", "sketch", "shingles"), "node")
-    count = dealt.count()
-    grouped = dealt.withColumn("task", F.pmod("meeting", F.lit(max(1, -(-count // TASK_MEMBERS)))))
 
-    def meet(table: pa.Table) -> pa.Table:
-        meeting, node, label, own, size = (table.column(c).to_numpy() for c in ("meeting", "node", "label", "own", "shingles"))
-        inside = table.column("inside").to_numpy(zero_copy_only=False)
+    def meet(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        own, node, label = (table.column(c).to_numpy().copy() for c in ("own", "node", "label"))
         sketch = np.frombuffer(b"".join(v.as_py() for v in table.column("sketch")), np.uint64).reshape(len(node), -1)
-        order = np.argsort(meeting, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(meeting[order]) != 0, True])
-        left, right = [], []
-        for start, stop in zip(cuts, cuts[1:]):
-            at = order[start:stop]
-            for k, i in enumerate(at):
-                rest = at if best else at[k + 1 :]
-                # Short of classes and lengths that rule a pair out, sketches are compared.
-                fit = (label[rest] != label[i]) & (np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9)
-                if not inside[i]:
-                    fit &= own[rest] != own[i]
-                rest = rest[fit]
-                if len(rest):
-                    common = (sketch[rest] == sketch[i]).sum(axis=1)
-                    rest = rest[common >= SHARED_SKETCHES] if not best else rest[[common.argmax()]][: int(common.max() >= SHARED_SKETCHES)]
-                    left += np.minimum(node[rest], node[i]).tolist()
-                    right += np.maximum(node[rest], node[i]).tolist()
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return grouped.groupBy("task").applyInArrow(meet, "a long, b long")
+        whole = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("sequence")]
+        found = _links(own, table.column("band")[0].as_py(), node, label, sketch, whole, least)
+        a, b = (np.array([link[k] for link in found], np.int64) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            ids = column(batch, "meeting").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
+            for start, stop in zip(cuts, [*cuts[1:], len(ids)]):
+                if held and ids[start] != last:
+                    yield meet(held)
+                    held = []
+                last = ids[start]
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield meet(held)
+
+    return dealt.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -303,7 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(nodes.select("*", F.monotonically_increasing_id().alias("node")), "contents")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = buckets.join(shared.drop("members"), ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    members = buckets.join(shared.drop("members"), ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
     members = written(members, "buckets")
     chosen = members.select("node").distinct().join(nodes.select("node", "content", "best"), "node")
     where = chosen.select("node", F.col("best.part").alias("part"), F.col("best.slot").alias("slot"))
@@ -313,15 +365,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"))
     stars = members.join(centres, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tried = written(_verified(stars, texts, similarity), "alignments")
-    labels = written(components(tried.where("similarity > 0").select("a", "b")), "labels")
-    # First everyone's likeliest link to another class, twice, then all that may still be links.
-    for best in (True, True, False):
-        rest = written(_meetings(members, nodes, labels, similarity, best), "meetings").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        later = written(_verified(rest, texts, similarity), "alignments")
-        if not later.where("similarity > 0").isEmpty():
-            labels = written(components(tried.unionByName(later).where("similarity > 0").select("a", "b")), "labels")
-        tried = tried.unionByName(later)
+    tried = written(_verified(stars, texts, similarity), "alignments").where("similarity > 0").select("a", "b")
+    labels = written(components(tried), "labels")
+    later = written(_meetings(members, nodes, texts, labels, similarity), "links")
+    if not later.isEmpty():
+        labels = written(components(tried.unionByName(later)), "labels")
 
     named = _labelled(nodes.select("node", "content", "best", "n"), labels, "node")
     classes = named.groupBy("label_node").agg(F.min("best").alias("keep"), F.sum("n").alias("class_size"))
