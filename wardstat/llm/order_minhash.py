@@ -297,11 +297,12 @@ def _meetings(members: DataFrame, nodes: DataFrame, sequences: DataFrame, labels
     def pieces(n: Column, size: Column) -> Column:
         return F.greatest(F.ceil(n / PIECE), F.ceil(size / PIECE_BYTES)).cast("int")
 
+    # Written before the join, so that adaptive execution can split a large bucket there.
     open_ = open_.select(
         "bucket", F.col("top.label").alias("main"), pieces(F.col("top.n"), F.col("top.bytes")).alias("inner"),
         pieces(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("outer"),
     )
-    dealt = told.join(open_, "bucket").join(sequences, "node")
+    dealt = told.join(written(open_, "open-buckets"), "bucket").join(sequences, "node")
     # Outer pieces, numbered from 0, meet all pieces; those of the largest class meet the outer ones.
     home, deal = F.col("label") == F.col("main"), F.xxhash64("node")
     own = F.when(home, F.col("outer") + F.pmod(deal, F.col("inner"))).otherwise(F.pmod(deal, F.col("outer"))).cast("int")
