@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstat.llm import decontamination, exact_dedup, hidden_markov, order_minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
+from wardstat.llm import decontamination, exact_dedup, hidden_markov, order_minhash, packing, periodic, pii
+from wardstat.llm import quality, sharding, suffix_dedup, toxicity, warc, whitening
 from wardstat.llm.common import documents, labels
 
 
@@ -81,6 +82,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.drop("stored_digest")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return periodic.report(periodic.periodic_runs(periodic.with_planted_periods(docs)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    rows = whitening.quantised(vectors).select("vec_id", "x")
+    found = whitening.whiten(rows, whitening.fit(rows))
+    return found.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -92,6 +110,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op11_warc": op11_warc,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -104,4 +125,10 @@ ORACLE_SQL = {
               FROM t GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM t JOIN g USING (text_sha256)""",
+    "op11_warc": """
+        WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT payload_digest, min(page_id) AS first FROM t WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, if(first <> page_id, 'revisit', 'response') AS record_type,
+               if(first <> page_id, first, NULL) AS refers_to
+        FROM t LEFT JOIN g USING (payload_digest)""",
 }
