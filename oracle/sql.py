@@ -253,6 +253,109 @@ _ROC = """
   where score is not null and label is not null group by score window w as (order by score desc)"""
 
 
+_MANIFEST = ["admission_type", "gender", "age_at_admission", *FLAGS]
+_MANIFEST_LIST = ", ".join(f"'{v}'" for v in _MANIFEST)
+
+# A parameter table by a plain rule over the levels of the prepared rows, three classes.
+_PARAMS = f"""answers as materialized (
+  unpivot (select icustay_id, {", ".join(f"cast({v} as varchar) as {v}" for v in _MANIFEST)} from prepared)
+  on {", ".join(_MANIFEST)} into name variable value level
+), levels as (
+  select variable, level, row_number() over (partition by variable order by cast(level as integer)) as code, count(*) as n
+  from answers group by variable, level
+), params as materialized (
+  select c, variable, level, c / 6.0 as share, w / sum(w) over (partition by c, variable) as prob
+  from (select c, variable, level, 1 + (c * 7 + list_position([{_MANIFEST_LIST}], variable) * 3 + code * 5) % 11 as w
+        from levels, (select unnest([1, 2, 3]) as c)))"""
+
+
+def _expectation(name: str, params: str) -> str:
+    """Class probabilities of every row under a parameter table, and its log density."""
+    return f"""{name} as materialized (
+  select icustay_id, c, exp(j - top) / sum(exp(j - top)) over (partition by icustay_id) as post,
+         top + ln(sum(exp(j - top)) over (partition by icustay_id)) as density
+  from (select *, max(j) over (partition by icustay_id) as top from (
+    select icustay_id, c, ln(greatest(any_value(share), 1e-300)) + sum(ln(greatest(prob, 1e-300))) as j
+    from answers join {params} using (variable, level) group by icustay_id, c)))"""
+
+
+_STEP = """step as materialized (
+  select c, variable, level, n / sum(n) over (partition by c, variable) as prob,
+         sum(n) over (partition by c, variable) / sum(n) over (partition by variable) as share
+  from (select c, variable, level, sum(post) as n from answers join first_look using (icustay_id) group by c, variable, level)
+)"""
+_EM = f"{_PARAMS}, {_expectation('first_look', 'params')}, {_STEP}"
+_CHAIN = f"""{_EM}, {_expectation('second_look', 'step')}, modal as (
+  select icustay_id, arg_max(c, (post, -c)) as c from second_look group by icustay_id
+), frequent as (select c, row_number() over (order by count(*) desc, c) as place from modal group by c order by count(*) desc, c limit 2
+), moved as (select icustay_id, cast(arg_max(c, (post, -place)) as integer) as class_assignment
+  from second_look join frequent using (c) group by icustay_id)"""
+
+
+def _subgroup_table() -> str:
+    return f"""select f.*, s.class_assignment, count_morbidity,
+              round(100.0 * count(*) over (partition by m.class_assignment, count_morbidity) / count(*) over (partition by m.class_assignment), 6) as percent
+            from (select subject_id, hadm_id, icustay_id, deathtime, gender, age_at_admission, admission_type, los_icu_days, los_hospital_days, {_each('{f} - 1 as {f}')} from prepared) f
+            join (select icustay_id, {_TOPCODED} as count_morbidity from counted) k on k.icustay_id = f.icustay_id
+            join moved m on m.icustay_id = f.icustay_id
+            join (select icustay_id, cast(dense_rank() over (order by class_assignment) as integer) as class_assignment from moved) s on s.icustay_id = f.icustay_id"""
+
+
+def _kmeans_step(k: int = 6) -> str:
+    distance = [
+        "(" + " + ".join([f"({f} - {((i + c) % 5) / 10}) ** 2" for i, f in enumerate(FLAGS)] + [f"(age_at_admission - {20 + 12 * c}) ** 2"]) + ")"
+        for c in range(k)
+    ]
+    means = ", ".join(f"round(avg({f}), 6) as {f}" for f in [*FLAGS, "age_at_admission"])
+    return f"""select cast(list_position(d, list_min(d)) - 1 as integer) as cluster, count(*) as n, round(sum(list_min(d)), 6) as inertia, {means}
+      from (select *, [{", ".join(distance)}] as d from adults a join elixhauser e on e.hadm_id = a.hadm_id where age_at_admission <= 95)
+      group by 1"""
+
+
+_LOGIT = ["gender", "admission_type", "age", *FLAGS[:9]]
+
+
+def _logit_gradient() -> str:
+    names = "['intercept', " + ", ".join(f"'{f}'" for f in _LOGIT) + "]"
+    return f"""select cast(c as integer) as class_assignment, fold, quantity, term_a, term_b, round(sum(total) over (partition by c, quantity, term_a, term_b) - total, 6) as value
+      from (
+        select c, fold, 'loss' as quantity, null::varchar as term_a, null::varchar as term_b, sum(greatest(e, 0) + ln(1 + exp(-abs(e))) - y * e) as total from fits group by c, fold
+        union all
+        select c, fold, 'gradient', a, null, sum((p - y) * x[i]) from fits, places group by c, fold, a
+        union all
+        select c, fold, 'curvature', a, b, sum(p * (1 - p) * x[i] * x[j]) from fits, pairs group by c, fold, a, b
+      )"""
+
+
+_LOGIT_FITS = """design as (
+  select cast(subject_id % 7 + 1 as integer) as cls, cast(subject_id % 10 as integer) as fold, {x} as x from (select *, age_at_admission / 100.0 as age from prepared)
+), etas as (
+  select c, fold, x, if(cls = c, 1.0, 0.0) as y,
+         list_sum(list_transform(range(1, len(x) + 1), lambda j: x[j] * ((c * 5 + (j - 1) * 3) % 7 - 3) / 20.0)) as e
+  from design, (select unnest(range(1, 8)) as c)
+), fits as materialized (select *, 1 / (1 + exp(-e)) as p from etas
+), places as (select unnest({names}) as a, unnest(range(1, len({names}) + 1)) as i
+), pairs as (select l.a, l.i, r.a as b, r.i as j from places l join places r on r.i >= l.i)"""
+
+
+def _ordered_folds(folds: int = 10) -> str:
+    return f"""select subject_id, hadm_id, icustay_id, cast(c as integer) as target, cast(count(*) filter (where upto <= rank) as integer) as fold
+      from (select *, row_number() over (partition by c, enc order by subject_id, hadm_id, icustay_id) - 1 as rank from (
+              select r.*, c, (cls = c) <> (first(cls) over (order by subject_id, hadm_id, icustay_id) = c) as enc
+              from (select *, subject_id % 7 + 1 as cls from included) r, (select distinct subject_id % 7 + 1 as c from included)))
+      join (select c as ac, enc as aenc, i, sum(n) over (partition by c, enc order by i) as upto from (
+              select c, p >= head as enc, p % {folds} as i, count(*) as n
+              from (select c, if(lead = c, own, whole - own) as head, unnest(range(cast(whole as bigint))) as p from (
+                      select subject_id % 7 + 1 as c, count(*) as own, sum(count(*)) over () as whole,
+                             (select subject_id % 7 + 1 from included order by subject_id, hadm_id, icustay_id limit 1) as lead
+                      from included group by 1))
+              group by all)) on ac = c and aenc = enc
+      group by all"""
+
+
+_FACTOR = "dense_rank() over (order by {v})"
+
+
 def _binary() -> str:
     whole = ["subject_id", "hadm_id", "icustay_id", "deathtime", "age_at_admission", "los_icu_days", "los_hospital_days",
              *FLAGS, '"Subgroup"', "sofa", "oasis", "organ_dysfunction", "explicit_sepsis", "sepsis", "dod_missing"]
@@ -327,17 +430,70 @@ def oracle_queries() -> dict[str, str]:
         "network_nodes": f"select name, total_cooccurrences, round(pct, 6) as total_pct, round(least(pct, 60), 6) as node_size from (select a as name, cast(sum(n) as bigint) as total_cooccurrences, 100.0 * sum(n) / sum(sum(n)) over () as pct from {_ALL_PAIRS} group by 1)",
         "lca_prepare": "select * from prepared",
         "reassign_classes": f"select subject_id, hadm_id, r.icustay_id, class_assignment from prepared r join moved m on m.icustay_id = r.icustay_id",
-        "subgroup_table": f"""select f.*, s.class_assignment, count_morbidity,
-              round(100.0 * count(*) over (partition by m.class_assignment, count_morbidity) / count(*) over (partition by m.class_assignment), 6) as percent
-            from (select subject_id, hadm_id, icustay_id, deathtime, gender, age_at_admission, admission_type, los_icu_days, los_hospital_days, {_each('{f} - 1 as {f}')} from prepared) f
-            join (select icustay_id, {_TOPCODED} as count_morbidity from counted) k on k.icustay_id = f.icustay_id
-            join moved m on m.icustay_id = f.icustay_id
-            join (select icustay_id, cast(dense_rank() over (order by class_assignment) as integer) as class_assignment from moved) s on s.icustay_id = f.icustay_id""",
+        "subgroup_table": _subgroup_table(),
+        "model_subgroups": _subgroup_table(),
+        "model_outcomes": f"""select r.label as "Subgroup", {", ".join(f"round(100 * avg({c}), 6) as {c}" for c in ("organ_dysfunction", "explicit_sepsis", "sepsis"))},
+              round(100 * avg(cast(dod_missing as integer)), 6) as dod_missing, {_each("round(100 * avg(o.{f}), 6) as {f}")}
+            from outcomes o join (select icustay_id, cast(dense_rank() over (order by class_assignment) as integer) as label from moved) r on r.icustay_id = o.icustay_id group by 1""",
+        "lca_em_step": """select cast(c as integer) as "class", round(share, 6) as share, variable, level, round(prob, 6) as prob,
+              (select round(sum(density), 6) from first_look where c = 1) as log_likelihood from step""",
+        "lca_posterior_fixed": """select subject_id, hadm_id, icustay_id, round(p1, 6) as p1, round(p2, 6) as p2, round(p3, 6) as p3, cast(k as integer) as class_assignment
+            from prepared join (select icustay_id, max(post) filter (where c = 1) as p1, max(post) filter (where c = 2) as p2,
+              max(post) filter (where c = 3) as p3, arg_max(c, (post, -c)) as k from first_look group by icustay_id) using (icustay_id)""",
+        "kmeans_step": _kmeans_step(),
+        "logit_gradient": _logit_gradient(),
+        "ordered_folds": _ordered_folds(),
+        "csv_indexed": "select row_number() over (order by subject_id, hadm_id, icustay_id) - 1 as row_index, * from flagged",
+        "posterior_aligned": f"select subject_id, hadm_id, r.icustay_id, {', '.join(f'round(p{c}, 6) as p{c}' for c in range(1, 8))}, class_assignment from (select *, {_POSTERIORS} from prepared) r join moved m on m.icustay_id = r.icustay_id",
+        "factor_levels": """select variable, level, cast(row_number() over (partition by variable order by try_cast(level as integer), level) as integer) as code, count(*) as n
+            from (unpivot (select icustay_id, admission_type, gender, cast(age_at_admission as varchar) as age_at_admission from included)
+                  on admission_type, gender, age_at_admission into name variable value level) group by variable, level""",
+        "factor_conversion": f"select subject_id, hadm_id, icustay_id, {', '.join(f'cast({_FACTOR.format(v=v)} as integer) as {v}' for v in ('admission_type', 'gender', 'age_at_admission'))} from included",
+        "prevalence_overall_capped": "select condition, round(least(avg(v), 0.5), 6) as prevalence from marks group by 1",
+        "boxplot_oasis": _BOX.format(g='"Subgroup"', v="oasis", src="outcomes"),
+        "boxplot_age": _BOX.format(g="class_assignment", v="age_at_admission", src="(select *, cast(subject_id % 7 + 1 as integer) as class_assignment from included)"),
+        "boxplot_outliers": """select subject_id, hadm_id, icustay_id, gender, disease_count,
+              round(if(disease_count < q1 - 1.5 * (q3 - q1), q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)), 6) as fence
+            from (select *, quantile_cont(disease_count, 0.25) over (partition by gender) as q1,
+                         quantile_cont(disease_count, 0.75) over (partition by gender) as q3 from counted)
+            where disease_count < q1 - 1.5 * (q3 - q1) or disease_count > q3 + 1.5 * (q3 - q1)""",
+        "network_edges_by_class": f"""select cls as class_assignment, a as "from", b as "to", n as weight, round(n / max(n) over (partition by cls), 6) as weight_pct
+            from ({_PAIRS.format(key='l.class_assignment as cls,')}) where a <> b""",
+        "network_nodes_by_class": f"""select class_assignment, name, total_cooccurrences, round(pct, 6) as total_pct, round(least(pct, 60), 6) as node_size
+            from (select g.class_assignment, x.a as name, cast(coalesce(sum(p.n), 0) as bigint) as total_cooccurrences,
+                         100.0 * coalesce(sum(p.n), 0) / nullif(sum(coalesce(sum(p.n), 0)) over (partition by g.class_assignment), 0) as pct
+                  from (select distinct class_assignment from classed) g cross join {_GRID.format(c='a')} x
+                  left join ({_PAIRS.format(key='l.class_assignment as cls,')}) p on p.cls = g.class_assignment and p.a = x.a group by 1, 2)""",
+        "outcome_merge_deduped": """select c.* exclude (class_assignment), class_assignment as "Subgroup", s.sofa, o.oasis, g.organ_dysfunction,
+              g.explicit_sepsis, z.sepsis, p.dod is null as dod_missing
+            from classed c
+            join (select subject_id, hadm_id, max(sofa) as sofa from sofa group by all) s on s.subject_id = c.subject_id and s.hadm_id = c.hadm_id
+            join (select subject_id, hadm_id, max(oasis) as oasis from oasis group by all) o on o.subject_id = c.subject_id and o.hadm_id = c.hadm_id
+            join angus g on g.subject_id = c.subject_id and g.hadm_id = c.hadm_id
+            join sepsis z on z.subject_id = c.subject_id and z.hadm_id = c.hadm_id
+            join patients p on p.subject_id = c.subject_id""",
+        "roc_points_pruned": f"""select threshold, round(fp / neg_all, 6) as fpr, round(tp / pos_all, 6) as tpr from (
+              select *, max(fp) over () as neg_all, max(tp) over () as pos_all,
+                     lead(pos) over w as next_pos, lead(neg) over w as next_neg, row_number() over w as place
+              from ({_ROC}) window w as (order by threshold desc))
+            where place = 1 or next_pos is null or next_pos <> pos or next_neg <> neg""",
         "outcome_merge": "select * from outcomes",
         "outcome_prevalence": "select \"Subgroup\", round(100 * avg(organ_dysfunction), 6) as organ_dysfunction, round(100 * avg(sepsis), 6) as sepsis from outcomes group by 1",
         "stratified_folds": "select class_assignment, cast(floor((r - 1) * 10 / n) as integer) as fold, count(*) as n from (select subject_id % 7 + 1 as c, cast(subject_id % 7 + 1 as integer) as class_assignment, row_number() over (partition by subject_id % 7) as r, count(*) over (partition by subject_id % 7) as n from included) group by 1, 2",
         "auc_score": f"select cast(sum(pos) as bigint) as positives, cast(sum(neg) as bigint) as negatives, round(sum(neg * (tp - pos / 2.0)) / (sum(pos) * sum(neg)), 6) as auc from ({_ROC})",
         "roc_points": f"select threshold, round(fp / max(fp) over (), 6) as fpr, round(tp / max(tp) over (), 6) as tpr from ({_ROC})",
     }
-    extra = {"reassign_classes": f", {_KEPT}, {_NEW_CLASS}", "subgroup_table": f", {_KEPT}, {_NEW_CLASS}"}
+    chosen = f", {_KEPT}, {_NEW_CLASS}"
+    design = "[1.0, " + ", ".join(f"cast({f} as double)" for f in _LOGIT) + "]"
+    names = "['intercept', " + ", ".join(f"'{f}'" for f in _LOGIT) + "]"
+    extra = {
+        "reassign_classes": chosen,
+        "subgroup_table": chosen,
+        "posterior_aligned": chosen,
+        "lca_em_step": f", {_EM}",
+        "lca_posterior_fixed": f", {_PARAMS}, {_expectation('first_look', 'params')}",
+        "model_subgroups": f", {_CHAIN}",
+        "model_outcomes": f", {_CHAIN}",
+        "logit_gradient": ", " + _LOGIT_FITS.format(x=design, names=names),
+    }
     return {key: f"{_ROLES}{extra.get(key, '')}\n{sql}" for key, sql in body.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.functions.temporal import as_column
@@ -83,6 +83,16 @@ def cap_at(value: Column | str, limit: float) -> Column:
     return F.when(value > limit, F.lit(float(limit))).otherwise(value.cast("double"))
 
 
+def strip_name(name: str) -> str:
+    """A column name without its first character, as ``V1`` becomes ``1``."""
+    return name[1:]
+
+
+def strip_first(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rename columns (all by default) to their names without the first character."""
+    return df.withColumnsRenamed({c: strip_name(c) for c in (df.columns if columns is None else columns)})
+
+
 def report_number(value: Column | str, digits: int = 4) -> Column:
     """Plain decimal text rounded to ``digits`` places, without trailing zeros."""
     fixed = F.round(as_column(value).cast("double"), digits).cast(f"decimal(18,{digits})").cast("string")

@@ -4,25 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.functions.labels import age_bins
+from wardstat.operators.kmeans import KMeansFit, kmeans_fit
 from wardstat.operators.prevalence import group_profile
 from wardstat.session import materialize
 from wardstat.sources.tables import FLAGS
 
-_FEATURES = "_features"
-
-
-def _fit(df: DataFrame, columns: Sequence[str], k: int, seed: int) -> tuple[KMeansModel, DataFrame]:
-    vectors = VectorAssembler(inputCols=list(columns), outputCol=_FEATURES).transform(df)
-    estimator = KMeans(featuresCol=_FEATURES, predictionCol="cluster", k=k, seed=seed, maxIter=300, tol=1e-4)
-    model = estimator.fit(vectors)
-    return model, model.transform(vectors).drop(_FEATURES)
-
 
 def kmeans_rows(
     df: DataFrame,
@@ -31,13 +21,18 @@ def kmeans_rows(
     include_gender: bool = False,
     bin_age: bool = False,
     seed: int = 0,
-) -> tuple[KMeansModel, DataFrame]:
-    """Cluster rows on unscaled flags and age, optionally on gender (male = 1) as well."""
+) -> tuple[KMeansFit, DataFrame]:
+    """Cluster rows on unscaled flags and age, optionally on gender (male = 1) as well.
+
+    Rows with a missing flag or age have no cluster.
+    """
     rows = df.withColumn("gender", F.coalesce((F.col("gender") == "M").cast("double"), F.lit(0.0)))
     columns = [*flags, "age_at_admission", *(["gender"] if include_gender else [])]
-    model, clustered = _fit(rows, columns, k, seed)
-    kept = clustered.select(*columns, "cluster")
-    return model, kept.withColumn("age_group", age_bins("age_at_admission")) if bin_age else kept
+    # Written once: the fit reads it, and so does the result.
+    kept = materialize(rows.select(*columns))
+    model = kmeans_fit(kept, columns, k, seed)
+    clustered = model.transform(kept)
+    return model, clustered.withColumn("age_group", age_bins("age_at_admission")) if bin_age else clustered
 
 
 def kmeans_profiles(
@@ -46,11 +41,13 @@ def kmeans_profiles(
     k: int = 3,
     by_gender: bool = True,
     seed: int = 0,
-) -> tuple[KMeansModel, DataFrame]:
+) -> tuple[KMeansFit, DataFrame]:
     """Cluster the mean flag profile of every age group, or age group and gender."""
     keys = ["age_group", *(["gender"] if by_gender else [])]
     # A handful of rows: computed once, then read by every step of the fit.
-    return _fit(materialize(group_profile(df, keys, flags)), flags, k, seed)
+    profiles = materialize(group_profile(df, keys, flags))
+    model = kmeans_fit(profiles, list(flags), k, seed)
+    return model, model.transform(profiles)
 
 
 def cluster_profile(

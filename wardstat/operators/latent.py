@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from wardstat.functions.labels import recode
 from wardstat.operators.cohort import complete_cases
+from wardstat.operators.emstep import TINY
+from wardstat.operators.factors import level_code, level_dictionary
 from wardstat.operators.passes import column, matrix, summed_arrays
-from wardstat.session import materialize, ship_code
+from wardstat.session import materialize
 from wardstat.sources.tables import FLAGS
 
 # The variables of the class model besides the flags.
@@ -24,9 +23,6 @@ DEMOGRAPHICS = ["admission_type", "gender", "age_at_admission"]
 
 MANIFEST = DEMOGRAPHICS + FLAGS
 
-# A class probability below this counts as this in logarithms, so impossible levels stay finite.
-_TINY = 1e-300
-
 
 @dataclass(frozen=True)
 class Coding:
@@ -46,12 +42,7 @@ class Coding:
         Levels are sorted, so a variable's level is found by its place in a constant array.
         """
 
-        def code(variable: str, levels: list) -> Column:
-            known = F.lit(levels)
-            place = F.array_position(known, F.col(variable).cast("bigint" if isinstance(levels[0], int) else "string"))
-            return F.nullif(place, F.lit(0).cast("bigint")).cast("int") - 1
-
-        return F.array(*[code(v, lv) for v, lv in zip(self.variables, self.levels)])
+        return F.array(*[level_code(v, lv) - 1 for v, lv in zip(self.variables, self.levels)])
 
     def free_parameters(self, n_classes: int) -> int:
         return n_classes * sum(k - 1 for k in self.outcomes) + n_classes - 1
@@ -100,29 +91,59 @@ class LatentClassModel:
         """Add the class probabilities (array, class 1 first) and the most probable class.
 
         Rows with a missing or unseen value get NULL in both; equal probabilities go to the
-        first class.
+        first class. All in expressions: each value is looked up in its variable's dictionary of
+        class log-probabilities, which are summed and normalised by their largest.
         """
-        ship_code(df.sparkSession)
         log_probs, log_shares, starts = _logs(self.probs), _logs(self.shares), self.coding.starts
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def probabilities(codes: pd.Series) -> pd.Series:
-            known = np.flatnonzero(codes.notna())
-            if len(known) == 0:
-                return pd.Series([None] * len(codes), dtype=object)
-            post = _posterior(_one_hot(np.stack(codes.iloc[known]), starts) @ log_probs + log_shares)[0]
-            found = pd.Series(list(post), index=known, dtype=object).reindex(range(len(codes)))
-            return found.where(found.notna(), None)
-
-        codes = self.coding.codes()
-        complete = F.when(~F.exists(codes, F.isnull), codes)
-        scored = df.withColumn(posterior, probabilities(complete))
+        def answer(j: int, variable: str, levels: list) -> Column:
+            value = F.col(f"`{variable}`").cast("bigint" if isinstance(levels[0], int) else "string")
+            rows = log_probs[starts[j] : starts[j + 1]].tolist()
+            return F.try_element_at(F.map_from_arrays(F.lit(levels), F.lit(rows)), value)
+
+        answers = F.array(*[answer(j, v, lv) for j, (v, lv) in enumerate(zip(self.coding.variables, self.coding.levels))])
+        joint = F.aggregate(answers, F.lit(log_shares.tolist()), lambda total, row: F.zip_with(total, row, lambda x, y: x + y))
+        scored = df.withColumn(posterior, _let(joint, _normalised))
         best = F.array_position(F.col(posterior), F.array_max(posterior)).cast("int")
         return scored.withColumn(column, best)
 
+    @classmethod
+    def from_parameters(cls, params: DataFrame) -> LatentClassModel:
+        """The model that a parameter table describes, for scoring; levels compare as text.
+
+        ``params`` has one row per (class, variable, level), as :meth:`parameters` gives them; levels
+        that some classes lack have probability zero there.
+        """
+        rows = params.select("class", "share", "variable", "level", "prob").collect()  # model-sized
+        variables = sorted({r.variable for r in rows})
+        levels = [sorted({r.level for r in rows if r.variable == v}) for v in variables]
+        coding = Coding(variables, levels, [len(lv) for lv in levels])
+        place = {(v, lv): int(coding.starts[j]) + i for j, v in enumerate(variables) for i, lv in enumerate(levels[j])}
+        n_classes = max(r["class"] for r in rows)
+        shares, probs = np.zeros(n_classes), np.zeros((int(coding.starts[-1]), n_classes))
+        for r in rows:
+            shares[r["class"] - 1] = r.share
+            probs[place[r.variable, r.level], r["class"] - 1] = r.prob
+        return cls(coding, shares, probs, float("nan"), 0, 0, False)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _normalised(joint: Column) -> Column:
+    """Probabilities from an array of logarithms; NULL stays NULL."""
+
+    def shares(raw: Column) -> Column:
+        mass = F.aggregate(raw, F.lit(0.0), lambda total, x: total + x)
+        return _let(mass, lambda m: F.transform(raw, lambda x: x / m))
+
+    return _let(F.array_max(joint), lambda top: _let(F.transform(joint, lambda x: F.exp(x - top)), shares))
+
 
 def _logs(p: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(p, _TINY))
+    return np.log(np.maximum(p, TINY))
 
 
 def _one_hot(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -163,23 +184,14 @@ class Patterns:
 
 
 def _coding(raw: DataFrame, variables: list[str]) -> Coding:
-    kinds = dict(raw.dtypes)
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(j).alias("j"), F.col(v).cast("string").alias("level")) for j, v in enumerate(variables)])
-    ).alias("cell")
-    found = raw.select(cells).select("cell.j", "cell.level").distinct().collect()  # model-sized
-    levels: list[list] = [[] for _ in variables]
-    for j, level in found:
-        number = kinds[variables[j]] in ("tinyint", "smallint", "int", "bigint")
-        levels[j].append(int(level) if number else level)
-    used = [j for j, lv in enumerate(levels) if len(lv) > 1]  # a constant says nothing about classes
-    levels = [sorted(lv) for lv in levels]
+    found = level_dictionary(raw, variables)  # model-sized
+    used = [v for v in variables if len(found[v]) > 1]  # a constant says nothing about classes
 
     def outcomes(lv: list) -> int:
         # Whole numbers from 1 up count as codes 1..max, as in the published parameter count.
         return lv[-1] if isinstance(lv[0], int) and lv[0] >= 1 else len(lv)
 
-    return Coding([variables[j] for j in used], [levels[j] for j in used], [outcomes(levels[j]) for j in used])
+    return Coding(used, [found[v] for v in used], [outcomes(found[v]) for v in used])
 
 
 @dataclass

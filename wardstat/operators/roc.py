@@ -22,17 +22,29 @@ def score_counts(
     )
 
 
-def _cumulated(counts: DataFrame, group: str | None) -> DataFrame:
+def _cumulated(counts: DataFrame, group: str | None, following: dict[str, str] | None = None) -> DataFrame:
     sums = {"pos": "tp", "neg": "fp"}
-    return running_totals(counts, ["threshold"], sums, group, descending=True, whole={"pos": "p", "neg": "n"})
+    return running_totals(
+        counts, ["threshold"], sums, group, descending=True, whole={"pos": "p", "neg": "n"}, following=following
+    )
 
 
-def roc_points(counts: DataFrame, group: str | None = None) -> DataFrame:
+def roc_points(counts: DataFrame, group: str | None = None, prune: bool = False) -> DataFrame:
     """One point per distinct score, highest first: (threshold, fpr, tpr), without the origin.
 
-    ``counts`` comes from :func:`score_counts`.
+    ``counts`` comes from :func:`score_counts`. With ``prune`` a point goes where the step to it and
+    the step from it are the same, for it lies in the middle of a straight piece; the first and the
+    last point stay, and so does the area.
     """
-    return _cumulated(counts, group).select(
+    if prune:
+        points = _cumulated(counts, group, {"pos": "_next_pos", "neg": "_next_neg"})
+        last = F.col("_next_pos").isNull()
+        first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+        turns = (F.col("_next_pos") != F.col("pos")) | (F.col("_next_neg") != F.col("neg"))
+        points = points.where(first | last | turns)
+    else:
+        points = _cumulated(counts, group)
+    return points.select(
         *([group] if group else []),
         "threshold",
         (F.col("fp") / F.nullif(F.col("n"), F.lit(0))).alias("fpr"),

@@ -6,8 +6,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.storagelevel import StorageLevel
 
 from wardstat.operators.ordered import null_safe_join, running_totals
@@ -59,6 +60,72 @@ def stratified_folds(
     return ranked.select(*df.columns, fold.alias("fold"))
 
 
+def fold_bounds(first: int, other: int, folds: int) -> tuple[list[int], list[int]]:
+    """For the label of the first row and for the other one: the rank at which each fold after the first begins.
+
+    Labels are laid out one after the other and dealt to the folds in turn; that gives each fold's
+    number of rows of a label, and a label's rows fill the folds in their order.
+    """
+
+    def dealt(begin: int, end: int) -> list[int]:
+        sizes = [(end + folds - 1 - i) // folds - (begin + folds - 1 - i) // folds for i in range(folds)]
+        return np.cumsum(sizes)[:-1].tolist()
+
+    return dealt(0, first), dealt(first, first + other)
+
+
+def ordered_folds(
+    df: DataFrame,
+    class_col: str,
+    order: Sequence[str],
+    folds: int = 10,
+    name: str = "folds",
+) -> DataFrame:
+    """Add the fold of every one-vs-all target as an array, stratified without shuffling.
+
+    The folds are those of a stratified split of the rows along ``order``, made for the target "is of
+    class c" of each class c in ascending order. ``order`` must tell all rows apart: a row number
+    from :mod:`wardstat.sources.positional` keeps the order of a file. Rows without a class are left
+    out. Ranks come from running totals in slices, so neither a class nor the table meets in one task.
+    """
+    usable = df.where(F.col(class_col).isNotNull())
+    sizes = {c: n for c, n in usable.groupBy(class_col).agg(F.count(F.lit(1))).collect()}  # one row per class
+    classes, rows = sorted(sizes), sum(sizes.values())
+    if not classes:
+        return usable.withColumn(name, F.array().cast("array<int>"))
+    marked = usable.withColumns(
+        {"_one": F.lit(1).cast("bigint"), **{f"_is{k}": (F.col(class_col) == c).cast("bigint") for k, c in enumerate(classes)}}
+    )
+    totals = {"_one": "_upto", **{f"_is{k}": f"_upto{k}" for k in range(len(classes))}}
+    ranked = running_totals(marked, order, totals)
+    leader = ranked.where("_upto = 1").select(class_col).first()[0]
+
+    def fold(k: int, c) -> Column:
+        own, rest = sizes[c], rows - sizes[c]
+        if c == leader:
+            bounds_own, bounds_rest = fold_bounds(own, rest, folds)
+        else:
+            bounds_rest, bounds_own = fold_bounds(rest, own, folds)
+
+        def count(rank: Column, bounds: list[int]) -> Column:
+            return sum(((rank > b).cast("int") for b in bounds), F.lit(0))
+
+        is_own = F.col(f"_is{k}") == 1
+        return F.when(is_own, count(F.col(f"_upto{k}"), bounds_own)).otherwise(
+            count(F.col("_upto") - F.col(f"_upto{k}"), bounds_rest)
+        )
+
+    return ranked.select(*df.columns, F.array(*[fold(k, c) for k, c in enumerate(classes)]).alias(name))
+
+
+def target_folds(folded: DataFrame, class_col: str, ids: Sequence[str], name: str = "folds") -> DataFrame:
+    """The folds of :func:`ordered_folds` as rows (ids, target, fold)."""
+    classes = sorted(r[0] for r in folded.select(class_col).distinct().collect())  # one row per class
+    long = folded.select(*ids, F.posexplode(name).alias("_k", "fold"))
+    target = F.get(F.array(*[F.lit(c) for c in classes]), F.col("_k")) if classes else F.lit(None)
+    return long.select(*ids, target.alias("target"), "fold")
+
+
 def out_of_fold_counts(
     df: DataFrame,
     features: Sequence[str],
@@ -74,22 +141,26 @@ def out_of_fold_counts(
     unscaled weights) has one maximum per class and fold. Newton steps reach all of them
     together: a step costs one pass over the data for all classes and folds, where separate
     fits would need a pass per step, class and fold. Rows with equal features, class and fold
-    are collapsed to one weighted row first.
+    are collapsed to one weighted row first. ``fold_col`` is one fold for all targets, or an array with
+    the fold for each class (from :func:`ordered_folds`).
 
     Returns (class, threshold, pos, neg), ready for :mod:`wardstat.operators.roc`.
     """
+    per_target = isinstance(df.schema[fold_col].dataType, ArrayType)
     collapsed = (
-        df.na.drop(subset=[*features, class_col, fold_col])
+        df.na.drop(subset=[*features, class_col])
+        .where(F.col(fold_col).isNotNull())
         .groupBy(
             F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
             F.col(class_col).alias("_class"),
-            F.col(fold_col).alias("_fold"),
+            (F.col(fold_col) if per_target else F.array(F.col(fold_col).cast("int"))).alias("_fold"),
         )
         .agg(F.count(F.lit(1)).cast("double").alias("_w"))
     )
     rows = materialize(collapsed).persist(StorageLevel.MEMORY_AND_DISK)
-    classes = sorted(r[0] for r in rows.select("_class").distinct().collect())
-    folds = sorted(r[0] for r in rows.select("_fold").distinct().collect())
+    # One row per class, and as many folds as there are.
+    seen = rows.agg(F.sort_array(F.collect_set("_class")), F.max(F.array_max("_fold"))).first()
+    classes, folds = seen[0], list(range((seen[1] if seen[1] is not None else -1) + 1))
     fits = _newton(rows, len(features), classes, folds, inverse_penalty, max_iter, tol)
     scored = materialize(_held_out(rows, classes, folds, fits, class_col))
     rows.unpersist()
@@ -97,22 +168,27 @@ def out_of_fold_counts(
 
 
 def _newton(rows, n_features, classes, folds, inverse_penalty, max_iter, tol) -> np.ndarray:
+    """Weights of every class and fold, indexed by both."""
     width = n_features + 1
-    partitions = rows.rdd.getNumPartitions()
-    slots = [(c, f) for c in classes for f in folds]
+    slots = [(ci, f) for ci in range(len(classes)) for f in folds]
     beta = np.zeros((len(slots), width))
     ridge = np.full(width, 1.0 / inverse_penalty)
     ridge[0] = 0.0
+    upper = np.triu_indices(width)
     active = list(range(len(slots)))
     best = np.full(len(slots), np.inf)
     step = np.zeros_like(beta)
     for _ in range(max_iter):
-        current = {i: beta[i] for i in active}
-        found = summed_arrays(rows, partitions, lambda batch: _derivatives(batch, slots, current))
+        if not active:
+            break
+        current, chosen = beta[active].copy(), [slots[i] for i in active]
+        found = summed_arrays(rows, 0, lambda batch: {0: _derivatives(batch, classes, chosen, current)})
+        if not found:
+            break
+        sums = found[0].reshape(len(active), -1)
         still = []
-        for i in active:
-            sums = found[i]
-            loss = sums[0] + 0.5 * ridge @ beta[i] ** 2
+        for i, total in zip(active, sums):
+            loss = total[0] + 0.5 * ridge @ beta[i] ** 2
             if loss > best[i] + 1e-9 * abs(best[i]):
                 # The last step overshot: go back half of it.
                 step[i] /= 2.0
@@ -120,56 +196,61 @@ def _newton(rows, n_features, classes, folds, inverse_penalty, max_iter, tol) ->
                 still.append(i)
                 continue
             best[i] = loss
-            gradient = sums[1 : 1 + width] + ridge * beta[i]
-            hessian = sums[1 + width :].reshape(width, width) + np.diag(ridge)
+            gradient = total[1 : 1 + width] + ridge * beta[i]
+            hessian = np.diag(ridge)
+            hessian[upper] += total[1 + width :]
+            hessian = np.triu(hessian) + np.triu(hessian, 1).T
             step[i] = -np.linalg.lstsq(hessian, gradient, rcond=None)[0]
             beta[i] += step[i]
             if -gradient @ step[i] > tol:
                 still.append(i)
         active = still
-        if not active:
-            break
-    return beta
+    return beta.reshape(len(classes), len(folds), width)
 
 
 def _design(batch: pa.RecordBatch) -> np.ndarray:
     return np.insert(matrix(batch, "_x"), 0, 1.0, axis=1)
 
 
-def _derivatives(batch: pa.RecordBatch, slots: list, current: dict) -> dict[int, np.ndarray]:
-    """Loss, gradient and curvature of every active model on the rows outside its fold."""
+def _fold_of(batch: pa.RecordBatch, n_classes: int) -> np.ndarray:
+    """Fold of each row for each class; one shared fold counts for all of them."""
+    fold = matrix(batch, "_fold")
+    return np.broadcast_to(fold, (len(fold), n_classes)) if fold.shape[1] == 1 else fold
+
+
+def _derivatives(batch: pa.RecordBatch, classes: list, slots: list, beta: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature (upper triangle) of every model on the rows outside its fold.
+
+    All models share the products of the features, so the curvatures are one matrix product.
+    """
     x = _design(batch)
-    label, fold, weight = (column(batch, n) for n in ("_class", "_fold", "_w"))
-    out = {}
-    for slot, beta in current.items():
-        target, held_out = slots[slot]
-        w = weight * (fold != held_out)
-        eta = x @ beta
-        y = (label == target).astype(float)
-        p = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
-        loss = w @ (np.logaddexp(0.0, eta) - y * eta)
-        curvature = (x * (w * p * (1.0 - p))[:, None]).T @ x
-        out[slot] = np.concatenate([[loss], x.T @ (w * (p - y)), curvature.ravel()])
-    return out
+    fold, weight = _fold_of(batch, len(classes)), column(batch, "_w")
+    label = np.searchsorted(classes, column(batch, "_class"))
+    target, held_out = (np.array(side) for side in zip(*slots))
+    w = weight[:, None] * (fold[:, target] != held_out)
+    y = (label[:, None] == target).astype(float)
+    eta = x @ beta.T
+    p = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+    loss = (w * (np.logaddexp(0.0, eta) - y * eta)).sum(axis=0)
+    a, b = np.triu_indices(x.shape[1])
+    curvature = (w * p * (1.0 - p)).T @ (x[:, a] * x[:, b])
+    return np.concatenate([loss[:, None], (w * (p - y)).T @ x, curvature], axis=1)
 
 
 def _held_out(rows, classes, folds, fits: np.ndarray, class_col: str) -> DataFrame:
     """Score every row by the models that did not see its fold, then count per class and score."""
-    by_fold = {f: np.stack([fits[ci * len(folds) + fi] for ci in range(len(classes))]) for fi, f in enumerate(folds)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _design(batch)
-            label, fold, weight = (column(batch, n) for n in ("_class", "_fold", "_w"))
-            eta = np.zeros((len(label), len(classes)))
-            for f in np.unique(fold):
-                eta[fold == f] = x[fold == f] @ by_fold[f].T
-            score = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+            fold = _fold_of(batch, len(classes)).astype(int)
+            label, weight = column(batch, "_class"), column(batch, "_w")
             for i, c in enumerate(classes):
+                eta = np.einsum("ij,ij->i", x, fits[i][fold[:, i]])
                 yield pa.RecordBatch.from_pydict(
                     {
                         class_col: pa.array(np.full(len(label), c), pa.int64()),
-                        "threshold": pa.array(score[:, i]),
+                        "threshold": pa.array(1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))),
                         "pos": pa.array(np.where(label == c, weight, 0.0)),
                         "neg": pa.array(np.where(label == c, 0.0, weight)),
                     }
@@ -188,7 +269,11 @@ def class_scores(
     class_col: str = "class_assignment",
     id_cols: Sequence[str] = ("subject_id", "hadm_id"),
     folds: int = 10,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
+    """Held-out counts per class and score; with ``order`` the folds follow it, target by target."""
+    if order is not None:
+        return out_of_fold_counts(ordered_folds(df, class_col, order, folds), features, class_col, "folds")
     folded = stratified_folds(df.where(F.col(class_col).isNotNull()), class_col, id_cols, folds)
     return out_of_fold_counts(folded, features, class_col)
 
@@ -198,6 +283,6 @@ def class_auc(counts: DataFrame, class_col: str = "class_assignment") -> DataFra
     return auc_score(counts, class_col)
 
 
-def class_roc(counts: DataFrame, class_col: str = "class_assignment") -> DataFrame:
+def class_roc(counts: DataFrame, class_col: str = "class_assignment", prune: bool = False) -> DataFrame:
     """Cross-validated curve per class, from :func:`class_scores`."""
-    return roc_points(counts, class_col)
+    return roc_points(counts, class_col, prune)

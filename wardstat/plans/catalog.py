@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardstat.functions.labels import age_bins, age_bucket, disease_label, recode, topcode
+from wardstat.functions.labels import age_bins, age_bucket, disease_label, recode, strip_first, strip_name, topcode
 from wardstat.functions.temporal import calendar_age, duration_days
-from wardstat.operators import cluster, codes, cohort, latent, network, ordered, prevalence, roc, subgroups, validation
+from wardstat.operators import cluster, codes, cohort, emstep, factors, kmeans, latent, logit, network, ordered
+from wardstat.operators import prevalence, roc, subgroups, validation
 from wardstat.plans import reports, tableone
 from wardstat.session import materialize, scratch_path, tune
 from wardstat.sources.csvfiles import read_csv, write_csv
+from wardstat.sources.positional import ROW, align_by_position, numbered_csv, write_csv_file
 from wardstat.sources.star import star_tables
 from wardstat.sources.tables import FLAGS, ClinicalTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 N_CLASSES = 7
+# Classes of the fixed parameter table, and how many of them the chain from model to outcomes keeps.
+TABLE_CLASSES, TABLE_KEPT = 3, 2
 IDS = ["subject_id", "hadm_id", "icustay_id"]
+FACTORS = ["admission_type", "gender", "age_at_admission"]
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -142,9 +148,103 @@ def _cluster_profile(t: ClinicalTables) -> DataFrame:
     return cluster.cluster_profile(clustered, [*FLAGS, "age_at_admission"])
 
 
+def fixed_parameters(rows: DataFrame) -> DataFrame:
+    """A parameter table over the levels of ``rows``, with class probabilities by a plain rule."""
+    levels = factors.factor_levels(rows, latent.MANIFEST)
+    place = F.array_position(F.lit(latent.MANIFEST), F.col("variable"))
+    weight = (1 + (F.col("class") * 7 + place * 3 + F.col("code") * 5) % 11).cast("double")
+    spread = levels.withColumn("class", F.explode(F.sequence(F.lit(1), F.lit(TABLE_CLASSES)))).withColumn("_weight", weight)
+    prob = F.col("_weight") / F.sum("_weight").over(Window.partitionBy("variable", "class"))
+    share = F.col("class") / F.lit(float(sum(range(1, TABLE_CLASSES + 1))))
+    return spread.select("class", share.alias("share"), "variable", "level", prob.alias("prob"))
+
+
+def _em_step(t: ClinicalTables) -> DataFrame:
+    rows = materialize(model_rows(t).select(*latent.MANIFEST))
+    return emstep.lca_em_step(rows, materialize(fixed_parameters(rows)))
+
+
+def _fixed_posterior(t: ClinicalTables) -> DataFrame:
+    rows = materialize(model_rows(t))
+    model = latent.LatentClassModel.from_parameters(fixed_parameters(rows))
+    scored = model.transform(rows)
+    return scored.select(*IDS, *[F.get("posterior", F.lit(c)).alias(f"p{c + 1}") for c in range(TABLE_CLASSES)], "class_assignment")
+
+
+def model_classes(t: ClinicalTables) -> DataFrame:
+    """Rows classed by a model that one step has fitted, and moved to its most frequent classes."""
+    rows = materialize(model_rows(t))
+    fitted = emstep.lca_em_step(rows, materialize(fixed_parameters(rows)))
+    model = latent.LatentClassModel.from_parameters(fitted)
+    scored = materialize(model.transform(rows).where("class_assignment is not null"))
+    return subgroups.reassign_classes(scored, k=TABLE_KEPT).drop("posterior")
+
+
+def _model_outcomes(t: ClinicalTables) -> DataFrame:
+    """From the model's classes over the subgroup table to the prevalence of outcomes."""
+    table = subgroups.subgroup_table(model_classes(t))
+    sepsis = codes.sepsis_flags(t.admissions, t.diagnoses_icd, ordered=False)
+    merged = subgroups.outcome_merge(table, t, sepsis)
+    marked = merged.withColumn("dod_missing", F.col("dod_missing").cast("int"))
+    return prevalence.prevalence_by_group(marked, ["organ_dysfunction", "explicit_sepsis", "sepsis", "dod_missing", *FLAGS], "Subgroup")
+
+
+def fixed_centers(k: int = 6) -> np.ndarray:
+    """Centres over the flags and age, by a plain rule."""
+    return np.array([[((i + c) % 5) / 10 for i in range(len(FLAGS))] + [20.0 + 12 * c] for c in range(k)])
+
+
+# The variables of the fixed logistic models; age in hundreds of years.
+LOGIT_FEATURES = ["gender", "admission_type", "age", *FLAGS[:9]]
+
+
+def logit_weights() -> dict[int, list[float]]:
+    return {c: [((c * 5 + j * 3) % 7 - 3) / 20 for j in range(len(LOGIT_FEATURES) + 1)] for c in range(1, N_CLASSES + 1)}
+
+
+def _logit_gradient(t: ClinicalTables) -> DataFrame:
+    rows = with_class(model_rows(t)).withColumns(
+        {"age": F.col("age_at_admission") / F.lit(100.0), "fold": (F.col("subject_id") % 10).cast("int")}
+    )
+    return logit.logit_sums(rows, LOGIT_FEATURES, logit_weights())
+
+
+def _ordered_folds(t: ClinicalTables) -> DataFrame:
+    rows = materialize(with_class(cohort.included_patients(t)).select(*IDS, "class_assignment"))
+    folded = validation.ordered_folds(rows, "class_assignment", IDS)
+    return validation.target_folds(folded, "class_assignment", IDS)
+
+
 # ---- sources ------------------------------------------------------------------------------
 
 
+def _csv_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ordered file with an index column, read back."""
+    rows = cohort.cohort_with_flags(star_tables(tune(spark), sf_dir))
+    path = scratch_path(spark, "cohort-indexed") + ".csv"
+    write_csv_file(rows, path, IDS, index="row_index")
+    return tidy(read_csv(spark, path, "row_index long, " + ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)))
+
+
+def _posterior_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and class probabilities from two files without a common key, matched by position."""
+    rows = materialize(with_posterior(model_rows(star_tables(tune(spark), sf_dir))).select(*IDS, "class_assignment", "posterior"))
+    path = scratch_path(spark, "posterior")
+    probabilities = [F.get("posterior", F.lit(c)).alias(f"V{c + 1}") for c in range(N_CLASSES)]
+    ids, names = [f"_{c}" for c in IDS], [f"V{c + 1}" for c in range(N_CLASSES)]
+    write_csv_file(rows.drop("posterior"), f"{path}-rows.csv", IDS)
+    # The ids only order the second file: they are read past.
+    size = write_csv_file(rows.select(*probabilities, *[F.col(c).alias(k) for c, k in zip(IDS, ids)]), f"{path}-classes.csv", ids)
+    # Some sixteen splits, whatever the size.
+    cut = max(4096, min(size // 16, 128 << 20))
+    left = numbered_csv(spark, f"{path}-rows.csv", "subject_id long, hadm_id long, icustay_id long, class_assignment int", split_bytes=cut)
+    right = numbered_csv(spark, f"{path}-classes.csv", ", ".join([f"{n} double" for n in names] + [f"{k} long" for k in ids]), split_bytes=cut)
+    aligned = align_by_position(left, strip_first(right.drop(*ids), names)).drop(ROW)
+    numbers = [strip_name(n) for n in names]
+    moved = subgroups.reassign_classes(aligned.withColumn("posterior", F.array(*[F.col(f"`{n}`") for n in numbers])))
+    return tidy(moved.select(*IDS, *[F.col(f"`{n}`").alias(f"p{n}") for n in numbers], "class_assignment"))
+
+
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cohort.cohort_with_flags(star_tables(tune(spark), sf_dir))
     path = scratch_path(spark, "cohort-csv")
@@ -162,6 +262,11 @@ def _box_scores(t: ClinicalTables) -> DataFrame:
     return ordered.boxplot_summary(outcome_rows(t), "Subgroup", "sofa")
 
 
+def _box_outliers(t: ClinicalTables) -> DataFrame:
+    rows = materialize(cohort.morbidity_counts(t).select(*IDS, "gender", "disease_count"))
+    return ordered.boxplot_outliers(rows, "gender", "disease_count")
+
+
 def _pairs(t: ClinicalTables, by: str | None = None) -> DataFrame:
     return network.cooccurrence(classed_flags(t), FLAGS, by)
 
@@ -183,6 +288,8 @@ def queries() -> dict[str, Query]:
         "flags_with_age_group": on(cohort.flags_with_age_group),
         "sepsis_flags": on(lambda t: codes.sepsis_flags(t.admissions, t.diagnoses_icd)),
         "csv_roundtrip": _csv_roundtrip,
+        "csv_indexed": _csv_indexed,
+        "posterior_aligned": _posterior_aligned,
         # scalar functions
         "calendar_age": on(_ages),
         "duration_days": on(lambda t: t.icustays.select("icustay_id", duration_days("intime", "outtime").alias("los_icu_days"))),
@@ -193,6 +300,8 @@ def queries() -> dict[str, Query]:
         ),
         "recode": on(_recoded),
         "relabel_sequential": on(_relabelled),
+        "factor_levels": on(lambda t: factors.factor_levels(cohort.included_patients(t), FACTORS)),
+        "factor_conversion": on(lambda t: factors.to_factors(cohort.included_patients(t).select(*IDS, *FACTORS), FACTORS)),
         # reports
         "table_one_overall": _table_one(tableone.table_one_overall),
         "table_one_gender": _table_one(tableone.table_one_gender),
@@ -215,12 +324,16 @@ def queries() -> dict[str, Query]:
         "prevalence_overall": on(lambda t: prevalence.prevalence_overall(cohort.cohort_with_flags(t))),
         "prevalence_by_group": on(lambda t: prevalence.prevalence_by_group(classed_flags(t))),
         "prevalence_capped": on(lambda t: prevalence.prevalence_capped(classed_flags(t), cap=0.14)),
+        "prevalence_overall_capped": on(lambda t: prevalence.prevalence_capped(cohort.cohort_with_flags(t), group=None)),
         "prevalence_by_age_group": on(lambda t: prevalence.prevalence_by_age_group(cohort.flags_with_age_group(t))),
         "percent_within_group": on(_percent),
         "binary_columns": _binary_columns,
         "top_conditions_by_group": on(lambda t: prevalence.top_conditions_by_group(classed_flags(t))),
         "boxplot_summary": on(_boxplot),
         "boxplot_scores": on(_box_scores),
+        "boxplot_oasis": on(lambda t: ordered.boxplot_summary(outcome_rows(t), "Subgroup", "oasis")),
+        "boxplot_age": on(lambda t: ordered.boxplot_summary(with_class(cohort.included_patients(t)), "class_assignment", "age_at_admission")),
+        "boxplot_outliers": on(_box_outliers),
         "bubble_points": on(
             lambda t: prevalence.bubble_points(
                 with_class(cohort.morbidity_counts(t)).withColumn("count_morbidity", topcode("disease_count"))
@@ -231,6 +344,8 @@ def queries() -> dict[str, Query]:
         "cooccurrence_by_class": on(lambda t: _pairs(t, "class_assignment")),
         "network_edges": on(lambda t: network.network_edges(_pairs(t))),
         "network_nodes": on(lambda t: network.network_nodes(_pairs(t))),
+        "network_edges_by_class": on(lambda t: network.network_edges(_pairs(t, "class_assignment"), "class_assignment")),
+        "network_nodes_by_class": on(lambda t: network.network_nodes(_pairs(t, "class_assignment"), "class_assignment")),
         # subgroups
         "lca_prepare": on(model_rows),
         "reassign_classes": on(
@@ -241,13 +356,24 @@ def queries() -> dict[str, Query]:
         "outcome_prevalence": on(
             lambda t: prevalence.prevalence_by_group(outcome_rows(t), ["organ_dysfunction", "sepsis"], "Subgroup")
         ),
+        "outcome_merge_deduped": on(
+            lambda t: subgroups.outcome_merge(classed_flags(t), t, codes.sepsis_flags(t.admissions, t.diagnoses_icd, ordered=False), dedupe=True)
+        ),
         "stratified_folds": on(_fold_sizes),
+        "ordered_folds": on(_ordered_folds),
+        "model_subgroups": on(lambda t: subgroups.subgroup_table(model_classes(t))),
+        "model_outcomes": on(_model_outcomes),
         # discrimination
         "auc_score": lambda spark, sf: tidy(roc.auc_score(quality_counts(tune(spark), sf))),
         "roc_points": lambda spark, sf: tidy(roc.roc_points(quality_counts(tune(spark), sf))),
+        "roc_points_pruned": lambda spark, sf: tidy(roc.roc_points(quality_counts(tune(spark), sf), prune=True)),
+        "logit_gradient": on(_logit_gradient),
         "class_auc": lambda spark, sf: tidy(validation.class_auc(_class_scores(spark, sf))),
         "class_roc": lambda spark, sf: tidy(validation.class_roc(_class_scores(spark, sf))),
         # models
+        "lca_em_step": on(_em_step),
+        "lca_posterior_fixed": on(_fixed_posterior),
+        "kmeans_step": on(lambda t: kmeans.lloyd_step(cohort.flags_with_age(t), [*FLAGS, "age_at_admission"], fixed_centers())),
         "lca_fit": _lca_fit,
         "lca_select": _lca_select,
         "lca_posterior": _lca_posterior,
