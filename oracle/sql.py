@@ -435,6 +435,15 @@ def oracle_queries() -> dict[str, str]:
         "model_outcomes": f"""select r.label as "Subgroup", {", ".join(f"round(100 * avg({c}), 6) as {c}" for c in ("organ_dysfunction", "explicit_sepsis", "sepsis"))},
               round(100 * avg(cast(dod_missing as integer)), 6) as dod_missing, {_each("round(100 * avg(o.{f}), 6) as {f}")}
             from outcomes o join (select icustay_id, cast(dense_rank() over (order by class_assignment) as integer) as label from moved) r on r.icustay_id = o.icustay_id group by 1""",
+        "export_tables": " union all ".join(
+            f"select '{t}' as table_name, count(*) as n, cast(sum(subject_id) as bigint) as subject_sum, {' + '.join(f'count({c})' for c in columns)} as filled from {t}"
+            for t, columns in {"sofa": ("icustay_id", "hadm_id", "subject_id", "sofa"), "angus": ("hadm_id", "subject_id", "organ_dysfunction", "explicit_sepsis"),
+                               "oasis": ("hadm_id", "subject_id", "oasis"), "patients": ("subject_id", "gender", "dob", "dod")}.items()
+        ),
+        "named_view": "select admission_type, count(*) as n, round(avg(age_at_admission), 6) as mean_age, count(deathtime) as deaths from included group by 1",
+        "head": "select * from flagged order by subject_id, hadm_id, icustay_id limit 5",
+        "class_targets": f"select subject_id, hadm_id, icustay_id, if(gender = 'M', 1.0, 0.0)::double as male, {', '.join(f'cast(subject_id % 7 + 1 = {c} as integer) as target_{c}' for c in range(1, 8))} from included",
+        "answer_patterns": "select admission_type, gender, obesity, hypertension, depression, count(*) as n from prepared where subject_id % 3 > 0 group by all",
         "lca_em_step": """select cast(c as integer) as "class", round(share, 6) as share, variable, level, round(prob, 6) as prob,
               (select round(sum(density), 6) from first_look where c = 1) as log_likelihood from step""",
         "lca_posterior_fixed": """select subject_id, hadm_id, icustay_id, round(p1, 6) as p1, round(p2, 6) as p2, round(p3, 6) as p3, cast(k as integer) as class_assignment

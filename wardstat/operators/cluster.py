@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstat.functions.labels import age_bins
+from wardstat.functions.temporal import as_column
 from wardstat.operators.kmeans import KMeansFit, kmeans_fit
 from wardstat.operators.prevalence import group_profile
 from wardstat.session import materialize
 from wardstat.sources.tables import FLAGS
 
 
+def male(gender: Column | str) -> Column:
+    """Gender as a number: 1 for male, 0 for any other value and for none."""
+    return F.coalesce((as_column(gender) == "M").cast("double"), F.lit(0.0))
+
+
 def kmeans_rows(
     df: DataFrame,
     flags: Sequence[str] = FLAGS,
@@ -26,7 +32,7 @@ def kmeans_rows(
 
     Rows with a missing flag or age have no cluster.
     """
-    rows = df.withColumn("gender", F.coalesce((F.col("gender") == "M").cast("double"), F.lit(0.0)))
+    rows = df.withColumn("gender", male("gender"))
     columns = [*flags, "age_at_admission", *(["gender"] if include_gender else [])]
     # Written once: the fit reads it, and so does the result.
     kept = materialize(rows.select(*columns))

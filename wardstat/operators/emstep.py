@@ -20,6 +20,11 @@ from wardstat.session import materialize, small_side
 TINY = 1e-300
 
 
+def answer_patterns(df: DataFrame, variables: Sequence[str], weight: str = "n") -> DataFrame:
+    """Distinct answers of the rows that have all of them, and how many rows give each."""
+    return complete_cases(df.select(*variables), variables).groupBy(*variables).agg(F.count(F.lit(1)).alias(weight))
+
+
 def weighted_patterns(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Distinct answers of the complete rows as (id, cells, w), written once; ids are those of the written rows."""
     usable = complete_cases(df.select(*variables), variables)

@@ -38,9 +38,7 @@ def factor_levels(df: DataFrame, columns: Sequence[str], weight: str | None = No
     kinds = dict(df.dtypes)
     if not known:
         return df.sparkSession.createDataFrame([], "variable string, level string, code int, n bigint")
-    amount = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    exploded = df.select(F.explode(cells(known)).alias("cell"), amount.alias("_n"))
-    counts = exploded.where("cell.level is not null").groupBy("cell.variable", "cell.level").agg(F.sum("_n").alias("n"))
+    counts = _level_counts(df, known, weight)
     numeric = [c for c in known if kinds[c] != "string"]
     number = F.when(F.col("variable").isin(numeric), F.expr("try_cast(level as double)"))
     # One row per level from here on.
@@ -48,16 +46,35 @@ def factor_levels(df: DataFrame, columns: Sequence[str], weight: str | None = No
     return counts.select("variable", "level", F.row_number().over(order).alias("code"), "n")
 
 
+def _level_counts(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    amount = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    exploded = df.select(F.explode(cells(columns)).alias("cell"), amount.alias("_n"))
+    return exploded.where("cell.level is not null").groupBy("cell.variable", "cell.level").agg(F.sum("_n").alias("n"))
+
+
 def level_dictionary(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
     """The sorted levels of each column on the driver: whole numbers as such, all else as text."""
     kinds = dict(df.dtypes)
     known = present_columns(df, columns)
     found: dict[str, list] = {c: [] for c in known}
-    for variable, level in factor_levels(df, known).orderBy("variable", "code").select("variable", "level").limit(max_levels + 1).collect():
-        found[variable].append(int(level) if kinds[variable] in _WHOLE else level)
-    if sum(map(len, found.values())) > max_levels:
+    rows = _level_counts(df, known).select("variable", "level").limit(max_levels + 1).collect() if known else []
+    if len(rows) > max_levels:
         raise ValueError(f"more than {max_levels} levels: these columns are no factors")
-    return found
+    for variable, level in rows:
+        found[variable].append(int(level) if kinds[variable] in _WHOLE else level)
+
+    def place(column: str):
+        # The order of the codes above: numbers by size, text by its bytes.
+        return (lambda v: v) if kinds[column] in _WHOLE else (lambda v: v.encode()) if kinds[column] == "string" else _by_number
+
+    return {c: sorted(levels, key=place(c)) for c, levels in found.items()}
+
+
+def _by_number(level: str) -> tuple:
+    try:
+        return 1, float(level), level.encode()
+    except ValueError:
+        return 0, 0.0, level.encode()
 
 
 def level_code(column: str, levels: Sequence) -> Column:

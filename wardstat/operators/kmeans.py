@@ -83,14 +83,20 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
 
 
-def _uniform(x: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the point and the salt only, points by salts."""
+def _point_hashes(x: np.ndarray) -> np.ndarray:
+    """A number for each point that depends on its coordinates only."""
+    bits = (x + 0.0).view(np.uint64)
     with np.errstate(over="ignore"):
-        bits = (x + 0.0).view(np.uint64)
         h = np.zeros(len(x), np.uint64)
         for j in range(x.shape[1]):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + bits[:, j])
-        mixed = _mix(h[:, None] ^ salts[None, :])
+    return h
+
+
+def _uniform(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) for every point and salt."""
+    with np.errstate(over="ignore"):
+        mixed = _mix(hashes[:, None] ^ salts[None, :])
     return ((mixed >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
 
 
@@ -100,24 +106,27 @@ def _mix(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
-def _drawn(points: DataFrame, weights: dict[int, tuple], salts: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """For each slot one point drawn for each of its salts, in proportion to weight and distance.
+def _drawn(points: DataFrame, centers: dict[int, np.ndarray], salts: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+    """For each slot the weighted sum of squared distances, and a point drawn for each of its salts.
 
-    ``weights[slot]`` are the centres the distance is taken from; none for a draw by weight alone. The
-    smallest of exponential variables with these rates is such a draw; a task keeps its smallest one
-    for each salt, and the tasks' are compared on the executors.
+    Points are drawn in proportion to weight and squared distance to the slot's centres, or to weight
+    alone where it has none. The smallest of exponential variables with these rates is such a draw;
+    a task keeps its smallest one for each salt, and the tasks' are compared on the executors.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], tuple[float, np.ndarray]] = {}
+        cost = dict.fromkeys(centers, 0.0)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, w = matrix(batch, "_x"), column(batch, "_w")
-            for slot, centers in weights.items():
-                rate = w * (_distances(x, centers).min(axis=1) if len(centers) else 1.0)
+            hashes = _point_hashes(x)
+            for slot, c in centers.items():
+                rate = w * (_distances(x, c).min(axis=1) if len(c) else 1.0)
+                cost[slot] += float(rate.sum())
                 with np.errstate(divide="ignore"):
-                    keys = -np.log(_uniform(x, salts[slot])) / rate[:, None]
+                    keys = -np.log(_uniform(hashes, salts[slot])) / rate[:, None]
                 for t, row in enumerate(keys.argmin(axis=0)):
                     if (slot, t) not in best or keys[row, t] < best[slot, t][0]:
                         best[slot, t] = (float(keys[row, t]), x[row])
@@ -126,40 +135,46 @@ def _drawn(points: DataFrame, weights: dict[int, tuple], salts: dict[int, np.nda
                 {
                     "slot": pa.array([s for s, _ in best], pa.int32()),
                     "trial": pa.array([t for _, t in best], pa.int32()),
+                    "cost": pa.array([cost[s] for s, _ in best]),
                     "key": pa.array([k for k, _ in best.values()]),
                     "x": pa.array([p.tolist() for _, p in best.values()], pa.list_(pa.float64())),
                 }
             )
 
     ship_code(points.sparkSession)
-    found = points.mapInArrow(task, "slot int, trial int, key double, x array<double>")
-    rows = found.groupBy("slot", "trial").agg(F.min_by("x", F.struct("key", "x")).alias("x")).collect()
+    found = points.mapInArrow(task, "slot int, trial int, cost double, key double, x array<double>")
+    rows = found.groupBy("slot", "trial").agg(F.sum("cost"), F.min_by("x", F.struct("key", "x"))).collect()
     drawn: dict[int, list] = {}
-    for slot, _, x in sorted(rows, key=lambda r: (r[0], r[1])):
-        drawn.setdefault(slot, []).append(x)
-    return {slot: np.array(xs) for slot, xs in drawn.items()}
+    for slot, _, total, x in sorted(rows, key=lambda r: (r[0], r[1])):
+        drawn.setdefault(slot, []).append((total, x))
+    return {slot: (found[0][0], np.array([x for _, x in found])) for slot, found in drawn.items()}
 
 
 def seed_centers(points: DataFrame, k: int, restarts: int, seed: int) -> list[np.ndarray]:
-    """Greedy seeding: of a few points drawn by squared distance, the one that lowers the sum most joins."""
+    """Greedy seeding: of a few points drawn by squared distance, the one that lowers the sum most joins.
+
+    One pass measures the candidates of every restart and draws the candidates that follow each of
+    them, so a centre costs one pass.
+    """
     rng = np.random.default_rng(seed)
     trials = 2 + int(np.log(k))
-    first = _drawn(points, {r: np.empty((0, 0)) for r in range(restarts)}, {r: rng.integers(0, 1 << 63, 1, dtype=np.uint64) for r in range(restarts)})
-    centers = [first[r] for r in range(restarts)]
-    for _ in range(1, k):
-        drawn = _drawn(points, dict(enumerate(centers)), {r: rng.integers(0, 1 << 63, trials, dtype=np.uint64) for r in range(restarts)})
-        current = list(centers)
 
-        def potentials(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
-            x, w = matrix(batch, "_x"), column(batch, "_w")
-            out = {}
-            for r, candidates in drawn.items():
-                near = _distances(x, current[r]).min(axis=1)
-                out[r] = w @ np.minimum(near[:, None], _distances(x, candidates))
-            return out
-
-        sums = summed_arrays(points, 0, potentials)
-        centers = [np.vstack([c, drawn[r][int(np.argmin(sums[r]))]]) for r, c in enumerate(centers)]
+    def salts(slots, each: int) -> dict[int, np.ndarray]:
+        return {s: rng.integers(0, 1 << 63, each, dtype=np.uint64) for s in slots}
+
+    every = range(restarts)
+    first = _drawn(points, {r: np.empty((0, 0)) for r in every}, salts(every, 1))
+    centers = [first[r][1] for r in every]
+    if k == 1:
+        return centers
+    drawn = _drawn(points, dict(enumerate(centers)), salts(every, trials))
+    candidates = [drawn[r][1] for r in every]
+    for _ in range(1, k):
+        widened = {r * trials + t: np.vstack([centers[r], candidates[r][t]]) for r in every for t in range(trials)}
+        drawn = _drawn(points, widened, salts(widened, trials))
+        for r in every:
+            best = min(range(r * trials, (r + 1) * trials), key=lambda s: drawn[s][0])
+            centers[r], candidates[r] = widened[best], drawn[best][1]
     return centers
 
 

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from wardstat.operators.cohort import complete_cases
-from wardstat.operators.emstep import TINY
+from wardstat.operators.emstep import TINY, answer_patterns
 from wardstat.operators.factors import level_code, level_dictionary
 from wardstat.operators.passes import column, matrix, summed_arrays
 from wardstat.session import materialize
@@ -169,8 +168,7 @@ class Patterns:
     """
 
     def __init__(self, df: DataFrame, variables: Sequence[str]):
-        usable = complete_cases(df.select(*variables), variables)
-        raw = materialize(usable.groupBy(*variables).agg(F.count(F.lit(1)).alias("_w")))
+        raw = materialize(answer_patterns(df, variables, "_w"))
         self.coding = _coding(raw, list(variables))
         coded = raw.select(self.coding.codes().alias("_codes"), F.col("_w").cast("double").alias("_w"))
         self.rows = coded.persist(StorageLevel.MEMORY_AND_DISK)
@@ -216,24 +214,27 @@ def _random_start(coding: Coding, n_classes: int, rng: np.random.Generator) -> _
 def _em_pass(patterns: Patterns, params: dict[int, tuple]) -> dict[int, tuple]:
     """One pass for every parameter set: its log-likelihood and its EM update."""
     starts = patterns.coding.starts
-    logs = {i: (_logs(shares), _logs(probs)) for i, (shares, probs) in params.items()}
+    widths = [len(shares) for shares, _ in params.values()]
+    # All parameter sets side by side: one product with the answers serves them all.
+    log_probs = np.concatenate([_logs(probs) for _, probs in params.values()], axis=1)
+    log_shares = np.concatenate([_logs(shares) for shares, _ in params.values()])
+    cuts = np.cumsum(widths)[:-1]
 
     def work(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
         hot = _one_hot(matrix(batch, "_codes"), starts)
         weight = column(batch, "_w")
-        out = {}
-        for i, (log_shares, log_probs) in logs.items():
-            post, marginal = _posterior(hot @ log_probs + log_shares)
-            out[i] = np.concatenate([[weight @ marginal], (hot.T @ (post * weight[:, None])).ravel()])
-        return out
+        found = [_posterior(joint) for joint in np.split(hot @ log_probs + log_shares, cuts, axis=1)]
+        levels = [weight @ marginal for _, marginal in found]
+        counts = hot.T @ (np.concatenate([post for post, _ in found], axis=1) * weight[:, None])
+        return {0: np.concatenate([levels, counts.ravel()])}
 
+    summed = summed_arrays(patterns.rows, patterns.partitions, work)[0]
+    counted = np.split(summed[len(params) :].reshape(starts[-1], -1), cuts, axis=1)
     updated = {}
-    for i, sums in summed_arrays(patterns.rows, patterns.partitions, work).items():
-        shares, probs = params[i]
-        counts = sums[1:].reshape(probs.shape)
+    for level, counts, (i, (shares, probs)) in zip(summed, counted, params.items()):
         mass = counts[starts[0] : starts[1]].sum(axis=0)  # every row answers the first variable once
         fresh = np.where(mass > 0, counts / np.where(mass > 0, mass, 1.0), probs)
-        updated[i] = (float(sums[0]), mass / mass.sum(), fresh)
+        updated[i] = (float(level), mass / mass.sum(), fresh)
     return updated
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from wardstat.functions.labels import cap_at
 from wardstat.operators.cohort import flag_count
-from wardstat.session import small_side
+from wardstat.session import materialize, small_side
 from wardstat.sources.tables import FLAGS
 
 
@@ -108,7 +108,8 @@ def prevalence_by_age_group(
     df: DataFrame, age_group: str = "age_group", ignore: Sequence[str] = ("hadm_id", "gender")
 ) -> DataFrame:
     """Mean of every binary column per age group, in long form."""
-    columns = [c for c in binary_columns(df.drop(*ignore)) if c != age_group]
+    df = materialize(df.drop(*ignore))  # read by the tests for two values and by the means
+    columns = [c for c in binary_columns(df) if c != age_group]
     return long_form(group_profile(df, [age_group], columns), [age_group], columns, "condition", "prevalence")
 
 

@@ -60,6 +60,11 @@ def stratified_folds(
     return ranked.select(*df.columns, fold.alias("fold"))
 
 
+def one_vs_all(class_col: str, target) -> Column:
+    """1 for the rows of a class and 0 for those of all others; NULL without a class."""
+    return (F.col(class_col) == F.lit(target)).cast("int")
+
+
 def fold_bounds(first: int, other: int, folds: int) -> tuple[list[int], list[int]]:
     """For the label of the first row and for the other one: the rank at which each fold after the first begins.
 
@@ -94,7 +99,7 @@ def ordered_folds(
     if not classes:
         return usable.withColumn(name, F.array().cast("array<int>"))
     marked = usable.withColumns(
-        {"_one": F.lit(1).cast("bigint"), **{f"_is{k}": (F.col(class_col) == c).cast("bigint") for k, c in enumerate(classes)}}
+        {"_one": F.lit(1).cast("bigint"), **{f"_is{k}": one_vs_all(class_col, c).cast("bigint") for k, c in enumerate(classes)}}
     )
     totals = {"_one": "_upto", **{f"_is{k}": f"_upto{k}" for k in range(len(classes))}}
     ranked = running_totals(marked, order, totals)
@@ -157,7 +162,9 @@ def out_of_fold_counts(
         )
         .agg(F.count(F.lit(1)).cast("double").alias("_w"))
     )
-    rows = materialize(collapsed).persist(StorageLevel.MEMORY_AND_DISK)
+    # Dealt out evenly, since a Newton step computes far more than it reads.
+    spread = collapsed.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = materialize(spread).persist(StorageLevel.MEMORY_AND_DISK)
     # One row per class, and as many folds as there are.
     seen = rows.agg(F.sort_array(F.collect_set("_class")), F.max(F.array_max("_fold"))).first()
     classes, folds = seen[0], list(range((seen[1] if seen[1] is not None else -1) + 1))
@@ -272,9 +279,11 @@ def class_scores(
     order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Held-out counts per class and score; with ``order`` the folds follow it, target by target."""
+    # Written once: class sizes, ranks and features all read it.
+    known = materialize(df.where(F.col(class_col).isNotNull()).select(*dict.fromkeys([*features, class_col, *id_cols, *(order or [])])))
     if order is not None:
-        return out_of_fold_counts(ordered_folds(df, class_col, order, folds), features, class_col, "folds")
-    folded = stratified_folds(df.where(F.col(class_col).isNotNull()), class_col, id_cols, folds)
+        return out_of_fold_counts(ordered_folds(known, class_col, order, folds), features, class_col, "folds")
+    folded = stratified_folds(known, class_col, id_cols, folds)
     return out_of_fold_counts(folded, features, class_col)
 
 

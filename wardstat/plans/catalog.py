@@ -14,7 +14,7 @@ from wardstat.operators import cluster, codes, cohort, emstep, factors, kmeans,
 from wardstat.operators import prevalence, roc, subgroups, validation
 from wardstat.plans import reports, tableone
 from wardstat.session import materialize, scratch_path, tune
-from wardstat.sources.csvfiles import read_csv, write_csv
+from wardstat.sources.csvfiles import export_tables, read_csv, write_csv
 from wardstat.sources.positional import ROW, align_by_position, numbered_csv, write_csv_file
 from wardstat.sources.star import star_tables
 from wardstat.sources.tables import FLAGS, ClinicalTables
@@ -252,6 +252,51 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(read_csv(spark, path, rows.schema))
 
 
+EXPORTED = ("sofa", "angus", "oasis", "patients")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tables exported and read back, one line each."""
+    root = scratch_path(spark, "export")
+    tables = star_tables(tune(spark), sf_dir)
+    export_tables(tables, root, EXPORTED)
+    lines = []
+    for name in EXPORTED:
+        back = read_csv(spark, f"{root}/{name}.csv", getattr(tables, name).schema)
+        filled = sum(F.count(c) for c in back.columns)
+        lines.append(back.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.sum("subject_id").alias("subject_sum"), filled.alias("filled")))
+    return lines[0].unionByName(lines[1]).unionByName(lines[2]).unionByName(lines[3])
+
+
+def _from_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cohort kept as a named view, and SQL on that name."""
+    cohort.included_patients(star_tables(tune(spark), sf_dir)).createOrReplaceTempView("included_patients")
+    return tidy(spark.sql(
+        "SELECT admission_type, count(*) AS n, avg(age_at_admission) AS mean_age, count(deathtime) AS deaths "
+        "FROM included_patients GROUP BY admission_type"
+    ))
+
+
+def _head(t: ClinicalTables) -> DataFrame:
+    """The first rows of the cohort by its ids."""
+    return cohort.cohort_with_flags(t).orderBy(*IDS).limit(5)
+
+
+def _targets(t: ClinicalTables) -> DataFrame:
+    """One column per class that is 1 for its rows, and gender as a number."""
+    rows = with_class(cohort.included_patients(t))
+    classes = range(1, N_CLASSES + 1)
+    return rows.select(
+        *IDS, cluster.male("gender").alias("male"), *[validation.one_vs_all("class_assignment", c).alias(f"target_{c}") for c in classes]
+    )
+
+
+def _answer_patterns(t: ClinicalTables) -> DataFrame:
+    """Distinct answers of the complete rows with their number, as the class model reads them."""
+    rows = model_rows(t).withColumn("obesity", F.when(F.col("subject_id") % 3 > 0, F.col("obesity")))
+    return emstep.answer_patterns(rows, ["admission_type", "gender", "obesity", "hypertension", "depression"])
+
+
 def _boxplot(t: ClinicalTables) -> DataFrame:
     return ordered.boxplot_summary(cohort.included_patients(t).withColumn(
         "los_hospital_days", duration_days("admittime", "dischtime")
@@ -289,6 +334,9 @@ def queries() -> dict[str, Query]:
         "sepsis_flags": on(lambda t: codes.sepsis_flags(t.admissions, t.diagnoses_icd)),
         "csv_roundtrip": _csv_roundtrip,
         "csv_indexed": _csv_indexed,
+        "export_tables": _exported,
+        "named_view": _from_view,
+        "head": on(_head),
         "posterior_aligned": _posterior_aligned,
         # scalar functions
         "calendar_age": on(_ages),
@@ -370,7 +418,9 @@ def queries() -> dict[str, Query]:
         "logit_gradient": on(_logit_gradient),
         "class_auc": lambda spark, sf: tidy(validation.class_auc(_class_scores(spark, sf))),
         "class_roc": lambda spark, sf: tidy(validation.class_roc(_class_scores(spark, sf))),
+        "class_targets": on(_targets),
         # models
+        "answer_patterns": on(_answer_patterns),
         "lca_em_step": on(_em_step),
         "lca_posterior_fixed": on(_fixed_posterior),
         "kmeans_step": on(lambda t: kmeans.lloyd_step(cohort.flags_with_age(t), [*FLAGS, "age_at_admission"], fixed_centers())),
@@ -384,6 +434,6 @@ def queries() -> dict[str, Query]:
 
 
 def _binary_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = outcome_rows(star_tables(tune(spark), sf_dir))
+    rows = materialize(outcome_rows(star_tables(tune(spark), sf_dir)))
     # One row per column of the table, not of the data.
     return spark.createDataFrame([(c,) for c in prevalence.binary_columns(rows)], "column_name string")
