@@ -280,7 +280,7 @@ def class_scores(
 ) -> DataFrame:
     """Held-out counts per class and score; with ``order`` the folds follow it, target by target."""
     # Written once: class sizes, ranks and features all read it.
-    known = materialize(df.where(F.col(class_col).isNotNull()).select(*dict.fromkeys([*features, class_col, *id_cols, *(order or [])])))
+    known = materialize(df.where(F.col(class_col).isNotNull()).select(*dict.fromkeys([*features, class_col, *(id_cols if order is None else order)])))
     if order is not None:
         return out_of_fold_counts(ordered_folds(known, class_col, order, folds), features, class_col, "folds")
     folded = stratified_folds(known, class_col, id_cols, folds)

@@ -17,7 +17,7 @@ from wardstat.session import materialize, scratch_path, tune
 from wardstat.sources.csvfiles import export_tables, read_csv, write_csv
 from wardstat.sources.positional import ROW, align_by_position, numbered_csv, write_csv_file
 from wardstat.sources.star import star_tables
-from wardstat.sources.tables import FLAGS, ClinicalTables
+from wardstat.sources.tables import FLAGS, SCHEMAS, ClinicalTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -263,7 +263,7 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = []
     for name in EXPORTED:
         back = read_csv(spark, f"{root}/{name}.csv", getattr(tables, name).schema)
-        filled = sum(F.count(c) for c in back.columns)
+        filled = sum(F.count(c) for c in SCHEMAS[name].names)
         lines.append(back.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.sum("subject_id").alias("subject_sum"), filled.alias("filled")))
     return lines[0].unionByName(lines[1]).unionByName(lines[2]).unionByName(lines[3])
 
