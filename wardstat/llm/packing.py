@@ -32,21 +32,33 @@ ROUNDS = 6
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 
+# A sequence's number holds the exchange, the partition and the bin.
+_TURN_BITS, _BIN_BITS = 56, 24
+
 
 class Tokens:
     """Ids of texts by a byte-level vocabulary, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary cuts before a single space that stands between two visible characters, and cuts
-    never depend on more, so the parts between such spaces can be looked up by themselves. Texts
-    with other white space than single spaces and line ends inside words go through as a whole.
+    The ids are those of the tokenizer file at ``path``, without special tokens added around a text.
+    Where a text holds the string of a special token, the tokenizer itself encodes it. All other texts
+    go by the rank file of the same vocabulary, which is faster: its pattern cuts before a single space
+    that stands between two visible characters, and cuts never depend on more, so the parts between
+    such spaces can be looked up by themselves. Texts with other white space than single spaces and
+    line ends inside words go through as a whole. Without a rank file the tokenizer does all.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
-        import tiktoken
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str = "") -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.encode = None
+        if ranks_path is not None:
+            import tiktoken
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.other_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         self.known: dict[str, bytes] = {}
 
@@ -54,6 +66,8 @@ class Tokens:
         return np.asarray(self.encode(text), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if self.encode is None or any(s in text for s in self.special):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         runs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
         if runs or text[:1] in " \n" or text[-1:] in " \n" or self.other_space(text):
             return self._bytes(text)
@@ -69,6 +83,15 @@ class Tokens:
         return b"".join(out)
 
 
+def tokens(vocabulary: str | None = None) -> Tokens:
+    """The tokenizer file at ``vocabulary``; by default the public 50k vocabulary with its rank file."""
+    import public_tokenizers
+
+    if vocabulary is not None:
+        return Tokens(vocabulary)
+    return Tokens(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
     vocabulary: str | None = None,
@@ -82,14 +105,11 @@ def pieces(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-        tokens, end = Tokens(path, public_tokenizers.PATTERN), np.array([end_id], "<u4").tobytes()
+        encoder, end = tokens(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             for k, text in enumerate(column(batch, "text")):
-                ids = tokens.ids(text.as_py() or "") + end
+                ids = encoder.ids(text.as_py() or "") + end
                 count = len(ids) // 4
                 first = count % capacity or min(count, capacity)
                 at, number = 0, 0
@@ -176,13 +196,19 @@ def _settler(turn: int, last: bool, capacity: int) -> Callable[[pa.Table], pa.Ta
     def settle(table: pa.Table) -> pa.Table:
         sizes = table.column("length").to_numpy()
         bins, offsets, fills = best_fit_decreasing(sizes, capacity)
-        done = np.ones(len(fills), bool)
-        if not last and len(fills) > lower_bound(sizes, capacity):
-            done = fills == capacity
-        base = (turn << 56) | (table.column("part")[0].as_py() << 32)
+        bound = lower_bound(sizes, capacity)
+        # A full bin is as good as can be; the others are if the partition has no more than it needs.
+        certified = (fills == capacity) | (len(fills) == bound)
+        done = certified | last
+        base = (turn << _TURN_BITS) | (table.column("part")[0].as_py() << _BIN_BITS)
+        added = {
+            "sequence_id": base + bins, "offset": offsets, "round": np.full(len(bins), turn, np.int32), "certified": certified[bins],
+            "partition_bins": np.full(len(bins), len(fills)), "partition_bound": np.full(len(bins), bound), "settled": done[bins],
+        }
         out = table.select(["id", "piece", "start", "length", "ids_crc32"])
-        out = out.append_column("sequence_id", pa.array(base + bins)).append_column("offset", pa.array(offsets))
-        return out.append_column("round", pa.array(np.full(len(bins), turn, np.int32))).append_column("settled", pa.array(done[bins]))
+        for name, values in added.items():
+            out = out.append_column(name, pa.array(values))
+        return out
 
     return settle
 
@@ -193,18 +219,22 @@ def pack(
 ) -> DataFrame:
     """Pack all rows into sequences of at most ``capacity`` tokens.
 
-    Returns per piece ``id_col, piece, start, length, ids_crc32, sequence_id, offset`` and
-    ``round``, the exchange in which it was placed. Every piece is placed once; a sequence has no
+    Returns per piece ``id_col, piece, start, length, ids_crc32, sequence_id, offset`` and the
+    certificate of its place: ``round``, the exchange in which it was placed, ``partition_bins`` and
+    ``partition_bound``, how many bins its partition used then and the least that any packing needs,
+    and ``certified``, whether the two are equal or its sequence is full. Only pieces that
+    ``ROUNDS`` exchanges did not bring into a certified partition are not certified. Every piece is placed once; a sequence has no
     gap. Null and empty texts are one end token; repeated rows are packed like others; an empty
     table gives an empty result. Columns other than the two named are not read.
     """
     cut = written(pieces(docs, id_col, text_col, capacity, end_id, vocabulary), "pieces")
     id_type = cut.schema["id"].dataType.simpleString()
-    named = "piece int, start long, length long, ids_crc32 long, sequence_id long, `offset` long, `round` int, settled boolean"
+    named = "piece int, start long, length long, ids_crc32 long, sequence_id long, `offset` long, `round` int, certified boolean, partition_bins long, partition_bound long, settled boolean"
     # Full pieces fill a sequence each and take no part in the packing.
     full = cut.where(F.col("length") == capacity).select(
-        "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("round")
-    )
+        "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("round"),
+        F.lit(True).alias("certified"), F.lit(1).cast("long").alias("partition_bins"), F.lit(1).cast("long").alias("partition_bound"),
+    )
     pool = cut.where(F.col("length") < capacity)
     left, turn, placed = pool.count(), 1, []
     while left:
