@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstat.llm.common import column, schema_of, whole_rows, written
+from wardstat.llm.common import column, schema_of, written
 from wardstat.operators.passes import matrix, summed_arrays
 from wardstat.session import ship_code
 
@@ -209,13 +209,14 @@ def exact_deviation(x: np.ndarray, n: int, sums: tuple[int, ...]) -> list[int |
 def whiten(rows: DataFrame, model: Whitening, vector_col: str = "x") -> DataFrame:
     """Each row of ``rows`` once per component, on the whitened axes of ``model``.
 
-    Returns struct ``row`` (the row's own columns, under their own names), ``component`` (from 1),
-    ``n``, ``deviation`` (the exact sum of (n x - S)^2, null where it exceeds a long), ``whitened``,
+    Returns struct ``row`` (the row's columns but the vector, under their own names), ``component``
+    (from 1), ``n``, ``deviation`` (the exact sum of (n x - S)^2, null where it exceeds a long), ``whitened``,
     ``explained`` and ``identity_error``. Repeated rows are repeated; a model without components gives
     no rows, as does an empty table.
     """
     ship_code(rows.sparkSession)
-    packed = whole_rows(rows).withColumn("x", F.col(f"row.`{vector_col}`"))
+    others = [c for c in rows.columns if c != vector_col]
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{vector_col}`").alias("x"))
     k = len(model.eigenvalues)
     scaled = model.components / np.sqrt(model.eigenvalues)[:, None] if k else model.components
     explained = model.eigenvalues / model.trace if k else model.eigenvalues
