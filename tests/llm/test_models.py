@@ -157,7 +157,7 @@ def test_forward_and_expected_counts_equal_all_paths():
                 emitted[s, x] += w / total
             for s, t in zip(p, p[1:]):
                 moves[s, t] += w / total
-    assert np.allclose(hidden_markov.forward(chain, symbols, lengths), logs)
+    assert np.allclose(hidden_markov.forward(chain, hidden_markov.Steps.of(symbols, lengths))[0], logs)
     got = hidden_markov.expected_counts(chain, symbols, lengths)
     assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], emitted) and np.isclose(got[3], sum(logs))
 

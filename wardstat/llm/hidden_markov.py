@@ -28,8 +28,8 @@ from wardstat.session import ship_code
 
 #: Bytes of text in a block, and distinct tokens (of all blocks) that one counting task takes.
 BLOCK_BYTES, RANGE_TOKENS = 6 << 20, 1_000_000
-#: Tokens whose forward values a training task holds at a time, unless one block has more.
-TOGETHER = 2_500_000
+#: Tokens whose forward values a task holds at a time, unless one block has more.
+TOGETHER = 2_000_000
 #: Classes by ending, frequent tokens with a class of their own, states, and Baum-Welch passes.
 ENDINGS, FREQUENT, STATES, PASSES = 1024, 1000, 8, 6
 #: Bytes of an ending.
@@ -57,6 +57,18 @@ def tokenise(body: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return every, classes, lengths
 
 
+def _numbered(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, the place of the first of each, and the number of every value."""
+    encoded = pa.array(tokens).dictionary_encode()
+    found, keys = encoded.indices.to_numpy(), encoded.dictionary.to_numpy()
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    # Numbers are given in order of appearance, so a value is new where its number is the largest yet.
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(found), prepend=-1)) if len(found) else np.empty(0, np.int64)
+    return keys[order], first[order], rank[found]
+
+
 def _blocks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> DataFrame:
     """Blocks of documents: per document its id, role and length; tokens as places in ``keys``."""
     taken = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), training.alias("train"))
@@ -70,7 +82,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> Da
             for first, last in steps(offsets, BLOCK_BYTES):
                 part = offsets[first : last + 1]
                 every, classes, lengths = tokenise(data[part[0] : part[-1]], part - part[0])
-                keys, where, place = np.unique(every, return_index=True, return_inverse=True)
+                keys, where, place = _numbered(every)
                 learned = np.repeat(train[first:last], lengths)
                 counts = np.bincount(place[learned], minlength=len(keys)).astype("<i4")
                 yield pa.RecordBatch.from_pydict(
@@ -107,11 +119,13 @@ def _totals(blocks: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 keys, counts, endings = (np.frombuffer(column(batch, c)[k].as_buffer(), t) for c, t in (("keys", "<u8"), ("counts", "<i4"), ("endings", "<u2")))
                 cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-                parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+                # Ranges without a token of the block get no record, so records never outnumber tokens.
+                held = np.flatnonzero(np.diff(cuts))
+                parts = [slice(cuts[r], cuts[r + 1]) for r in held]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "range": pa.array(range(ranges), pa.int64()),
-                        "block": pa.array([column(batch, "block")[k].as_py()] * ranges),
+                        "range": pa.array(held, pa.int64()),
+                        "block": pa.array([column(batch, "block")[k].as_py()] * len(held)),
                         "keys": pa.array([keys[p].tobytes() for p in parts]),
                         "counts": pa.array([counts[p].tobytes() for p in parts]),
                         "endings": pa.array([endings[p].tobytes() for p in parts]),
@@ -242,56 +256,81 @@ class Chain:
     emits: np.ndarray  # state by class
 
 
-def forward(chain: Chain, symbols: np.ndarray, lengths: np.ndarray, keep: bool = False):
-    """Log10 likelihood of each sequence, and with ``keep`` the scaled forward values and scales.
+@dataclass
+class Steps:
+    """Sequences with their symbols in order of the step: all first symbols, then all second ones.
 
-    All sequences advance together, longest first, so those still running are a prefix.
+    Within a step the longest sequence comes first, so those that go on are a prefix, and every step
+    of a recursion works on one slice.
     """
-    order = np.argsort(-lengths, kind="stable")
-    begin, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    running = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
-    total = np.zeros(len(lengths))
-    emits = np.ascontiguousarray(chain.emits.T)
-    alphas = np.empty((len(symbols), len(chain.start))) if keep else None
-    scales = np.empty(len(symbols)) if keep else None
-    state = np.tile(chain.start, (len(size), 1))
-    for t, n in enumerate(running):
-        place = begin[:n] + t
-        state = state[:n] * emits[symbols[place]] if not t else (state[:n] @ chain.moves) * emits[symbols[place]]
-        scale = state.sum(axis=1)
+
+    symbols: np.ndarray
+    bounds: np.ndarray  # where each step begins
+    member: np.ndarray  # the sequence of each symbol, numbered longest first
+    order: np.ndarray  # that number's sequence
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, lengths: np.ndarray) -> Steps:
+        order = np.argsort(-lengths, kind="stable")
+        size, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        running = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+        bounds = np.r_[0, np.cumsum(running)]
+        member = np.arange(bounds[-1]) - np.repeat(bounds[:-1], running)
+        place = begin[member] + np.repeat(np.arange(len(running)), running)
+        return cls(symbols[place], bounds, member, order)
+
+
+def forward(chain: Chain, steps: Steps, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log10 likelihood of each sequence, and the scaled forward values and scales of each symbol."""
+    alphas = np.take(np.ascontiguousarray(chain.emits.T, kind), steps.symbols, axis=0)
+    scales = np.empty(len(alphas), kind)
+    bounds, ones = steps.bounds.tolist(), np.ones(len(chain.start), kind)
+    start, moves = chain.start.astype(kind), chain.moves.astype(kind)
+    moved = np.empty((bounds[1] if len(bounds) > 1 else 0, len(start)), kind)
+    before = None
+    for a, b in zip(bounds, bounds[1:]):
+        state, scale = alphas[a:b], scales[a:b]
+        if before is None:
+            state *= start
+        else:
+            ahead = moved[: b - a]
+            np.matmul(before[: b - a], moves, out=ahead)
+            state *= ahead
+        np.matmul(state, ones, out=scale)
         state /= scale[:, None]
-        total[:n] += np.log10(scale)
-        if keep:
-            alphas[place], scales[place] = state, scale
-    out = np.empty(len(lengths))
-    out[order] = total
-    return (out, alphas, scales) if keep else out
+        before = state
+    out = np.empty(len(steps.order))
+    out[steps.order] = np.bincount(steps.member, np.log10(scales, dtype=np.float64), len(steps.order))
+    return out, alphas, scales
 
 
 def expected_counts(chain: Chain, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of the sequences, and their log10 likelihood."""
     states, kinds = chain.emits.shape
-    likelihood, alphas, scales = forward(chain, symbols, lengths, keep=True)
-    order = np.argsort(-lengths, kind="stable")
-    begin, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    longest = int(size[0]) if len(size) else 0
-    running = np.searchsorted(-size, -np.arange(longest + 1), side="left")
-    emits, moves = np.ascontiguousarray(chain.emits.T), np.zeros((states, states))
-    beta = np.ones((len(size), states))
-    for t in range(longest - 1, -1, -1):
-        n, later = running[t], running[t + 1]
-        place = begin[:n] + t
-        if later:
-            ahead = begin[:later] + t + 1
-            seen = emits[symbols[ahead]] * beta[:later] / scales[ahead][:, None]
-            moves += alphas[place[:later]].T @ seen
-            beta[:later] = seen @ chain.moves.T
-        # Step t - 1 reads its own forward values only, so those of step t can make room.
-        alphas[place] *= beta[:n]
-    gammas = alphas
-    gammas /= np.maximum(gammas.sum(axis=1, keepdims=True), 1e-300)
-    emitted = np.array([np.bincount(symbols, gammas[:, s], kinds) for s in range(states)])
-    starts = gammas[(np.cumsum(lengths) - lengths)].sum(axis=0)
+    steps = Steps.of(symbols, lengths)
+    # Scaled values lie near one and sums are taken in full, so single precision is enough here.
+    likelihood, gammas, scales = forward(chain, steps, np.float32)
+    bounds = steps.bounds.tolist()
+    # What a symbol adds from behind: its emission over its scale, times the backward value after it.
+    behind = np.take(np.ascontiguousarray(chain.emits.T, np.float32), steps.symbols, axis=0)
+    behind /= scales[:, None]
+    back, moves = np.ascontiguousarray(chain.moves.T, np.float32), np.zeros((states, states))
+    beta = np.ones((bounds[1] if len(bounds) > 1 else 0, states), np.float32)
+    for t in range(len(bounds) - 2, -1, -1):
+        a, b = bounds[t], bounds[t + 1]
+        own = beta[: b - a]
+        # Forward values turn into posteriors; those of the step before are still forward values.
+        gammas[a:b] *= own
+        if t:
+            ahead = behind[a:b]
+            ahead *= own
+            begin = bounds[t - 1]
+            moves += gammas[begin : begin + b - a].T @ ahead
+            # Sequences that end in the step before keep the backward value 1.
+            np.matmul(ahead, back, out=own)
+    gammas /= np.maximum(gammas @ np.ones(states, np.float32), np.float32(1e-30))[:, None]
+    emitted = np.array([np.bincount(steps.symbols, own, kinds) for own in np.ascontiguousarray(gammas.T)])
+    starts = gammas[: len(beta)].sum(axis=0, dtype=np.float64)
     return starts, moves * chain.moves, emitted, float(likelihood.sum())
 
 
@@ -300,25 +339,25 @@ def _symbols(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column(batch, "classes")[k].as_buffer(), "<u2"), lengths
 
 
-def _together(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The training sequences of a batch, several blocks at a time.
+def _together(batch: pa.RecordBatch, training: bool) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+    """Sequences of a batch, several blocks at a time: which blocks, symbols and lengths.
 
     A recursion takes as many steps as its longest sequence has tokens, so blocks share the steps.
     """
-    symbols, lengths, size = [], [], 0
+    symbols, lengths, size, first = [], [], 0, 0
     for k in range(batch.num_rows):
         own, counts = _symbols(batch, k)
-        learned = np.array(column(batch, "train")[k].as_py(), bool)
-        own, counts = own[np.repeat(learned, counts)], counts[learned]
+        if training:
+            learned = np.array(column(batch, "train")[k].as_py(), bool)
+            own, counts = own[np.repeat(learned, counts)], counts[learned]
         if size and size + len(own) > TOGETHER:
-            yield np.concatenate(symbols), np.concatenate(lengths)
-            symbols, lengths, size = [], [], 0
-        if len(own):
-            symbols.append(own)
-            lengths.append(counts)
-            size += len(own)
+            yield range(first, k), np.concatenate(symbols), np.concatenate(lengths)
+            symbols, lengths, size, first = [], [], 0, k
+        symbols.append(own)
+        lengths.append(counts)
+        size += len(own)
     if size:
-        yield np.concatenate(symbols), np.concatenate(lengths)
+        yield range(first, batch.num_rows), np.concatenate(symbols), np.concatenate(lengths)
 
 
 def _learned(shares: np.ndarray, starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray) -> Chain:
@@ -338,7 +377,7 @@ def train(sequences: DataFrame, classes: Classes, states: int = STATES, passes:
     def counter(chain: Chain) -> Callable[[pa.RecordBatch], dict[int, np.ndarray]]:
         def work(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
             sums = [np.zeros(states), np.zeros((states, states)), np.zeros((states, kinds)), np.zeros(1)]
-            for symbols, lengths in _together(batch):
+            for _, symbols, lengths in _together(batch, training=True):
                 *counts, likelihood = expected_counts(chain, symbols, lengths)
                 for total, part in zip(sums, [*counts, np.array([likelihood])]):
                     total += part
@@ -362,7 +401,8 @@ def score(
 
     Returns ``id_col, n_tokens, n_known, train_tokens, base_score, score``. Tokens are runs without
     ASCII white space, A-Z in lower case, and one end per text; they are told apart by a 64-bit
-    hash. Null and empty texts are the end alone, repeated rows are each counted and scored, and
+    hash. Below its class a token has its share of the class's tokens, whatever the state. A long text
+    costs memory and steps in proportion to its tokens. Null and empty texts are the end alone, repeated rows are each counted and scored, and
     a null condition means not training. Without training rows every token is unseen. An empty
     table gives an empty result.
     """
@@ -376,14 +416,14 @@ def score(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                symbols, lengths = _symbols(batch, k)
-                flat = {c: column(batch, c).slice(k, 1).flatten() for c in ("ids", "known", "base", "inside")}
-                found = forward(chain, symbols, lengths) + flat["inside"].to_numpy()
+            for blocks, symbols, lengths in _together(batch, training=False):
+                likelihood = forward(chain, Steps.of(symbols, lengths))[0]
+                part = batch.slice(blocks.start, len(blocks))
+                flat = {c: column(part, c).flatten() for c in ("ids", "known", "base", "inside")}
                 yield pa.RecordBatch.from_arrays(
                     [
                         flat["ids"], pa.array(lengths), flat["known"], pa.array(np.full(len(lengths), classes.tokens)),
-                        flat["base"], pa.array(found),
+                        flat["base"], pa.array(likelihood + flat["inside"].to_numpy()),
                     ],
                     names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
