@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -61,6 +62,17 @@ def test_base_spans_are_those_of_the_plain_patterns(spark):
         assert r.spans.startswith(",".join(want))
 
 
+@pytest.mark.parametrize("unit", ["10.0.0.1 a@b.cd ", "+49 30 1234567, ", "4111 1111 1111 1111 x ", "😀 1.2.3.4; "])
+def test_many_matches_take_seconds(spark, unit):
+    """Places stay right over many groups of matches, and the time does not grow with their square."""
+    text = unit * 30_000
+    begin = time.perf_counter()
+    row = pii.report(pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert time.perf_counter() - begin < 60
+    want = plain_spans(text)
+    assert len(want) >= 30_000 and row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_checks_and_context_add_spans(spark):
     texts = [
         "My IBAN is GB82 WEST 1234 5698 7654 32.", "GB82 WEST 1234 5698 7654 33 is no account", "social security 123-45-6789", "part 123-45-6789",

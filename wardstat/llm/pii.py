@@ -93,33 +93,72 @@ NEAR = 48
 STEP, LIMIT = 0.2, 0.5
 
 
-def spans(text: Column, kind: Kind, near: int = NEAR) -> Column:
-    """Confirmed spans of one kind: array of (kind, start, end, score), in text order.
+#: Matches that are placed one after the other; their groups are placed as wholes.
+GROUP = 256
 
-    Places are code points. The text between matches gives the places: a match starts after the
-    lengths of all that came before it.
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression named in a lambda is computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _placed(pairs: Column, kind: Kind, near: int) -> Column:
+    """Matches with the text around them as spans, by the lengths of all that comes before.
+
+    A fold that appends copies its array at every step, so only groups of ``GROUP`` matches are folded,
+    from the place that a fold over the groups gives them.
     """
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
+    hits_type = "array<struct<kind:string,start:int,end:int,match:string,context:string>>"
+
+    def length(pair: Column) -> Column:
+        return F.length(pair["gap"]) + F.length(pair["match"])
 
     def advance(state: Column, pair: Column) -> Column:
         start = state["end"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
+        end = state["end"] + length(pair)
         hit = F.struct(
             F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), pair["match"].alias("match"),
             F.lower(F.concat_ws(" ", F.right(pair["gap"], F.lit(near)), F.left(pair["after"], F.lit(near)))).alias("context"),
         )
         return F.struct(end.alias("end"), F.concat(state["hits"], F.array(hit)).alias("hits"))
 
-    pairs = F.transform(
-        F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("gap")),
-        lambda p, k: F.struct(p["match"].alias("match"), p["gap"].alias("gap"), F.get(between, k + 1).alias("after")),
-    )
-    none = "array<struct<kind:string,start:int,end:int,match:string,context:string>>"
-    state = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("end"), F.array().cast(none).alias("hits")), advance, lambda s: s["hits"]
-    )
-    confirmed = F.filter(state, lambda hit: kind.check(hit["match"]))
+    def within(group: Column) -> Column:
+        start = F.struct(group["from"].alias("end"), F.array().cast(hits_type).alias("hits"))
+        return F.aggregate(group["pairs"], start, advance, lambda state: state["hits"])
+
+    def begin(state: Column, group: Column) -> Column:
+        end = state["end"] + F.aggregate(group, F.lit(0), lambda total, pair: total + length(pair))
+        return F.struct(end.alias("end"), F.concat(state["places"], F.array(state["end"])).alias("places"))
+
+    def by_group(groups: Column) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("places"))
+        places = F.aggregate(groups, start, begin, lambda state: state["places"])
+        return F.flatten(F.transform(F.arrays_zip(groups.alias("pairs"), places.alias("from")), within))
+
+    def grouped(all_pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(all_pairs), F.lit(GROUP))
+        groups = F.transform(firsts, lambda first: F.slice(all_pairs, first, F.lit(GROUP)))
+        return F.when(F.size(all_pairs) > 0, let(groups, by_group)).otherwise(F.array().cast(hits_type))
+
+    return let(pairs, grouped)
+
+
+def spans(text: Column, kind: Kind, near: int = NEAR) -> Column:
+    """Confirmed spans of one kind: array of (kind, start, end, score), in text order.
+
+    Places are code points. The text between matches gives the places: a match starts after the
+    lengths of all that came before it. The time grows with the length of the text.
+    """
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+
+    def pairs(matches: Column) -> Column:
+        n = F.size(matches)
+        zipped = lambda between: F.arrays_zip(
+            matches.alias("match"), F.slice(between, F.lit(1), n).alias("gap"), F.slice(between, F.lit(2), n).alias("after")
+        )
+        return let(F.split(text, kind.pattern, -1), zipped)
+
+    confirmed = F.filter(_placed(let(found, pairs), kind, near), lambda hit: kind.check(hit["match"]))
     scored = F.transform(
         confirmed,
         lambda hit: F.struct(
@@ -140,7 +179,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
 
     Places are code points of the whole text, ends exclusive. Base spans all stay, whatever their
     score; added ones need a score of ``limit``. Null and empty texts give empty arrays; repeated
-    rows are each reported; other columns are not read. Spans of different kinds may overlap.
+    rows are each reported; other columns are not read, so their names cannot clash, and an empty table
+    gives an empty result. Very long texts are read whole, in time that grows with their length. Spans
+    of different kinds may overlap.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
