@@ -54,6 +54,19 @@ def schema_of(*parts: StructField | str) -> StructType:
     return StructType(fields)
 
 
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def ordered_numbers(docs: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(id, number) of the distinct ids that are not null: numbers are in the order of the ids.
+
+    Ids are range partitioned, sorted and written once, so the numbers stay as they are.
+    """
+    ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct()
+    placed = ids.repartitionByRange("id").sortWithinPartitions("id")
+    return written(placed.select("id", F.monotonically_increasing_id().alias("number")), label)
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` as one struct column ``row``, so that no name of its can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -19,8 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from wardstat.llm.common import schema_of, whole_rows
+from wardstat.llm.common import schema_of, whole_rows, written
 from wardstat.llm.order_minhash import SIMILARITY, WORDS, shingles
 from wardstat.session import ship_code
 
@@ -40,15 +41,37 @@ def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, en
     return (signs.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+class Weights:
+    """How rare a shingle is among all items, whichever pass they are searched in.
+
+    Only shingles that several items hold are listed; all others weigh the same, those of one item and
+    those of none.
+    """
+
+    def __init__(self, items: int, shared: np.ndarray, held: np.ndarray) -> None:
+        order = np.argsort(shared)
+        self.shared, self.rare = shared[order], 1.0 + np.log((items + 1.0) / 2.0)
+        self.values = 1.0 + np.log((items + 1.0) / (held[order] + 1.0))
+
+    @classmethod
+    def of(cls, sequences: list[np.ndarray]) -> Weights:
+        known, held = np.unique(np.concatenate([np.unique(s) for s in sequences] or [np.empty(0, np.uint64)]), return_counts=True)
+        return cls(len(sequences), known[held > 1], held[held > 1])
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.shared):
+            return np.full(len(hashes), self.rare)
+        place = np.minimum(np.searchsorted(self.shared, hashes), len(self.shared) - 1)
+        return np.where(self.shared[place] == hashes, self.values[place], self.rare)
+
+
 class ItemIndex:
     """Items with their shingle weights, fingerprints and the multi-index over these."""
 
-    def __init__(self, ids: list, sequences: list[np.ndarray], radius: int = RADIUS) -> None:
+    def __init__(self, ids: list, sequences: list[np.ndarray], radius: int = RADIUS, weights: Weights | None = None) -> None:
         self.ids, self.radius = ids, radius
-        every = np.concatenate([np.unique(s) for s in sequences] or [np.empty(0, np.uint64)])
-        self.known, held = np.unique(every, return_counts=True)
-        self.weights = 1.0 + np.log((len(ids) + 1.0) / (held + 1.0))
-        self.unknown = 1.0 + np.log(len(ids) + 1.0)
+        self.weight = weights if weights is not None else Weights.of(sequences)
+        self.known = np.unique(np.concatenate(sequences or [np.empty(0, np.uint64)]))
         self.bags = [self.bag(s) for s in sequences]
         self.lengths = np.array([len(s) for s in sequences], np.int64)
         self.sizes = {
@@ -67,12 +90,6 @@ class ItemIndex:
             order = np.argsort(cells, kind="stable")
             self.tables.append((np.searchsorted(cells[order], np.arange((1 << BLOCK_BITS) + 1)), items[order].astype(np.int32)))
 
-    def weight(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(hashes), self.unknown)
-        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[place] == hashes, self.weights[place], self.unknown)
-
     def bag(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kinds, counts = np.unique(hashes, return_counts=True)
         return kinds, counts, self.weight(kinds)
@@ -109,8 +126,7 @@ class ItemIndex:
         places = np.flatnonzero(self.known[place] == hashes)
         if not len(places):
             return best
-        weights = np.full(len(hashes), self.unknown)
-        weights[places] = self.weights[place[places]]
+        weights = self.weight(hashes)
         running = np.r_[0.0, np.cumsum(weights)]
         for size, own in self.sizes.items():
             # Shingles that no item of this size has count as missed.
@@ -133,6 +149,28 @@ class ItemIndex:
         return best
 
 
+def _item_weights(items: DataFrame, text_col: str) -> Weights:
+    """Weights over all items: their number, and the shingles that several of them hold."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, rows, hashes, owners in shingles(batch.column(0)):
+                order = np.lexsort((hashes, owners))
+                hashes, owners = hashes[order], owners[order]
+                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])][: len(hashes)]
+                with_words = np.r_[True, owners[1:] != owners[:-1]][: len(owners)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[new].view(np.int64)), pa.array(with_words[new].astype(np.int64))], names=["shingle", "item"]
+                )
+
+    found = items.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(distinct, "shingle long, item long")
+    held = written(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.sum("item").alias("items")), "item-shingles")
+    # The benchmark's own repetitions: this grows with its items, never with the documents.
+    shared = held.where("n > 1").select("shingle", "n").toPandas()
+    total = held.agg(F.sum("items")).first()[0] or 0
+    return Weights(total, shared["shingle"].to_numpy(np.int64).view(np.uint64), shared["n"].to_numpy(np.float64))
+
+
 def _items(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[np.ndarray]]]:
     """The items with words, a bounded number at a time."""
     ids, sequences = [], []
@@ -156,21 +194,27 @@ def find_leaks(
 
     A leak is an item that some window of the item's number of shingles reaches in similarity,
     within the SimHash radius; ``start`` is the window's first word. A document shorter than the
-    item is one window. Null and empty texts have no leaks, items without words are never found,
-    and without items no document has any. Equal items are each reported, and so are repeated rows.
+    item is one window. Shingles are weighed by how rare they are among all items, so the passes do
+    not change a similarity. Null and empty texts have no leaks, items without words are never found,
+    and without items no document has any. Equal items are each reported, and so are repeated rows;
+    of windows that tie the first is reported. Item ids are of any type. Texts are searched whole,
+    however long, and the rows' own columns stay inside ``row``, so their names cannot clash.
     """
     ship_code(docs.sparkSession)
     place = docs.columns.index(text_col)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64())]))
-    found = whole_rows(docs).withColumn("leaks", F.array().cast("array<struct<item_id:bigint,similarity:double,start:bigint>>"))
+    id_field = items.schema[item_id].dataType
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(id_field)), ("similarity", pa.float64()), ("start", pa.int64())]))
+    none = F.array().cast(f"array<struct<item_id:{id_field.simpleString()},similarity:double,start:bigint>>")
+    found = whole_rows(docs).withColumn("leaks", none)
+    weights = _item_weights(items, item_text)
     for ids, sequences in _items(items, item_id, item_text):
-        found = found.mapInArrow(_pass(docs.sparkSession, ids, sequences, place, kind, similarity, radius), schema_of(*found.schema.fields))
+        # Bounded by the items of a pass, but for the weights; each worker reads it once.
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(ids, sequences, radius, weights))
+        found = found.mapInArrow(_pass(shared, place, kind, similarity), schema_of(*found.schema.fields))
     return found
 
 
-def _pass(spark, ids, sequences, place, kind, similarity, radius):
-    # Bounded by the items of a pass; each worker reads it once.
-    shared = spark.sparkContext.broadcast(ItemIndex(ids, sequences, radius))
+def _pass(shared, place, kind, similarity):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

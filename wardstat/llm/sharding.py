@@ -25,13 +25,13 @@ DRAWS = 24
 OVERFULL = 1.5
 
 
-def _range_of(key: Column, borders: list) -> Column:
+def _range_of(key: Column, borders: list, id_type: str) -> Column:
     """Number of borders that are not above ``key``, by binary search in a constant array."""
     if not borders:
         return F.lit(0)
     # One constant, folded by the optimizer; its length is the number of ranges.
     text = json.dumps([{"digest": a, "id": b} for a, b in borders])
-    table = F.from_json(F.lit(text), "array<struct<digest:string,id:bigint>>")
+    table = F.from_json(F.lit(text), f"array<struct<digest:string,id:{id_type}>>")
     steps, step = [], 1
     while step <= len(borders):
         steps.insert(0, step)
@@ -64,12 +64,17 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     Returns ``id_col``, ``size`` (UTF-8 bytes of the text, null as none, plus 1), ``text_crc32``,
     ``law``, ``shard`` and ``slot``, the row's place in its shard. A row goes to the shard in which
     the middle of its bytes falls, so two shards differ by less than the size of one row at either
-    border. Null ids come before all others of the same text; wholly equal rows take neighbouring
-    slots. Other columns are not read. An empty table gives an empty result.
+    border. Ids of any type are kept; whole numbers are ordered as such, others as text. Null ids come
+    before all others of the same text; wholly equal rows take neighbouring slots. A null text is as
+    large as an empty one; texts count whole, however long. Other columns are not read, so their names
+    cannot clash. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    # Ids other than whole numbers are ordered as text.
+    id_type = "bigint" if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{id_col}`").alias("own_id"),
+        F.col(f"`{id_col}`").cast(id_type).alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(text.cast("binary")).alias("digest"),
@@ -80,7 +85,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     wanted = max(4 * shards, 2 * partitions_for(docs), (count or 0) // RANGE_ROWS)
     ranges = min(RANGES, wanted, max(1, (count or 0) // 16))
     key = F.struct("digest", "id")
-    ranged = rows.withColumn("range", _range_of(key, _borders(rows, ranges, draws, total or 0, 1)))
+    ranged = rows.withColumn("range", _range_of(key, _borders(rows, ranges, draws, total or 0, 1), id_type))
 
     # Second cut: only ranges far above the mean draw again, inside themselves and more densely.
     loads = ranged.groupBy("range").agg(F.sum("size").alias("bytes"))
@@ -90,18 +95,18 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         heavy = sum(overfull.values())
         inside = ranged.where(F.col("range").isin(list(overfull)))
         finer = _borders(inside, min(RANGES, int(2 * heavy / mean) + 1), draws, heavy, 2)
-        ranged = ranged.withColumn("cut", F.when(F.col("range").isin(list(overfull)), _range_of(key, finer)).otherwise(0))
+        ranged = ranged.withColumn("cut", F.when(F.col("range").isin(list(overfull)), _range_of(key, finer, id_type)).otherwise(0))
     else:
         ranged = ranged.withColumn("cut", F.lit(0))
 
     # A key that alone overfills its range (wholly equal rows) is dealt on by its salt.
     pieces = ranged.groupBy("range", "cut").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    stubborn = [(r["range"], r["cut"], int(r["bytes"] / mean) + 1) for r in pieces.where(F.col("bytes") > 2 * OVERFULL * mean).collect()]
+    # Pieces of three times the mean, so there are fewer of them than ranges.
+    stubborn = {f"{r['range']}:{r['cut']}": int(r["bytes"] / mean) + 1 for r in pieces.where(F.col("bytes") > 2 * OVERFULL * mean).collect()}
     deal = F.lit(0)
-    for number, cut, parts in stubborn:
-        same = (F.col("range") == number) & (F.col("cut") == cut)
-        hashed = F.pmod(F.xxhash64("salt"), F.lit(parts)).cast("int")
-        deal = F.when(same, hashed).otherwise(deal)
+    if stubborn:
+        parts = F.try_element_at(F.from_json(F.lit(json.dumps(stubborn)), "map<string,int>"), F.concat_ws(":", "range", "cut"))
+        deal = F.pmod(F.xxhash64("salt"), F.coalesce(parts, F.lit(1))).cast("int")
     return _placed(ranged.withColumn("deal", deal), shards, total or 0, id_col)
 
 
@@ -109,7 +114,7 @@ def _placed(ranged: DataFrame, shards: int, total: int, id_col: str) -> DataFram
     """Places in the whole order from places in each range and the totals of the ranges before."""
     piece = ["range", "cut", "deal"]
     before = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range: its number depends on the number of ranges only.
+    # One row per piece: at most ``RANGES`` ranges, as many cuts, and a part for every mean of bytes.
     offsets = ranged.groupBy(*piece).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).select(
         *piece,
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
@@ -118,20 +123,20 @@ def _placed(ranged: DataFrame, shards: int, total: int, id_col: str) -> DataFram
     inside = Window.partitionBy(*piece).orderBy("digest", "id", "salt")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select(
-        "id", "size", "text_crc32", *piece,
+        "own_id", "size", "text_crc32", *piece,
         F.row_number().over(inside).alias("place"),
         F.sum("size").over(upto).alias("bytes_upto"),
     )
     middle = 2 * (F.col("bytes_before") + F.col("bytes_upto")) - F.col("size")
     placed = local.join(F.broadcast(offsets), piece).select(
-        "id", "size", "text_crc32",
+        "own_id", "size", "text_crc32",
         F.least(F.lit(shards - 1), F.floor(middle.cast("double") * shards / (2.0 * max(1, total)))).cast("int").alias("shard"),
         (F.col("rows_before") + F.col("place") - 1).alias("row"),
     )
     placed = written(placed, "shard-places")
     starts = placed.groupBy("shard").agg(F.min("row").alias("start"))
     return placed.join(F.broadcast(starts), "shard").select(
-        F.col("id").alias(id_col),
+        F.col("own_id").alias(id_col),
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardstat.llm.common import column, flat_text, mix, partitions_for, steps, written
+from wardstat.llm.common import WHOLE_NUMBERS, column, flat_text, mix, ordered_numbers, partitions_for, steps, written
 from wardstat.session import scratch_path, ship_code
 
 LENGTH, KMER = 50, 20
@@ -357,8 +357,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte of the UTF-8 text is removed when it is in a string of ``LENGTH`` bytes that a document
     with a smaller id has as well; strings are judged on the input. ``kept`` is what is left, as
     bytes. Null counts as empty; texts shorter than ``LENGTH`` stay as they are; rows with the same
-    id do not remove from each other; a missing id is larger than all others. Ids are integers.
+    id, as repeated rows have, do not remove from each other; a missing id is larger than all others. Ids
+    that are not whole numbers are compared in their own order. Texts count whole, however long; other
+    columns are not read, so their names cannot clash; an empty table gives an empty result.
     """
+    if docs.schema[id_col].dataType.simpleString() not in WHOLE_NUMBERS:
+        numbers = ordered_numbers(docs, id_col, "document-numbers")
+        taken = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+        found = remove_repeats(taken.join(numbers, "id", "left").select("number", "text"), "number", "text")
+        return found.join(numbers, "number", "left").select(F.col("id").alias(id_col), "n_bytes", "spans", "kept")
     ship_code(docs.sparkSession)
     blocks, partitions = _blocks(docs, id_col, text_col), partitions_for(docs)
     shared = _answers(_shared_anchors(blocks, partitions), "shared")
