@@ -1,7 +1,7 @@
 """Exact deduplication by Grace hashing.
 
-Every chunk of a scan first collapses its own copies, so a group of copies reaches the exchange
-once per chunk, however many rows it has. The exchange brings equal contents together; there each
+Every task of a scan first collapses its own copies, so a group of copies reaches the exchange
+once per task (or per ``COLLAPSE_BYTES``), however many rows it has. The exchange brings equal contents together; there each
 task runs a Grace hash: records enter an open-addressing table that compares complete contents,
 and when its contents exceed the memory given, they are partitioned by further hash bits into
 spill files that are worked off one by one.
@@ -29,6 +29,8 @@ from wardstat.session import ship_code
 TABLE_BYTES = 64 << 20
 #: Spill files per partitioning step.
 FAN_OUT = 16
+#: Bytes of rows that collapse together: all of a task's, where it reads a split of the usual size.
+COLLAPSE_BYTES = 128 << 20
 
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -139,7 +141,8 @@ def exact_dedup_rows(
     ``group_size``, ``kept`` and ``text_sha256``. Texts are equal when they are after deleting
     ASCII white space; null counts as empty, and all empty texts are one group. The row with the
     most code points stays, then the one with the smallest id (null ids last), then one of them:
-    of wholly equal rows exactly one stays. An empty table gives an empty result.
+    of wholly equal rows exactly one stays. Texts are compared whole, however long, and other columns
+    stay inside ``row``, so their names cannot clash. An empty table gives an empty result.
     """
     ship_code(docs.sparkSession)
     packed = whole_rows(docs)
@@ -147,14 +150,23 @@ def exact_dedup_rows(
     id_arrow = to_arrow_type(docs.schema[id_col].dataType)
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, slot = TaskContext.get().partitionId(), 0
+        part, slot, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            table = ContentTable()
+            held.append(batch)
+            size += batch.nbytes
+            if size >= COLLAPSE_BYTES:
+                yield from together(held, part, slot)
+                slot, held, size = slot + sum(b.num_rows for b in held), [], 0
+        yield from together(held, part, slot)
+
+    def together(held: list[pa.RecordBatch], part: int, slot: int) -> Iterator[pa.RecordBatch]:
+        """The rows of several batches with the row that stands for each; only those carry a count."""
+        table, found = ContentTable(), []
+        for batch in held:
             text_column, id_column = pc.struct_field(batch.column(0), [text_place]), pc.struct_field(batch.column(0), [id_place])
-            texts, ids = text_column.to_pylist(), id_column.to_pylist()
-            points = pc.fill_null(pc.utf8_length(text_column), 0).to_pylist()
+            ids, points = id_column.to_pylist(), pc.fill_null(pc.utf8_length(text_column), 0).to_pylist()
             entries, hexes = [], []
-            for k, text in enumerate(texts):
+            for k, text in enumerate(text_column.to_pylist()):
                 content = normalised(text)
                 digest = hashlib.sha256(content).digest()
                 entry = table.find(digest, content)
@@ -167,22 +179,25 @@ def exact_dedup_rows(
                     state[1] += 1
                 entries.append(entry)
                 hexes.append(digest.hex())
-            chosen = [state[0][3] for state in table.states]
-            sizes = {state[0][3]: state[1] for state in table.states}
+            found.append((batch, id_column, points, entries, hexes, slot))
+            slot += batch.num_rows
+        chosen = [state[0][3] for state in table.states]
+        sizes = {state[0][3]: state[1] for state in table.states}
+        for batch, id_column, points, entries, hexes, begin in found:
+            slots = range(begin, begin + batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     id_column,
-                    pa.array([part] * len(texts), pa.int64()),
-                    pa.array(range(slot, slot + len(texts)), pa.int64()),
+                    pa.array([part] * len(slots), pa.int64()),
+                    pa.array(slots, pa.int64()),
                     pa.array([chosen[e] for e in entries], pa.int64()),
-                    pa.array([sizes.get(slot + k, 0) for k in range(len(texts))], pa.int64()),
+                    pa.array([sizes.get(k, 0) for k in slots], pa.int64()),
                     pa.array(points, pa.int64()),
                     pa.array(hexes, pa.string()),
                 ],
                 names=["row", "id", "part", "slot", "local", "rows", "points", "text_sha256"],
             )
-            slot += len(texts)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     first = written(
