@@ -53,6 +53,17 @@ def test_planted_passages_equal_brute_force(spark):
     check(spark, rows)
 
 
+def test_ids_that_are_text(spark):
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abc ") for _ in range(90)) for _ in range(5)]
+    rows = [(k, rng.choice(passages)[rng.randint(0, 9) :] + str(k) + rng.choice(passages)) for k in range(40)] + [(None, passages[0]), (7, passages[1])]
+    named = {k: f"{k:03d}" for k in range(40)} | {None: None}
+    df = spark.createDataFrame([(named[i], t, "x") for i, t in rows], "doc_id string, text string, id string").repartition(3)
+    found = [(r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()]
+    want = [(named[i], n, kept) for i, n, _, kept in brute_force(rows)]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
 def test_blind_trie_orders_and_groups():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(300)]

@@ -224,8 +224,17 @@ def _answers(table: DataFrame, name: str) -> DataFrame:
     return table.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "data"))).alias(name))
 
 
-def _joined(answers: list[dict]) -> bytes:
-    return b"".join(a["data"] for a in answers)
+def _joined(answers: list[dict] | None) -> bytes:
+    return b"".join(a["data"] for a in answers or [])
+
+
+def _slices(keys: np.ndarray, borders: np.ndarray) -> list[tuple[int, slice]]:
+    """The ranges that some of the sorted keys lie in, with their part of the keys.
+
+    Ranges without a key of the block get no record, so records never outnumber keys.
+    """
+    cuts = np.r_[0, np.searchsorted(keys, borders), len(keys)].tolist()
+    return [(r, slice(a, b)) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
 def _ranges(count: int, least: int, most: int) -> np.ndarray:
@@ -247,7 +256,7 @@ class _Candidates:
         seen: dict[tuple, int] = {}
         body = data.tobytes()
         self.number = np.empty(len(taken), np.int64)
-        texts, found_keys, before, owner = [], [], [], []
+        texts, found_keys, before, owner, leads = [], [], [], [], []
         for k, (key, a, f, t, row) in enumerate(zip(keys[taken].tolist(), anchor[taken].tolist(), self.first.tolist(), self.last.tolist(), self.rows.tolist())):
             text = body[f : t + LENGTH]
             entry = seen.setdefault((key, a - f, text), len(texts))
@@ -256,6 +265,7 @@ class _Candidates:
                 found_keys.append(key)
                 before.append(a - f)
                 owner.append(ids[row])
+                leads.append(f)
             elif ids[row] < owner[entry]:
                 owner[entry] = ids[row]
             self.number[k] = entry
@@ -265,9 +275,8 @@ class _Candidates:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.number, self.keys = rank[self.number], self.keys[order]
-        self.texts = [texts[k] for k in order.tolist()]
-        self.before, self.owner = np.array(before, "<u1")[order], np.array(owner, "<i8")[order]
-        self.windows = np.array([len(t) - LENGTH + 1 for t in self.texts], np.int64)
+        self.before, self.owner, self.leads = np.array(before, "<u1")[order], np.array(owner, "<i8")[order], np.array(leads, "<i4")[order]
+        self.lengths = np.array([len(t) for t in texts], "<u1")[order]
 
 
 def smallest_owners(keys: np.ndarray, before: np.ndarray, owner: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -312,17 +321,16 @@ def _shared_anchors(blocks: DataFrame, partitions: int) -> DataFrame:
                 data, offsets, ids = _open(batch, k)
                 keys, _, _, _, rows = stretches(data, offsets)
                 known, place = np.unique(keys, return_inverse=True)
+                parts = _slices(known, borders)
                 low, high = np.full(len(known), NO_ID, np.int64), np.full(len(known), np.iinfo(np.int64).min, np.int64)
                 np.minimum.at(low, place, ids[rows])
                 np.maximum.at(high, place, ids[rows])
-                cuts = np.r_[0, np.searchsorted(known, borders), len(known)]
-                parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "range": pa.array(range(len(parts)), pa.int64()),
-                        "block": pa.array([column(batch, "block")[k].as_py()] * len(parts)),
-                        "keys": pa.array([known[p].tobytes() for p in parts]),
-                        "several": pa.array([np.packbits(low[p] != high[p], bitorder="little").tobytes() for p in parts]),
+                        "range": pa.array([r for r, _ in parts], pa.int64()),
+                        "block": pa.array([column(batch, "block")[k].as_py()] * len(parts), pa.int64()),
+                        "keys": pa.array([known[p].tobytes() for _, p in parts], pa.binary()),
+                        "several": pa.array([np.packbits(low[p] != high[p], bitorder="little").tobytes() for _, p in parts], pa.binary()),
                     }
                 )
 
@@ -373,22 +381,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     borders = _ranges(size // _SPREAD, partitions, RANGE_STRETCHES)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 found = _Candidates(*_open(batch, k), _bits(column(batch, "shared")[k].as_py()))
-                cuts = np.r_[0, np.searchsorted(found.keys, borders), len(found.keys)].tolist()
-                parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
-                lengths = (found.windows + LENGTH - 1).astype("<u1")
+                parts = {
+                    "first": found.first.astype("<i4"), "last": found.last.astype("<i4"), "rows": found.rows.astype("<i4"),
+                    "number": found.number.astype("<i4"), "keys": found.keys, "before": found.before, "owner": found.owner,
+                    "leads": found.leads, "lengths": found.lengths,
+                }
+                values = {name: pa.array([part.tobytes()], pa.binary()) for name, part in parts.items()}
+                yield pa.RecordBatch.from_pydict({"block": column(batch, "block").slice(k, 1), **values})
+
+    # Found once; what is sent and what is cut in the end both read it.
+    names = ["first", "last", "rows", "number", "keys", "before", "owner", "leads", "lengths"]
+    found = written(
+        blocks.join(shared, "block", "left").mapInArrow(find, "block long, " + ", ".join(f"`{n}` binary" for n in names)), "stretches"
+    )
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = {n: np.frombuffer(column(batch, n)[k].as_buffer(), kind) for n, kind in (("keys", "<u8"), ("before", "<u1"), ("owner", "<i8"), ("leads", "<i4"), ("lengths", "<u1"))}
+                body = column(batch, "data")[k].as_py()
+                texts = [body[f : f + n] for f, n in zip(part["leads"].tolist(), part["lengths"].tolist())]
+                parts = _slices(part["keys"], borders)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "range": pa.array(range(len(parts)), pa.int64()),
-                        "block": pa.array([column(batch, "block")[k].as_py()] * len(parts)),
-                        "keys": pa.array([found.keys[p].tobytes() for p in parts]),
-                        "before": pa.array([found.before[p].tobytes() for p in parts]),
-                        "owner": pa.array([found.owner[p].tobytes() for p in parts]),
-                        "lengths": pa.array([lengths[p].tobytes() for p in parts]),
-                        "texts": pa.array([b"".join(found.texts[p]) for p in parts]),
+                        "range": pa.array([r for r, _ in parts], pa.int64()),
+                        "block": pa.array([column(batch, "block")[k].as_py()] * len(parts), pa.int64()),
+                        **{n: pa.array([part[n][p].tobytes() for _, p in parts], pa.binary()) for n in ("keys", "before", "owner", "lengths")},
+                        "texts": pa.array([b"".join(texts[p]) for _, p in parts], pa.binary()),
                     }
                 )
 
@@ -411,7 +434,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             }
         )
 
-    sent = blocks.join(shared, "block").mapInArrow(
+    sent = blocks.select("block", "data").join(found.select("block", "keys", "before", "owner", "leads", "lengths"), "block").mapInArrow(
         send, "range long, block long, keys binary, before binary, owner binary, lengths binary, texts binary"
     )
     least = written(sent.groupBy("range").applyInArrow(answer, "block long, range long, data binary"), "smallest-owners")
@@ -420,9 +443,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for k in range(batch.num_rows):
                 data, offsets, ids = _open(batch, k)
-                found = _Candidates(data, offsets, ids, _bits(column(batch, "shared")[k].as_py()))
-                told = np.concatenate([_unruns(a["data"]) for a in column(batch, "least")[k].as_py()])
-                removed = _removed(data, offsets, ids, found, told)
+                told = [_unruns(a["data"]) for a in column(batch, "least")[k].as_py() or []]
+                taken = {n: np.frombuffer(column(batch, n)[k].as_buffer(), kind).astype(np.int64) for n, kind in (("first", "<i4"), ("last", "<i4"), ("rows", "<i4"), ("number", "<i4"), ("lengths", "<u1"))}
+                removed = _removed(len(data), ids, taken, np.concatenate(told) if told else np.empty(0, np.int64))
                 rows = [_spans(removed[a:b]) for a, b in zip(offsets, offsets[1:])]
                 kept = [data[a:b][~removed[a:b]].tobytes() for a, b in zip(offsets, offsets[1:])]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -434,9 +457,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=["id", "n_bytes", "spans", "kept"],
                 )
 
-    told = blocks.join(shared, "block").join(_answers(least, "least"), "block")
-    found = told.mapInArrow(cut, "id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return found.withColumnRenamed("id", id_col)
+    told = blocks.join(found.select("block", "first", "last", "rows", "number", "lengths"), "block").join(_answers(least, "least"), "block", "left")
+    out = told.mapInArrow(cut, "id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return out.withColumnRenamed("id", id_col)
 
 
 def _runs(values: np.ndarray) -> bytes:
@@ -452,18 +475,18 @@ def _unruns(data: bytes) -> np.ndarray:
     return np.repeat(values, lengths)
 
 
-def _removed(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found: _Candidates, least: np.ndarray) -> np.ndarray:
+def _removed(size: int, ids: np.ndarray, taken: dict[str, np.ndarray], least: np.ndarray) -> np.ndarray:
     """Which bytes of a block are in a window that a smaller document has."""
-    count = (found.last - found.first + 1).astype(np.int64)
-    begin = np.cumsum(found.windows) - found.windows
+    count, windows = taken["last"] - taken["first"] + 1, taken["lengths"] - LENGTH + 1
+    begin = np.cumsum(windows) - windows
     inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    smallest = least[np.repeat(begin[found.number], count) + inner] if len(count) else np.empty(0, np.int64)
-    place = np.repeat(found.first, count) + inner
-    place = place[smallest < np.repeat(ids[found.rows], count)]
-    change = np.zeros(len(data) + 1, np.int32)
+    smallest = least[np.repeat(begin[taken["number"]], count) + inner] if len(count) else np.empty(0, np.int64)
+    place = np.repeat(taken["first"], count) + inner
+    place = place[smallest < np.repeat(ids[taken["rows"]], count)]
+    change = np.zeros(size + 1, np.int32)
     np.add.at(change, place, 1)
     np.add.at(change, place + LENGTH, -1)
-    return np.cumsum(change[: len(data)]) > 0
+    return np.cumsum(change[:size]) > 0
 
 
 def _spans(removed: np.ndarray) -> list[dict]:
