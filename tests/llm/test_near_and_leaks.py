@@ -131,6 +131,32 @@ def test_leaks_equal_brute_force(spark):
     assert found == want and len(want) >= 10
 
 
+def test_pass_size_changes_nothing(spark, monkeypatch):
+    """2,500 items, many of which share shingles, searched in passes of 10 to 5,000."""
+    rng = random.Random(6)
+    phrases = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(9)) for _ in range(40)]
+    texts = [" ".join([phrases[rng.randrange(40)], *(f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(4, 12))), phrases[rng.randrange(40)]]) for _ in range(2500)]
+    docs = []
+    for k in range(60):
+        words = texts[k * 37].split()
+        for _ in range(k % 4):
+            words[rng.randrange(len(words))] = "other"
+        docs.append((f"doc{k}", " ".join([*(f"v{j}" for j in range(k)), *words, "tail"])))
+    df = spark.createDataFrame(docs, "doc_id string, text string").repartition(2)
+    items = spark.createDataFrame([(f"item{k}", t) for k, t in enumerate(texts)], "item_id string, text string")
+    results = []
+    for size in (10, 1000, 5000):
+        monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", size)
+        few = items.limit(60) if size == 10 else items  # six passes of ten say enough about small ones
+        found = decontamination.find_leaks(df, few).select("row.doc_id", "leaks").collect()
+        results.append({(r.doc_id, leak.item_id, round(leak.similarity, 9), leak.start) for r in found for leak in r.leaks})
+        if size == 10:
+            monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", 5000)
+            whole = decontamination.find_leaks(df, few).select("row.doc_id", "leaks").collect()
+            assert results.pop() == {(r.doc_id, leak.item_id, round(leak.similarity, 9), leak.start) for r in whole for leak in r.leaks}
+    assert results[0] == results[1] and len(results[0]) > 10 and any(v < 1 for _, _, v, _ in results[0])
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     index = decontamination.ItemIndex(list(range(50)), [rng.integers(1, 1 << 60, 9).astype(np.uint64) for _ in range(50)])

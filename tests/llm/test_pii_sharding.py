@@ -103,6 +103,17 @@ def test_shards_are_even_whatever_the_sample(spark, draws):
     assert {r.law for r in found} == {"bytes"} and {r.grown_shard for r in found} == {None}
 
 
+def test_shards_of_text_ids(spark):
+    rows = [(f"k{k}" if k % 5 else None, "hot" if k % 3 else f"text {k}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    found = sharding.shard(df).collect()
+    assert sorted((r.doc_id or "", r["size"]) for r in found) == sorted((i or "", len(t) + 1) for i, t in rows)
+    load = [sum(r["size"] for r in found if r.shard == s) for s in range(16)]
+    assert max(load) - min(load) <= 30
+    slots = {s: sorted(r.slot for r in found if r.shard == s) for s in range(16)}
+    assert all(v == list(range(len(v))) for v in slots.values())
+
+
 def test_sharding_edge_rows(spark):
     assert sharding.shard(edge.table(spark)).count() == len(edge.ROWS)
     assert sharding.shard(edge.empty(spark)).count() == 0
