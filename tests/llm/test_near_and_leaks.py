@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,30 @@ def test_near_edge_rows(spark):
     assert order_minhash.near_duplicates(edge.empty(spark)).count() == 0
 
 
+def test_recall_on_the_test_documents(spark):
+    """All pairs of the small test table that reach the similarity, found by counting common shingles."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    label = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(rows).select("row.doc_id", "class_id").collect()}
+    held = defaultdict(list)
+    sequences = {}
+    for r in rows.collect():
+        own = sequence(r.text)
+        sequences[r.doc_id] = own
+        for h in np.unique(own).tolist():
+            held[h].append(r.doc_id)
+    counts = defaultdict(int)
+    for ids in held.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                counts[a, b] += 1
+    near = [
+        (a, b) for (a, b), n in counts.items()
+        if n >= 0.5 * max(len(np.unique(sequences[a])), len(np.unique(sequences[b]))) and order_minhash.aligned(sequences[a], sequences[b])
+    ]
+    assert len(near) > 100
+    assert sum(label[a] == label[b] for a, b in near) >= 0.98 * len(near)
+
+
 def test_components_of_a_path_and_a_star(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)]
     found = {r.node: r.label for r in order_minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}

@@ -9,8 +9,8 @@ lengths; it reaches 0.8 only inside a band around the diagonal, to which the ali
 Equal word sequences are one node of the graph. A bucket of candidates is first compared as a star:
 all members with its smallest one. In buckets whose members are not connected by that, the members
 outside the largest class meet all others, in pieces of bounded size: every two pieces meet once and
-bring their sequences along. There a pair of different classes is judged by its sketches, the
-shingles it has in common and its alignment, and only links that join two classes leave the task. So
+bring their sequences along. There a pair of different classes is judged by the shingles it has in
+common and its alignment, and only links that join two classes leave the task. So
 every pair of a bucket is either in one class already or judged, and no list of pairs is ever written.
 """
 
@@ -35,9 +35,6 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches per band, bands, and shingles per sketch. A pair of similarity 0.8 misses a sketch with
 #: a chance of about 0.37 and all bands with one of about 0.002.
 ROWS, BANDS, PICKS = 2, 13, 2
-#: Sketches that a pair must share to be aligned after the stars; a pair of similarity 0.8 shares 16
-#: of the 26 on average and fewer than these with a chance of about 0.0002.
-SHARED_SKETCHES = 8
 #: Members of a bucket in one piece, and bytes of their sequences.
 PIECE, PIECE_BYTES = 512, 16 << 20
 
@@ -258,23 +255,23 @@ def _links(pieces: np.ndarray, band: int, nodes: np.ndarray, classes: np.ndarray
     bands = banded(sketch)
     low = pieces.min()
     inside = low == pieces.max()
-    coded, links = None, []
+    labelled = labelled_by_occurrence(np.concatenate(sequences), np.repeat(np.arange(len(nodes)), sizes))
+    coded = np.unique(labelled, return_inverse=True)[1]
+    present, links = np.zeros(int(coded.max()) + 1, bool), []
     for i in np.flatnonzero(pieces == low):
         rest = np.arange(i + 1, len(nodes)) if inside else np.flatnonzero(pieces != low)
         rest = rest[classes[rest] != classes[i]]
         rest = rest[np.minimum(sizes[rest], sizes[i]) >= least * np.maximum(sizes[rest], sizes[i]) - 1e-9]
-        rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= SHARED_SKETCHES]
         rest = rest[(bands[rest] == bands[i]).argmax(axis=1) == band]
         if not len(rest):
             continue
-        if coded is None:
-            labelled = labelled_by_occurrence(np.concatenate(sequences), np.repeat(np.arange(len(nodes)), sizes))
-            coded = np.unique(labelled, return_inverse=True)[1]
-            present = np.zeros(int(coded.max()) + 1, bool)
         # An alignment never matches more shingles than the two texts have in common.
         own = coded[starts[i] : starts[i] + sizes[i]]
         present[own] = True
-        common = np.array([np.count_nonzero(present[coded[starts[j] : starts[j] + sizes[j]]]) for j in rest])
+        first, last = rest[0], rest[-1]
+        found = np.r_[0, np.cumsum(present[coded[starts[first] : starts[last] + sizes[last]]])]
+        begin = starts[rest] - starts[first]
+        common = found[begin + sizes[rest]] - found[begin]
         present[own] = False
         enough = common >= least * (sizes[i] + sizes[rest] - common) - 1e-9
         for j in rest[enough][np.argsort(-common[enough], kind="stable")]:
@@ -345,7 +342,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the smallest id of the class, ``class_size`` its rows, and ``kept`` marks the one
     row that stays (smallest id, null ids last). Texts with equal words are one text. Texts without
     words, empty and null ones among them, are in a class only with rows of the same text. Of wholly
-    equal rows one stays. An empty table gives an empty result.
+    equal rows one stays. Texts are compared whole, however long, and the rows' own columns stay inside
+    ``row``, so their names cannot clash. An empty table gives an empty result.
     """
     ship_code(docs.sparkSession)
     rows = _signatures(docs, text_col)
