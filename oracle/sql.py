@@ -301,15 +301,33 @@ def _subgroup_table() -> str:
             join (select icustay_id, cast(dense_rank() over (order by class_assignment) as integer) as class_assignment from moved) s on s.icustay_id = f.icustay_id"""
 
 
-def _kmeans_step(k: int = 6) -> str:
+def _nearest(k: int = 6) -> str:
+    """The rows with their distances ``d`` to the fixed centres."""
     distance = [
         "(" + " + ".join([f"({f} - {((i + c) % 5) / 10}) ** 2" for i, f in enumerate(FLAGS)] + [f"(age_at_admission - {20 + 12 * c}) ** 2"]) + ")"
         for c in range(k)
     ]
-    means = ", ".join(f"round(avg({f}), 6) as {f}" for f in [*FLAGS, "age_at_admission"])
-    return f"""select cast(list_position(d, list_min(d)) - 1 as integer) as cluster, count(*) as n, round(sum(list_min(d)), 6) as inertia, {means}
-      from (select *, [{", ".join(distance)}] as d from adults a join elixhauser e on e.hadm_id = a.hadm_id where age_at_admission <= 95)
-      group by 1"""
+    return f"(select *, [{', '.join(distance)}] as d from adults a join elixhauser e on e.hadm_id = a.hadm_id where age_at_admission <= 95)"
+
+
+_FEATURE_MEANS = ", ".join(f"round(avg({f}), 6) as {f}" for f in [*FLAGS, "age_at_admission"])
+
+
+def _kmeans_step() -> str:
+    return f"""select cast(list_position(d, list_min(d)) - 1 as integer) as cluster, count(*) as n, round(sum(list_min(d)), 6) as inertia, {_FEATURE_MEANS}
+      from {_nearest()} group by 1"""
+
+
+def _fixed_roc() -> str:
+    """Counts per class and whole-number score, accumulated from the highest score down."""
+    design = "[1, " + ", ".join(_LOGIT) + "]"
+    return f"""select c, e as threshold, pos, neg, sum(pos) over w as tp, sum(neg) over w as fp, lead(pos) over w as next_pos, lead(neg) over w as next_neg,
+             row_number() over w as place, sum(pos) over (partition by c) as p, sum(neg) over (partition by c) as n
+      from (select c, e, count(*) filter (where cls = c) as pos, count(*) filter (where cls <> c) as neg
+            from (select c, cls, list_sum(list_transform(range(1, len(x) + 1), lambda j: x[j] * ((c * 5 + (j - 1) * 3) % 7 - 3))) as e
+                  from (select subject_id % 7 + 1 as cls, {design} as x from (select *, age_at_admission // 10 as age from prepared)), (select unnest(range(1, 8)) as c))
+            group by c, e)
+      window w as (partition by c order by e desc)"""
 
 
 _LOGIT = ["gender", "admission_type", "age", *FLAGS[:9]]
@@ -450,6 +468,11 @@ def oracle_queries() -> dict[str, str]:
             from prepared join (select icustay_id, max(post) filter (where c = 1) as p1, max(post) filter (where c = 2) as p2,
               max(post) filter (where c = 3) as p3, arg_max(c, (post, -c)) as k from first_look group by icustay_id) using (icustay_id)""",
         "kmeans_step": _kmeans_step(),
+        "cluster_profile_fixed": f"select {_BANDS.format(a='age_at_admission')} as age_group, cast(list_position(d, list_min(d)) - 1 as integer) as cluster, {_FEATURE_MEANS} from {_nearest()} group by 1, 2",
+        "class_auc_fixed": f"""select cast(c as integer) as class_assignment, cast(sum(pos) as bigint) as positives, cast(sum(neg) as bigint) as negatives,
+              round(sum(neg * (tp - pos / 2.0)) / (sum(pos) * sum(neg)), 6) as auc from ({_fixed_roc()}) group by 1""",
+        "class_roc_fixed": f"""select cast(c as integer) as class_assignment, cast(threshold as double) as threshold, round(fp / n, 6) as fpr, round(tp / p, 6) as tpr
+            from ({_fixed_roc()}) where place = 1 or next_pos is null or next_pos <> pos or next_neg <> neg""",
         "logit_gradient": _logit_gradient(),
         "ordered_folds": _ordered_folds(),
         "csv_indexed": "select row_number() over (order by subject_id, hadm_id, icustay_id) - 1 as row_index, * from flagged",

@@ -9,6 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardstat.operators.roc import score_counts
+
 #: Name of the constant term.
 INTERCEPT = "intercept"
 
@@ -18,9 +20,41 @@ def design(features: Sequence[str]) -> Column:
     return F.array(F.lit(1.0), *[F.col(f"`{f}`").cast("double") for f in features])
 
 
+def _linear(x: Column, weights: Column) -> Column:
+    return F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
+
+
+def _targets(weights: Mapping[int, Sequence[float]]) -> Column:
+    """One entry per class with its weights."""
+    return F.array(*[
+        F.struct(F.lit(c).alias("class"), F.lit([float(v) for v in w]).alias("weights")) for c, w in sorted(weights.items())
+    ])
+
+
+def class_counts(
+    df: DataFrame, features: Sequence[str], weights: Mapping[int, Sequence[float]], class_col: str = "class_assignment"
+) -> DataFrame:
+    """Scores of every class's model at given weights, as counts per class and score.
+
+    The score is the linear predictor, which orders rows as the probability does. Returns (class,
+    threshold, pos, neg), ready for :mod:`wardstat.operators.roc`. Rows with a missing feature or class
+    are left out; equal rows are collapsed before the classes multiply them.
+    """
+    complete = df.na.drop(subset=[*features, class_col])
+    collapsed = complete.groupBy(design(features).alias("_x"), F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_w"))
+    exploded = collapsed.select("_x", "_class", "_w", F.explode(_targets(weights)).alias("_target"))
+    scored = exploded.select(
+        F.col("_target.class").alias(class_col),
+        _linear(F.col("_x"), F.col("_target.weights")).alias("score"),
+        (F.col("_class") == F.col("_target.class")).cast("int").alias("label"),
+        "_w",
+    )
+    return score_counts(scored, group=class_col, weight="_w")
+
+
 def _products(x: Column, target: Column, label: Column, weight: Column) -> Column:
     """Loss, gradient and the upper triangle of the curvature of one row, in one array."""
-    eta = F.aggregate(F.zip_with(x, target["weights"], lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
+    eta = _linear(x, target["weights"])
     y = F.when(label == target["class"], 1.0).otherwise(0.0)
 
     def parts(e: Column) -> Column:
@@ -58,10 +92,7 @@ def logit_sums(
     collapsed = complete.groupBy(design(features).alias("_x"), F.col(class_col).alias("_class"), F.col(fold_col).alias("fold")).agg(
         F.count(F.lit(1)).cast("double").alias("_w")
     )
-    targets = F.array(*[
-        F.struct(F.lit(c).alias("class"), F.lit([float(v) for v in w]).alias("weights")) for c, w in sorted(weights.items())
-    ])
-    exploded = collapsed.select("_x", "_class", "fold", "_w", F.explode(targets).alias("_target"))
+    exploded = collapsed.select("_x", "_class", "fold", "_w", F.explode(_targets(weights)).alias("_target"))
     products = _products(F.col("_x"), F.col("_target"), F.col("_class"), F.col("_w"))
     summed = exploded.select(F.col("_target.class").alias(class_col), "fold", array_to_vector(products).alias("_v")).groupBy(
         class_col, "fold"

@@ -209,6 +209,20 @@ def _logit_gradient(t: ClinicalTables) -> DataFrame:
     return logit.logit_sums(rows, LOGIT_FEATURES, logit_weights())
 
 
+def _fixed_scores(t: ClinicalTables) -> DataFrame:
+    """Every class's rows scored by whole-number weights, so that equal scores tie exactly."""
+    weights = {c: [float((c * 5 + j * 3) % 7 - 3) for j in range(len(LOGIT_FEATURES) + 1)] for c in range(1, N_CLASSES + 1)}
+    rows = with_class(model_rows(t)).withColumn("age", F.floor(F.col("age_at_admission") / 10))
+    return materialize(logit.class_counts(rows, LOGIT_FEATURES, weights))
+
+
+def _fixed_clusters(t: ClinicalTables) -> DataFrame:
+    """Mean profile of each age group and nearest fixed centre."""
+    features = [*FLAGS, "age_at_admission"]
+    rows = cohort.flags_with_age(t).withColumn("cluster", kmeans.nearest_center(features, fixed_centers()))
+    return cluster.cluster_profile(rows.withColumn("age_group", age_bins("age_at_admission")), features)
+
+
 def _ordered_folds(t: ClinicalTables) -> DataFrame:
     rows = materialize(with_class(cohort.included_patients(t)).select(*IDS, "class_assignment"))
     folded = validation.ordered_folds(rows, "class_assignment", IDS)
@@ -423,6 +437,9 @@ def queries() -> dict[str, Query]:
         "answer_patterns": on(_answer_patterns),
         "lca_em_step": on(_em_step),
         "lca_posterior_fixed": on(_fixed_posterior),
+        "class_auc_fixed": on(lambda t: roc.auc_score(_fixed_scores(t), "class_assignment")),
+        "class_roc_fixed": on(lambda t: roc.roc_points(_fixed_scores(t), "class_assignment", prune=True)),
+        "cluster_profile_fixed": on(_fixed_clusters),
         "kmeans_step": on(lambda t: kmeans.lloyd_step(cohort.flags_with_age(t), [*FLAGS, "age_at_admission"], fixed_centers())),
         "lca_fit": _lca_fit,
         "lca_select": _lca_select,

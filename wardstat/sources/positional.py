@@ -114,7 +114,7 @@ def write_csv_file(df: DataFrame, path: str, order: Sequence[str], index: str |
     write at any place; for stores that cannot, see :func:`write_csv_parts`.
     """
     spark = df.sparkSession
-    target = path.removeprefix("file://") if path.startswith("file:///") else path
+    target = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
     if "://" in target:
         raise ValueError("writing into one file from many tasks needs a shared file system; use write_csv_parts")
     rows, head = _laid_out(df, order, index)
