@@ -353,8 +353,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rows.groupBy("content").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("bands", "sketch", "shingles")])
     nodes = written(nodes.select("*", F.monotonically_increasing_id().alias("node")), "contents")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = buckets.join(shared.drop("members"), ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
+    # What joins back to the members is written first, so that adaptive execution can split a large bucket.
+    shared = written(buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "shared-buckets")
+    members = buckets.join(shared, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
     members = written(members, "buckets")
     chosen = members.select("node").distinct().join(nodes.select("node", "content", "best"), "node")
     where = chosen.select("node", F.col("best.part").alias("part"), F.col("best.slot").alias("slot"))
@@ -362,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.select(F.col("row").getField(text_col).alias("text"), "part", "slot").join(where, ["part", "slot"]).select("node", "text")
     )
 
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"))
+    centres = written(members.groupBy("bucket").agg(F.min("node").alias("centre")), "centres")
     stars = members.join(centres, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tried = written(_verified(stars, texts, similarity), "alignments").where("similarity > 0").select("a", "b")
     labels = written(components(tried), "labels")
