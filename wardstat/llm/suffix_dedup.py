@@ -208,10 +208,15 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
                 number += 1
 
-    spark = docs.sparkSession
-    name = f"text_blocks_{uuid.uuid4().hex}"
-    blocks = taken.mapInArrow(work, "block long, ids binary, offsets binary, data binary")
-    blocks.write.bucketBy(partitions_for(docs), "block").option("compression", "zstd").option("path", scratch_path(spark, "text-blocks")).saveAsTable(name)
+    return _bucketed(taken.mapInArrow(work, "block long, ids binary, offsets binary, data binary"), "text_blocks")
+
+
+def _bucketed(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` in buckets of block numbers: tables so written join by block without an exchange."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(partitions_for(df), "block").option("compression", "zstd")
+    writer.option("path", scratch_path(spark, label.replace("_", "-"))).saveAsTable(name)
     return spark.table(name)
 
 
@@ -395,9 +400,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Found once; what is sent and what is cut in the end both read it.
     names = ["first", "last", "rows", "number", "keys", "before", "owner", "leads", "lengths"]
-    found = written(
-        blocks.join(shared, "block", "left").mapInArrow(find, "block long, " + ", ".join(f"`{n}` binary" for n in names)), "stretches"
-    )
+    schema = "block long, " + ", ".join(f"`{n}` binary" for n in names)
+    found = _bucketed(blocks.join(shared, "block", "left").mapInArrow(find, schema), "stretches")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
