@@ -75,6 +75,21 @@ def test_blind_trie_orders_and_groups():
     assert all(len({texts[k] for k in m}) == 1 for m in leaves) and sum(map(len, leaves)) == 300
 
 
+def test_multikey_quicksort_within_groups():
+    rng = np.random.default_rng(12)
+    text = rng.integers(97, 99, 3000).astype(np.uint8)
+    places = rng.integers(0, 2900, 900)
+    body = text.tobytes()
+    for shallow in (8, 24):
+        for groups in (np.zeros(900, int), rng.integers(0, 40, 900), np.arange(900)):
+            order = np.argsort(groups, kind="stable")
+            first = np.r_[True, np.diff(groups[order]) != 0]
+            first = suffix_dedup.multikey_quicksort(text, places, order, first, shallow)
+            keys = [(int(groups[k]), body[places[k] : places[k] + shallow]) for k in order]
+            assert keys == sorted(keys) and sorted(order.tolist()) == list(range(900))
+            assert first.tolist() == [True, *(a != b for a, b in zip(keys, keys[1:]))]
+
+
 def test_window_sort_equals_plain_sort():
     rng = np.random.default_rng(3)
     text = np.concatenate([np.frombuffer(b"abcab" * 80, np.uint8), rng.integers(97, 99, 500).astype(np.uint8), np.frombuffer(b"abcab" * 80, np.uint8)])

@@ -7,10 +7,10 @@ windows that share one anchor form one stretch of text.
 1. Anchors meet by hash, and each block of documents learns which of its own occur in several
    documents. A block sends every anchor once, however often it has it.
 2. Stretches with such an anchor meet by its hash. Equal stretches are one; where several differ,
-   the suffixes that start at their windows are sorted: multikey quicksort on words of eight bytes
-   down to a shallow depth, then the groups that still agree are compared to the end, and those
-   that do not agree throughout are ordered by a blind trie. Each window learns the smallest
-   document that has it.
+   the suffixes that start at their windows are sorted, those with the anchor at the same place together:
+   multikey quicksort with characters of eight bytes down to a shallow depth, then the groups that still
+   agree are compared to the end, and those that do not agree throughout are ordered by a blind trie.
+   Each window learns the smallest document that has it.
 3. Each block removes the bytes of windows that a smaller document has.
 
 The text itself is written once, in buckets, and is never shuffled.
@@ -139,26 +139,61 @@ class BlindTrie:
                 yield node[1]
 
 
-def sort_windows(text: np.ndarray, places: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the windows at ``places``, and the class of each in that order; equal windows share one."""
-    order, group = np.arange(len(places)), np.zeros(len(places), np.int64)
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, so that numbers order as the bytes do."""
     padded = np.r_[text, np.zeros(8, np.uint8)]
-    for depth in range(0, shallow, 8):
-        # Only groups that still agree are looked at again.
-        sizes = np.bincount(group)
-        tied = sizes[group] > 1
-        if not tied.any():
-            break
-        here = places[order[tied]] + depth
-        word = np.zeros(len(here), np.uint64)
-        for k in range(8):
-            word = (word << np.uint64(8)) | padded[here + k].astype(np.uint64)
-        by = np.lexsort((word, group[tied]))
-        order[tied], word, g = order[tied][by], word[by], group[tied][by]
-        split = np.zeros(len(places), bool)
-        split[np.flatnonzero(tied)[1:]] = (word[1:] != word[:-1]) & (g[1:] == g[:-1])
-        split[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(split)
+    return np.ndarray((len(text) + 1,), ">u8", padded, strides=(1,))
+
+
+def multikey_quicksort(text: np.ndarray, places: np.ndarray, order: np.ndarray, first: np.ndarray, shallow: int) -> np.ndarray:
+    """Sort ``order`` in place within its groups by the windows' first ``shallow`` bytes; marks where groups begin.
+
+    ``first`` marks the begin of each group on entry. Eight bytes are one character. All groups take a
+    step together: each is split by the character of its middle window into those below, those equal and
+    those above; the equal ones go on with the next character, the others with the same one again, until
+    a part is a single window or agrees in all characters.
+    """
+    words, first = _words(text), first.copy()
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.r_[starts, len(order)])
+    depth = np.zeros(len(starts), np.int64)
+    while True:
+        more = (sizes > 1) & (depth < shallow)
+        starts, sizes, depth = starts[more], sizes[more], depth[more]
+        if not len(starts):
+            return first
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(owner)) + (starts - begin)[owner]
+        own = order[at]
+        word = words[places[own] + depth[owner]].astype(np.uint64)
+        pivot = word[begin + sizes // 2][owner]
+        side = (word >= pivot).view(np.int8) + (word > pivot).view(np.int8)
+        # Only groups with more than one part move.
+        parts = np.add.reduceat((np.diff(side, prepend=side[0]) != 0) & (np.diff(owner, prepend=owner[0]) == 0), begin)
+        move = np.flatnonzero(parts[owner] > 0)
+        if len(move):
+            by = move[np.argsort(owner[move] * 3 + side[move], kind="stable")]
+            order[at[move]], side[move] = own[by], side[by]
+        new = np.flatnonzero(np.r_[True, (side[1:] != side[:-1]) | (owner[1:] != owner[:-1])])
+        first[at[new]] = True
+        starts, sizes = at[new], np.diff(np.r_[new, len(side)])
+        depth = depth[owner[new]] + 8 * (side[new] == 1)
+
+
+def sort_windows(text: np.ndarray, places: np.ndarray, groups: np.ndarray | None = None, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the windows at ``places``, and the class of each in that order; equal windows share one.
+
+    ``groups`` numbers windows so that equal ones have the same number; windows are ordered by it first.
+    """
+    order, first = np.arange(len(places)), np.zeros(len(places), bool)
+    first[:1] = True
+    if groups is not None:
+        order = np.argsort(groups, kind="stable")
+        ranked = groups[order]
+        first[1:] = ranked[1:] != ranked[:-1]
+    first = multikey_quicksort(text, places, order, first, shallow)
+    group = np.cumsum(first) - 1
     # Deep: groups that agree to the end stay; the others are ordered by a trie each.
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(group)])
@@ -307,7 +342,10 @@ def smallest_owners(keys: np.ndarray, before: np.ndarray, owner: np.ndarray, tex
         inner = np.arange(int(count[several].sum())) - np.repeat(np.cumsum(count[several]) - count[several], count[several])
         places = np.repeat(begin, count[several]) + inner
         target = np.repeat(cuts[several], count[several]) + inner
-        order, group = sort_windows(text, places)
+        # Equal windows have their anchor at the same place.
+        spot = before[chosen[several]].astype(np.int64)
+        groups = np.repeat(kind[several] * LENGTH + spot, count[several]) - inner
+        order, group = sort_windows(text, places, groups)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         best = np.minimum.reduceat(answer[target[order]], starts)
         answer[target[order]] = np.repeat(best, np.diff(np.r_[starts, len(group)]))
