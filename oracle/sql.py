@@ -292,6 +292,25 @@ _CHAIN = f"""{_EM}, {_expectation('second_look', 'step')}, modal as (
   from second_look join frequent using (c) group by icustay_id)"""
 
 
+# Models of two to four classes by the same rule: densities, parameters and criteria.
+_CRITERIA = f"""wide as (
+  select c, variable, level, w / sum(w) over (partition by c, variable) as prob
+  from (select c, variable, level, 1 + (c * 7 + list_position([{_MANIFEST_LIST}], variable) * 3 + code * 5) % 11 as w
+        from levels, (select unnest([1, 2, 3, 4]) as c))
+), joint as materialized (
+  select icustay_id, c, sum(ln(prob)) as j from answers join wide using (variable, level) group by icustay_id, c
+), judged as (
+  select k, count(*) as n, sum(density) as ll from (
+    select k, icustay_id, any_value(top) + ln(sum(exp(s - top))) as density from (
+      select *, max(s) over (partition by k, icustay_id) as top from (
+        select k, icustay_id, j + ln(c / (k * (k + 1) / 2.0)) as s from joint, (select unnest([2, 3, 4]) as k) where c <= k))
+    group by k, icustay_id) group by k
+), criteria as (
+  select *, -2 * ll + 2 * p as aic, -2 * ll + ln(n) * p as bic
+  from judged, (select k as pk, k * (select sum(m - 1) from (select count(*) as m from levels group by variable)) + k - 1 as p from judged) where pk = k
+)"""
+
+
 def _subgroup_table() -> str:
     return f"""select f.*, s.class_assignment, count_morbidity,
               round(100.0 * count(*) over (partition by m.class_assignment, count_morbidity) / count(*) over (partition by m.class_assignment), 6) as percent
@@ -467,6 +486,9 @@ def oracle_queries() -> dict[str, str]:
         "lca_posterior_fixed": """select subject_id, hadm_id, icustay_id, round(p1, 6) as p1, round(p2, 6) as p2, round(p3, 6) as p3, cast(k as integer) as class_assignment
             from prepared join (select icustay_id, max(post) filter (where c = 1) as p1, max(post) filter (where c = 2) as p2,
               max(post) filter (where c = 3) as p3, arg_max(c, (post, -c)) as k from first_look group by icustay_id) using (icustay_id)""",
+        "lca_criteria_fixed": """select cast(k as integer) as n_classes, cast(p as integer) as n_parameters, n as n_rows, round(ll, 6) as log_likelihood, round(aic, 6) as aic,
+              round(bic, 6) as bic, round(aic + bic, 6) as aic_plus_bic, aic = min(aic) over () as best_aic, bic = min(bic) over () as best_bic,
+              aic + bic = min(aic + bic) over () as best_combined from criteria""",
         "kmeans_step": _kmeans_step(),
         "cluster_profile_fixed": f"select {_BANDS.format(a='age_at_admission')} as age_group, cast(list_position(d, list_min(d)) - 1 as integer) as cluster, {_FEATURE_MEANS} from {_nearest()} group by 1, 2",
         "class_auc_fixed": f"""select cast(c as integer) as class_assignment, cast(sum(pos) as bigint) as positives, cast(sum(neg) as bigint) as negatives,
@@ -523,6 +545,7 @@ def oracle_queries() -> dict[str, str]:
         "subgroup_table": chosen,
         "posterior_aligned": chosen,
         "lca_em_step": f", {_EM}",
+        "lca_criteria_fixed": f", {_PARAMS}, {_CRITERIA}",
         "lca_posterior_fixed": f", {_PARAMS}, {_expectation('first_look', 'params')}",
         "model_subgroups": f", {_CHAIN}",
         "model_outcomes": f", {_CHAIN}",

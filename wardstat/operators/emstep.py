@@ -115,3 +115,9 @@ def lca_em_step(df: DataFrame, params: DataFrame, patterns: DataFrame | None = N
     if patterns is None:
         patterns = weighted_patterns(df, variables)
     return maximisation(patterns, expectation(patterns, params, classes), params, classes)
+
+
+def log_likelihood(patterns: DataFrame, params: DataFrame, classes: int) -> DataFrame:
+    """One row (log_likelihood, n_rows) of the rows that a parameter table can score."""
+    weighed = patterns.select("id", "w").join(expectation(patterns, params, classes).select("id", "log_density"), "id")
+    return weighed.agg(F.sum(F.col("w") * F.col("log_density")).alias("log_likelihood"), F.sum("w").cast("bigint").alias("n_rows"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from wardstat.operators.emstep import TINY, answer_patterns
+from wardstat.operators.emstep import TINY, answer_patterns, log_likelihood, weighted_patterns
 from wardstat.operators.factors import level_code, level_dictionary
 from wardstat.operators.passes import column, matrix, summed_arrays
 from wardstat.session import materialize
@@ -400,3 +400,14 @@ def lca_select(
         return Selection(fit_patterns(patterns, class_range, **options))
     finally:
         patterns.release()
+
+
+def compare_parameters(df: DataFrame, tables: Sequence[DataFrame]) -> Selection:
+    """Models from parameter tables over the same variables, judged on the complete rows of ``df``."""
+    models = [LatentClassModel.from_parameters(t) for t in tables]
+    patterns = weighted_patterns(df, models[0].coding.variables)
+    judged = []
+    for model, table in zip(models, tables):
+        level, n_rows = log_likelihood(patterns, table, model.n_classes).first()
+        judged.append(replace(model, log_likelihood=level if level is not None else float("nan"), n_rows=n_rows or 0))
+    return Selection(judged)

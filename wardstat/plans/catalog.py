@@ -148,14 +148,14 @@ def _cluster_profile(t: ClinicalTables) -> DataFrame:
     return cluster.cluster_profile(clustered, [*FLAGS, "age_at_admission"])
 
 
-def fixed_parameters(rows: DataFrame) -> DataFrame:
+def fixed_parameters(rows: DataFrame, classes: int = TABLE_CLASSES) -> DataFrame:
     """A parameter table over the levels of ``rows``, with class probabilities by a plain rule."""
     levels = factors.factor_levels(rows, latent.MANIFEST)
     place = F.array_position(F.lit(latent.MANIFEST), F.col("variable"))
     weight = (1 + (F.col("class") * 7 + place * 3 + F.col("code") * 5) % 11).cast("double")
-    spread = levels.withColumn("class", F.explode(F.sequence(F.lit(1), F.lit(TABLE_CLASSES)))).withColumn("_weight", weight)
+    spread = levels.withColumn("class", F.explode(F.sequence(F.lit(1), F.lit(classes)))).withColumn("_weight", weight)
     prob = F.col("_weight") / F.sum("_weight").over(Window.partitionBy("variable", "class"))
-    share = F.col("class") / F.lit(float(sum(range(1, TABLE_CLASSES + 1))))
+    share = F.col("class") / F.lit(float(sum(range(1, classes + 1))))
     return spread.select("class", share.alias("share"), "variable", "level", prob.alias("prob"))
 
 
@@ -164,6 +164,13 @@ def _em_step(t: ClinicalTables) -> DataFrame:
     return emstep.lca_em_step(rows, materialize(fixed_parameters(rows)))
 
 
+def _fixed_criteria(t: ClinicalTables) -> DataFrame:
+    """Models of two to four classes by a plain rule, compared by their criteria."""
+    rows = materialize(model_rows(t).select(*latent.MANIFEST))
+    tables = [materialize(fixed_parameters(rows, k)) for k in (2, 3, 4)]
+    return latent.compare_parameters(rows, tables).metrics(rows.sparkSession)
+
+
 def _fixed_posterior(t: ClinicalTables) -> DataFrame:
     rows = materialize(model_rows(t))
     model = latent.LatentClassModel.from_parameters(fixed_parameters(rows))
@@ -436,6 +443,7 @@ def queries() -> dict[str, Query]:
         # models
         "answer_patterns": on(_answer_patterns),
         "lca_em_step": on(_em_step),
+        "lca_criteria_fixed": on(_fixed_criteria),
         "lca_posterior_fixed": on(_fixed_posterior),
         "class_auc_fixed": on(lambda t: roc.auc_score(_fixed_scores(t), "class_assignment")),
         "class_roc_fixed": on(lambda t: roc.roc_points(_fixed_scores(t), "class_assignment", prune=True)),
