@@ -130,6 +130,19 @@ def test_posterior_is_expressions_only(spark, answers):
     assert [r.class_assignment for r in again.orderBy("id").collect()] == [r.class_assignment for r in sorted(rows, key=lambda r: r.id)]
 
 
+def test_criteria_of_stored_parameters(spark, answers):
+    """Tables of fitted models get the likelihood and the criteria that the fits report."""
+    fits = [latent.lca_fit(answers, k, VARIABLES, n_rep=1, max_iter=60, accelerate=False, tol=0) for k in (2, 3)]
+    found = latent.compare_parameters(answers, [m.parameters(spark) for m in fits])
+    for model, fit in zip(found.models, fits):
+        # The fit reports the likelihood before its last update, which can only raise it.
+        assert model.n_rows == fit.n_rows == 3000 and model.n_classes == fit.n_classes
+        assert fit.log_likelihood - 1e-6 <= model.log_likelihood < fit.log_likelihood + 5
+    assert found.best_bic.n_classes == 2
+    rows = found.metrics(spark).collect()
+    assert [r.n_parameters for r in rows] == [2 * 4 + 1, 3 * 4 + 2]
+
+
 def test_classes_of_a_fit_reach_outcomes(spark):
     """The chain on classes that the model itself found, to the areas of its classes."""
     t = star_tables(spark, "/root/testdata/sf0.001")
