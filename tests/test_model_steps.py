@@ -337,3 +337,52 @@ def test_fixed_tables_are_probabilities(spark):
     rows = catalog.model_rows(star_tables(spark, "/root/testdata/sf0.001"))
     sums = catalog.fixed_parameters(rows).groupBy("class", "variable").agg(F.sum("prob").alias("p"), F.max("share").alias("s")).collect()
     assert all(r.p == pytest.approx(1.0) for r in sums) and len(sums) == 3 * 33
+
+
+def _wide_answers(spark, rows: int = 9000):
+    """Rows with nearly as many answer patterns, one variable of them wide, one of text."""
+    drawn = np.random.default_rng(11).integers(0, 2, (rows, 14))
+    data = [(i % 37, "ab"[i % 2], *map(int, row)) for i, row in enumerate(drawn)]
+    names = ["age", "kind", *[f"v{j}" for j in range(14)]]
+    return spark.createDataFrame(data, f"age int, kind string, {', '.join(f'{n} int' for n in names[2:])}"), names
+
+
+def test_a_pass_over_the_patterns_is_one_stage_over_several_tasks(spark):
+    df, names = _wide_answers(spark)
+    patterns = latent.Patterns(df, names)
+    start = latent._random_start(patterns.coding, 3, np.random.default_rng(1))
+    latent._em_pass(patterns, {0: (start.shares, start.probs)})
+    spark.sparkContext.setJobGroup("one-pass", "one pass")
+    try:
+        latent._em_pass(patterns, {0: (start.shares, start.probs)})
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup("one-pass")
+    stages = [tracker.getStageInfo(s) for job in jobs for s in tracker.getJobInfo(job).stageIds]
+    patterns.release()
+    ran = [s.numTasks for s in stages if s is not None and s.numCompletedTasks]
+    assert patterns.partitions > 1 and len(jobs) == 1 and ran == [patterns.partitions]
+
+
+@pytest.mark.parametrize("direct", [64, 1])
+def test_a_pass_sums_what_the_formula_says(spark, monkeypatch, direct):
+    monkeypatch.setattr(latent, "BLOCK", 500)  # several blocks in a task
+    monkeypatch.setattr(latent, "DIRECT_TASKS", direct)
+    df, names = _wide_answers(spark)
+    patterns = latent.Patterns(df.union(df.limit(100)), names)
+    starts, rng = patterns.coding.starts, np.random.default_rng(2)
+    points = {k: latent._random_start(patterns.coding, classes, rng) for k, classes in enumerate((1, 2, 4))}
+    found = latent._em_pass(patterns, {k: (p.shares, p.probs) for k, p in points.items()})
+    patterns.release()
+    rows = [*df.collect(), *df.limit(100).collect()]
+    codes = np.array([[lv.index(row[v]) for v, lv in zip(names, patterns.coding.levels)] for row in rows])
+    hot = latent._one_hot(codes, starts)
+    assert patterns.n_rows == len(rows)
+    for k, point in points.items():
+        joint = np.exp(hot @ np.log(point.probs) + np.log(point.shares))
+        post = joint / joint.sum(axis=1, keepdims=True)
+        level, shares, probs = found[k]
+        assert np.isclose(level, np.log(joint.sum(axis=1)).sum(), rtol=1e-12)
+        assert np.allclose(shares, post.mean(axis=0), rtol=1e-11)
+        assert np.allclose(probs, hot.T @ post / post.sum(axis=0), rtol=1e-11)

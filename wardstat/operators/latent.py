@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from wardstat.operators.emstep import TINY, answer_patterns, log_likelihood, weighted_patterns
 from wardstat.operators.factors import level_code, level_dictionary
-from wardstat.operators.passes import column, matrix, summed_arrays
-from wardstat.session import materialize
+from wardstat.operators.passes import column, matrix
+from wardstat.session import materialize, ship_code
 from wardstat.sources.tables import FLAGS
 
 # The variables of the class model besides the flags.
@@ -22,6 +22,11 @@ DEMOGRAPHICS = ["admission_type", "gender", "age_at_admission"]
 
 MANIFEST = DEMOGRAPHICS + FLAGS
 
+# Patterns that one array step works on, so that its arrays stay in the processor's cache, and the most in one task.
+BLOCK, TASK_ROWS = 4096, 1 << 20
+# Up to so many tasks send their sums straight to the driver; more are added up on the executors first.
+DIRECT_TASKS = 64
+
 
 @dataclass(frozen=True)
 class Coding:
@@ -163,22 +168,70 @@ class Patterns:
     """The distinct response patterns of a table with their frequencies, ready for many passes.
 
     Rows with equal answers are one weighted pattern, so a pass costs as much as there are
-    different patterns. The table is checkpointed (its lineage ends there) and cached on top;
-    a lost executor re-reads its part from the checkpoint.
+    different patterns. The table is checkpointed (its lineage ends there). Its patterns are dealt
+    over the cores and kept as blocks of arrays, so that a pass is one job without an exchange; a
+    lost executor builds its blocks again from the checkpoint.
     """
 
     def __init__(self, df: DataFrame, variables: Sequence[str]):
         raw = materialize(answer_patterns(df, variables, "_w"))
-        self.coding = _coding(raw, list(variables))
-        coded = raw.select(self.coding.codes().alias("_codes"), F.col("_w").cast("double").alias("_w"))
-        self.rows = coded.persist(StorageLevel.MEMORY_AND_DISK)
-        self.partitions = self.rows.rdd.getNumPartitions()
-        self.n_rows = int(self.rows.agg(F.sum("_w")).first()[0] or 0)
+        found, rows = raw.agg(F.count(F.lit(1)), F.sum("_w")).first()
+        self.n_rows = int(rows or 0)
         if self.n_rows == 0:
             raise ValueError("no complete row to fit a class model to")
+        self.coding = _coding(raw, list(variables))
+        spark = raw.sparkSession
+        ship_code(spark)
+        cores = spark.sparkContext.defaultParallelism
+        self.partitions = max(min(cores, -(-found // (BLOCK // 2))), -(-found // TASK_ROWS))
+        coded = raw.select(self.coding.codes().alias("_codes"), F.col("_w").cast("double").alias("_w"))
+        self.blocks = _blocks(coded.repartition(self.partitions, "_codes"), self.coding).persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
-        self.rows.unpersist()
+        self.blocks.unpersist()
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Some patterns in the order of their answer to the variable with most levels."""
+
+    hot: np.ndarray  # (patterns, levels of the other variables), 0 or 1
+    weight: np.ndarray  # (patterns,)
+    answers: np.ndarray  # the levels of the widest variable that occur, as rows of the probabilities
+    runs: np.ndarray  # where each of them begins
+
+
+def _widest(starts: np.ndarray) -> tuple[int, np.ndarray]:
+    """The variable with most levels, and the rows of the probabilities that are not its own."""
+    widest = int(np.argmax(np.diff(starts)))
+    return widest, np.r_[0 : starts[widest], starts[widest + 1] : starts[-1]]
+
+
+def _blocks(coded: DataFrame, coding: Coding) -> RDD:
+    starts = coding.starts
+    widest, others = _widest(starts)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                packed = matrix(batch, "_codes").astype(np.int32)
+                yield pa.RecordBatch.from_pydict(
+                    {"codes": pa.array([packed.tobytes()], pa.binary()), "w": pa.array([column(batch, "_w").tobytes()], pa.binary())}
+                )
+
+    def blocks(rows: Iterator) -> Iterator[_Block]:
+        for row in rows:
+            codes = np.frombuffer(row.codes, np.int32).reshape(-1, len(starts) - 1)
+            weight = np.frombuffer(row.w, np.float64)
+            order = np.lexsort([*codes.T, codes[:, widest]])
+            for first in range(0, len(order), BLOCK):
+                part = order[first : first + BLOCK]
+                answer = codes[part, widest]
+                runs = np.flatnonzero(np.r_[True, answer[1:] != answer[:-1]])
+                hot = _one_hot(codes[part], starts)[:, others].astype(np.uint8)
+                yield _Block(hot, weight[part], answer[runs] + starts[widest], runs)
+
+    return coded.mapInArrow(task, "codes binary, w binary").rdd.mapPartitions(blocks)
 
 
 def _coding(raw: DataFrame, variables: list[str]) -> Coding:
@@ -220,15 +273,23 @@ def _em_pass(patterns: Patterns, params: dict[int, tuple]) -> dict[int, tuple]:
     log_shares = np.concatenate([_logs(shares) for shares, _ in params.values()])
     cuts = np.cumsum(widths)[:-1]
 
-    def work(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
-        hot = _one_hot(matrix(batch, "_codes"), starts)
-        weight = column(batch, "_w")
-        found = [_posterior(joint) for joint in np.split(hot @ log_probs + log_shares, cuts, axis=1)]
-        levels = [weight @ marginal for _, marginal in found]
-        counts = hot.T @ (np.concatenate([post for post, _ in found], axis=1) * weight[:, None])
-        return {0: np.concatenate([levels, counts.ravel()])}
-
-    summed = summed_arrays(patterns.rows, patterns.partitions, work)[0]
+    widest, others = _widest(starts)
+
+    def work(blocks: Iterator[_Block]) -> Iterator[np.ndarray]:
+        levels, counts = np.zeros(len(widths)), np.zeros(log_probs.shape)
+        for block in blocks:
+            hot = block.hot.astype(np.float64)
+            joint = hot @ log_probs[others]
+            joint += np.repeat(log_probs[block.answers] + log_shares, np.diff(np.r_[block.runs, len(joint)]), axis=0)
+            found = [_posterior(part) for part in np.split(joint, cuts, axis=1)]
+            levels += [block.weight @ marginal for _, marginal in found]
+            weighed = np.concatenate([post for post, _ in found], axis=1) * block.weight[:, None]
+            counts[others] += hot.T @ weighed
+            counts[block.answers] += np.add.reduceat(weighed, block.runs, axis=0)
+        yield np.concatenate([levels, counts.ravel()])
+
+    sums = patterns.blocks.mapPartitions(work)
+    summed = sums.reduce(np.add) if patterns.partitions <= DIRECT_TASKS else sums.treeReduce(np.add)
     counted = np.split(summed[len(params) :].reshape(starts[-1], -1), cuts, axis=1)
     updated = {}
     for level, counts, (i, (shares, probs)) in zip(summed, counted, params.items()):
