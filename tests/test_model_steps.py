@@ -386,3 +386,57 @@ def test_a_pass_sums_what_the_formula_says(spark, monkeypatch, direct):
         assert np.isclose(level, np.log(joint.sum(axis=1)).sum(), rtol=1e-12)
         assert np.allclose(shares, post.mean(axis=0), rtol=1e-11)
         assert np.allclose(probs, hot.T @ post / post.sum(axis=0), rtol=1e-11)
+
+
+def test_a_fit_is_one_job_however_many_steps_it_takes(spark):
+    df, names = _wide_answers(spark, 800)
+    patterns = latent.Patterns(df, names)
+    spark.sparkContext.setJobGroup("one-fit", "one fit")
+    try:
+        models = latent.fit_patterns(patterns, [2, 3], max_iter=40, tol=0, n_rep=2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for job in tracker.getJobIdsForGroup("one-fit") for s in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(s)]
+    assert [m.iterations for m in models] == [40, 40]
+    # Besides the job that sends the patterns (their stages), one job with a task for each start.
+    assert len(tracker.getJobIdsForGroup("one-fit")) == 2 and 4 in tasks
+
+
+@pytest.mark.parametrize("accelerate", [True, False])
+def test_starts_climb_alike_apart_and_together(spark, accelerate):
+    df, names = _wide_answers(spark, 3000)
+    patterns = latent.Patterns(df.union(df.limit(500)), names)
+    apart = latent.fit_patterns(patterns, [1, 3], max_iter=50, n_rep=2, accelerate=accelerate)
+    assert patterns.in_one_task and patterns.partitions > 1
+    patterns.in_one_task = False  # as with more patterns than one task takes
+    together = latent.fit_patterns(patterns, [1, 3], max_iter=50, n_rep=2, accelerate=accelerate)
+    patterns.release()
+    for a, b in zip(apart, together):
+        assert (a.iterations, a.converged, a.n_rows) == (b.iterations, b.converged, b.n_rows)
+        assert np.isclose(a.log_likelihood, b.log_likelihood, rtol=1e-11)
+        assert np.allclose(a.shares, b.shares, rtol=1e-6) and np.allclose(a.probs, b.probs, atol=1e-7)
+
+
+@pytest.mark.parametrize("most", [4, 2048])
+def test_sums_of_patterns_that_no_class_makes_likely(monkeypatch, most):
+    monkeypatch.setattr(latent, "LEAST_ANSWERS", most)
+    rng = np.random.default_rng(6)
+    starts = np.cumsum([0, 5, *[2] * 12])
+    codes = np.column_stack([rng.integers(0, 5, 700), rng.integers(0, 2, (700, 12))]).astype(np.uint8)
+    weight = rng.integers(1, 9, 700).astype(float)
+    # Each class rules out one of two answers of half of the variables: nearly all patterns are impossible for both.
+    probs = np.zeros((starts[-1], 2))
+    probs[:5] = 0.2
+    for j in range(12):
+        probs[starts[j + 1] + np.array([0, 1])] = 0.5
+        probs[starts[j + 1] + np.array([0, 1]), j % 2] = (0.0, 1.0)
+    shares = np.array([0.3, 0.7])
+    level, counts = latent._Part(codes, weight, starts, 300).sums(shares, probs)
+    hot = latent._one_hot(codes, starts)
+    joint = hot @ np.log(np.maximum(probs, emstep.TINY)) + np.log(shares)
+    top = joint.max(axis=1, keepdims=True)
+    post = np.exp(joint - top)
+    mass = post.sum(axis=1, keepdims=True)
+    assert np.isclose(level, weight @ (np.log(mass) + top)[:, 0], rtol=1e-12)
+    assert np.allclose(counts, hot.T @ (post / mass * weight[:, None]), rtol=1e-10, atol=1e-200)

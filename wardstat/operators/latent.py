@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +22,16 @@ DEMOGRAPHICS = ["admission_type", "gender", "age_at_admission"]
 
 MANIFEST = DEMOGRAPHICS + FLAGS
 
-# Patterns that one array step works on, so that its arrays stay in the processor's cache, and the most in one task.
-BLOCK, TASK_ROWS = 4096, 1 << 20
+# Patterns that one array step works on, so that its arrays stay in the processor's cache.
+BLOCK = 1 << 14
+# Fewer patterns than this are not worth a task of their own in a pass, and more are never put in one task.
+LEAST_ROWS, TASK_ROWS = 2048, 1 << 20
 # Up to so many tasks send their sums straight to the driver; more are added up on the executors first.
 DIRECT_TASKS = 64
+# Variables are looked up together while they have at most so many different answers.
+LEAST_ANSWERS, MOST_ANSWERS = 256, 2048
+# Densities below this are summed as logarithms.
+FAINT = 1e-250
 
 
 @dataclass(frozen=True)
@@ -168,9 +174,10 @@ class Patterns:
     """The distinct response patterns of a table with their frequencies, ready for many passes.
 
     Rows with equal answers are one weighted pattern, so a pass costs as much as there are
-    different patterns. The table is checkpointed (its lineage ends there). Its patterns are dealt
-    over the cores and kept as blocks of arrays, so that a pass is one job without an exchange; a
-    lost executor builds its blocks again from the checkpoint.
+    different patterns. The table is checkpointed (its lineage ends there). Patterns that one task
+    can take are sent whole to the tasks of a fit, a task for each start. For single passes, and where
+    there are more, they are dealt over the cores and kept as arrays, so that a pass is one job without
+    an exchange; a lost executor builds its arrays again from the checkpoint.
     """
 
     def __init__(self, df: DataFrame, variables: Sequence[str]):
@@ -180,58 +187,111 @@ class Patterns:
         if self.n_rows == 0:
             raise ValueError("no complete row to fit a class model to")
         self.coding = _coding(raw, list(variables))
-        spark = raw.sparkSession
-        ship_code(spark)
-        cores = spark.sparkContext.defaultParallelism
-        self.partitions = max(min(cores, -(-found // (BLOCK // 2))), -(-found // TASK_ROWS))
+        self.spark = raw.sparkSession
+        ship_code(self.spark)
+        cores = self.spark.sparkContext.defaultParallelism
+        self.in_one_task = found <= TASK_ROWS
+        self.partitions = max(min(cores, -(-found // LEAST_ROWS)), -(-found // TASK_ROWS))
         coded = raw.select(self.coding.codes().alias("_codes"), F.col("_w").cast("double").alias("_w"))
-        self.blocks = _blocks(coded.repartition(self.partitions, "_codes"), self.coding).persist(StorageLevel.MEMORY_AND_DISK)
+        self.packed = _packed(coded.repartition(self.partitions, "_codes"), self.coding)
+        starts, block = self.coding.starts, BLOCK
+
+        def parts(rows: Iterator) -> Iterator[_Part]:
+            taken = list(rows)
+            if taken:
+                yield _Part(*_unpacked(taken, starts), starts, block)
+
+        self.parts = self.packed.rdd.mapPartitions(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
-        self.blocks.unpersist()
+        self.parts.unpersist()
 
 
-@dataclass(frozen=True)
-class _Block:
-    """Some patterns in the order of their answer to the variable with most levels."""
+def _packed(coded: DataFrame, coding: Coding) -> DataFrame:
+    """The patterns as few rows of packed numbers: the levels in as many bytes as they need, and the weights."""
+    small = _small(coding.starts)
 
-    hot: np.ndarray  # (patterns, levels of the other variables), 0 or 1
-    weight: np.ndarray  # (patterns,)
-    answers: np.ndarray  # the levels of the widest variable that occur, as rows of the probabilities
-    runs: np.ndarray  # where each of them begins
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = {"codes": matrix(batch, "_codes").astype(small), "w": column(batch, "_w").astype(np.float64)}
+                yield pa.RecordBatch.from_pydict({name: pa.array([v.tobytes()], pa.binary()) for name, v in values.items()})
 
+    return coded.mapInArrow(task, "codes binary, w binary")
 
-def _widest(starts: np.ndarray) -> tuple[int, np.ndarray]:
-    """The variable with most levels, and the rows of the probabilities that are not its own."""
-    widest = int(np.argmax(np.diff(starts)))
-    return widest, np.r_[0 : starts[widest], starts[widest + 1] : starts[-1]]
 
+def _small(starts: np.ndarray) -> np.dtype:
+    return np.min_scalar_type(int(np.diff(starts).max(initial=1)))
 
-def _blocks(coded: DataFrame, coding: Coding) -> RDD:
-    starts = coding.starts
-    widest, others = _widest(starts)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                packed = matrix(batch, "_codes").astype(np.int32)
-                yield pa.RecordBatch.from_pydict(
-                    {"codes": pa.array([packed.tobytes()], pa.binary()), "w": pa.array([column(batch, "_w").tobytes()], pa.binary())}
-                )
-
-    def blocks(rows: Iterator) -> Iterator[_Block]:
-        for row in rows:
-            codes = np.frombuffer(row.codes, np.int32).reshape(-1, len(starts) - 1)
-            weight = np.frombuffer(row.w, np.float64)
-            order = np.lexsort([*codes.T, codes[:, widest]])
-            for first in range(0, len(order), BLOCK):
-                part = order[first : first + BLOCK]
-                answer = codes[part, widest]
-                runs = np.flatnonzero(np.r_[True, answer[1:] != answer[:-1]])
-                hot = _one_hot(codes[part], starts)[:, others].astype(np.uint8)
-                yield _Block(hot, weight[part], answer[runs] + starts[widest], runs)
-
-    return coded.mapInArrow(task, "codes binary, w binary").rdd.mapPartitions(blocks)
+def _unpacked(rows: Sequence, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels and weights of the patterns, in an order that does not depend on that of the rows."""
+    codes = np.frombuffer(b"".join(codes for codes, _ in rows), _small(starts)).reshape(-1, len(starts) - 1)
+    weight = np.frombuffer(b"".join(w for _, w in rows), np.float64)
+    order = np.lexsort([*codes.T, codes[:, np.argmax(np.diff(starts))]])
+    return codes[order], weight[order]
+
+
+class _Part:
+    """Patterns in one task, with the variables in few groups.
+
+    The different answers to the variables of a group are far fewer than the patterns, so their class
+    densities are computed once for each answer, and a pattern's density is a product of one of them
+    per group. Its posteriors are added up per answer likewise.
+    """
+
+    def __init__(self, codes: np.ndarray, weight: np.ndarray, starts: np.ndarray, block: int):
+        self.weight, self.block, self.shape = weight, block, int(starts[-1])
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # levels, answers by 0 or 1, answer of each pattern
+        most = min(max(len(weight) // 24, LEAST_ANSWERS), MOST_ANSWERS)
+        sizes = np.diff(starts)
+        members, answer, first = [], np.zeros(len(weight), np.intp), np.zeros(1, np.intp)
+
+        def close() -> None:
+            columns = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in members])
+            self.groups.append((columns, _one_hot(codes[first], starts)[:, columns], answer))
+
+        for j in np.argsort(-sizes, kind="stable").tolist():
+            own = codes[:, j].astype(np.intp)
+            _, at, together = np.unique(answer * sizes[j] + own, return_index=True, return_inverse=True)
+            if members and len(at) > most:
+                close()
+                members = []
+                _, at, together = np.unique(own, return_index=True, return_inverse=True)
+            members, answer, first = [*members, j], together, at
+        close()
+
+    def sums(self, shares: np.ndarray, probs: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log-likelihood of the parameters, and the weighted sums of the posteriors per level and class."""
+        log_probs, log_shares = _logs(probs), _logs(shares)
+        logs = [log_probs[columns].T @ hot.T for columns, hot, _ in self.groups]  # (classes, answers)
+        logs[0] += log_shares[:, None]
+        tops = [own.max(axis=0) for own in logs]
+        tables = [np.exp(own - top) for own, top in zip(logs, tops)]
+        found = [np.zeros(table.shape) for table in tables]
+        level = 0.0
+        for begin in range(0, len(self.weight), self.block):
+            answers = [answer[begin : begin + self.block] for _, _, answer in self.groups]
+            post, top = tables[0].take(answers[0], axis=1), tops[0].take(answers[0])
+            for answer, table, own in zip(answers[1:], tables[1:], tops[1:]):
+                post *= table.take(answer, axis=1)
+                top += own.take(answer)
+            mass = post.sum(axis=0)
+            faint = np.flatnonzero(mass < FAINT)  # no class is likely for all groups
+            if len(faint):
+                joint = sum(own[:, answer[faint]] for own, answer in zip(logs, answers))
+                likely, top[faint] = _posterior(joint.T)
+                post[:, faint], mass[faint] = likely.T, 1.0
+            weight = self.weight[begin : begin + self.block]
+            level += weight @ (np.log(mass) + top)
+            post *= weight / mass
+            for answer, own in zip(answers, found):
+                for total, share in zip(own, post):
+                    total += np.bincount(answer, share, len(total))
+        counts = np.empty((self.shape, len(shares)))
+        for own, (columns, hot, _) in zip(found, self.groups):
+            counts[columns] = (own @ hot).T
+        return float(level), counts
 
 
 def _coding(raw: DataFrame, variables: list[str]) -> Coding:
@@ -264,39 +324,32 @@ def _random_start(coding: Coding, n_classes: int, rng: np.random.Generator) -> _
     return _Run(np.full(n_classes, 1.0 / n_classes), np.concatenate(blocks))
 
 
+def _update(starts: np.ndarray, level: float, counts: np.ndarray, probs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood and the parameters that the sums of a pass give; a class without mass keeps its probabilities."""
+    mass = counts[starts[0] : starts[1]].sum(axis=0)  # every row answers the first variable once
+    fresh = np.where(mass > 0, counts / np.where(mass > 0, mass, 1.0), probs)
+    return float(level), mass / mass.sum(), fresh
+
+
 def _em_pass(patterns: Patterns, params: dict[int, tuple]) -> dict[int, tuple]:
     """One pass for every parameter set: its log-likelihood and its EM update."""
     starts = patterns.coding.starts
-    widths = [len(shares) for shares, _ in params.values()]
-    # All parameter sets side by side: one product with the answers serves them all.
-    log_probs = np.concatenate([_logs(probs) for _, probs in params.values()], axis=1)
-    log_shares = np.concatenate([_logs(shares) for shares, _ in params.values()])
-    cuts = np.cumsum(widths)[:-1]
-
-    widest, others = _widest(starts)
-
-    def work(blocks: Iterator[_Block]) -> Iterator[np.ndarray]:
-        levels, counts = np.zeros(len(widths)), np.zeros(log_probs.shape)
-        for block in blocks:
-            hot = block.hot.astype(np.float64)
-            joint = hot @ log_probs[others]
-            joint += np.repeat(log_probs[block.answers] + log_shares, np.diff(np.r_[block.runs, len(joint)]), axis=0)
-            found = [_posterior(part) for part in np.split(joint, cuts, axis=1)]
-            levels += [block.weight @ marginal for _, marginal in found]
-            weighed = np.concatenate([post for post, _ in found], axis=1) * block.weight[:, None]
-            counts[others] += hot.T @ weighed
-            counts[block.answers] += np.add.reduceat(weighed, block.runs, axis=0)
-        yield np.concatenate([levels, counts.ravel()])
-
-    sums = patterns.blocks.mapPartitions(work)
+    points = list(params.values())
+
+    def work(parts: Iterator[_Part]) -> Iterator[np.ndarray]:
+        total = np.zeros(sum(1 + probs.size for _, probs in points))
+        for part in parts:
+            found = [part.sums(shares, probs) for shares, probs in points]
+            total += np.concatenate([np.r_[level, counts.ravel()] for level, counts in found])
+        yield total
+
+    sums = patterns.parts.mapPartitions(work)
     summed = sums.reduce(np.add) if patterns.partitions <= DIRECT_TASKS else sums.treeReduce(np.add)
-    counted = np.split(summed[len(params) :].reshape(starts[-1], -1), cuts, axis=1)
-    updated = {}
-    for level, counts, (i, (shares, probs)) in zip(summed, counted, params.items()):
-        mass = counts[starts[0] : starts[1]].sum(axis=0)  # every row answers the first variable once
-        fresh = np.where(mass > 0, counts / np.where(mass > 0, mass, 1.0), probs)
-        updated[i] = (float(level), mass / mass.sum(), fresh)
-    return updated
+    cuts = np.cumsum([1 + probs.size for _, probs in points])[:-1]
+    return {
+        i: _update(starts, own[0], own[1:].reshape(probs.shape), probs)
+        for own, (i, (_, probs)) in zip(np.split(summed, cuts), params.items())
+    }
 
 
 def _extrapolate(p0: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
@@ -315,6 +368,73 @@ def _valid(shares: np.ndarray, probs: np.ndarray, starts: np.ndarray) -> tuple[n
     return shares / shares.sum(), probs / np.repeat(totals, np.diff(starts), axis=0)
 
 
+def _ascent(run: _Run, starts: np.ndarray, max_iter: int, tol: float, accelerate: bool) -> Generator[tuple, tuple, None]:
+    """The steps of one start: asks for the pass over a point (shares, probabilities) and is sent what it gives."""
+
+    def ask(shares: np.ndarray, probs: np.ndarray) -> Generator[tuple, tuple, tuple]:
+        run.iterations += 1
+        return (yield shares, probs)
+
+    while True:
+        first = yield from ask(run.shares, run.probs)
+        gain = first[0] - run.log_likelihood
+        run.log_likelihood = first[0]
+        if gain <= tol:
+            run.converged = True
+        if run.converged or run.iterations >= max_iter:
+            return
+        if not accelerate:
+            _, run.shares, run.probs = first
+            continue
+        second = yield from ask(*first[1:])
+        jump = _valid(
+            _extrapolate(run.shares, first[1], second[1]),
+            _extrapolate(run.probs, first[2], second[2]),
+            starts,
+        )
+        landed = yield from ask(*jump)
+        # Either way the start continues from an EM update, whose likelihood is at least as high.
+        run.log_likelihood, run.shares, run.probs = landed if landed[0] >= second[0] else second
+
+
+def _climb_apart(patterns: Patterns, runs: list[_Run], options: tuple) -> list[_Run]:
+    """Every start in a task of its own, which has all patterns: one job, however many steps they take."""
+    starts, block = patterns.coding.starts, BLOCK
+    context = patterns.spark.sparkContext
+    sent = context.broadcast([(bytes(r.codes), bytes(r.w)) for r in patterns.packed.collect()])
+
+    def climb(number: int, run: _Run) -> tuple[int, _Run]:
+        part = _Part(*_unpacked(sent.value, starts), starts, block)
+        steps = _ascent(run, starts, *options)
+        answer = None
+        while True:
+            try:
+                shares, probs = steps.send(answer)
+            except StopIteration:
+                return number, run
+            answer = _update(starts, *part.sums(shares, probs), probs)
+
+    # Starts with most classes take longest, so they begin first.
+    longest = sorted(enumerate(runs), key=lambda item: -len(item[1].shares))
+    done = dict(context.parallelize(longest, len(longest)).map(lambda item: climb(*item)).collect())
+    sent.destroy()
+    return [done[i] for i in range(len(runs))]
+
+
+def _climb_together(patterns: Patterns, runs: list[_Run], options: tuple) -> list[_Run]:
+    """All starts advance in the same passes over the patterns, so their number is that of the slowest one."""
+    ascents = {i: _ascent(run, patterns.coding.starts, *options) for i, run in enumerate(runs)}
+    points = {i: next(steps) for i, steps in ascents.items()}
+    while points:
+        answers, points = _em_pass(patterns, points), {}
+        for i, answer in answers.items():
+            try:
+                points[i] = ascents[i].send(answer)
+            except StopIteration:
+                pass
+    return runs
+
+
 def fit_patterns(
     patterns: Patterns,
     class_range: Iterable[int],
@@ -326,8 +446,8 @@ def fit_patterns(
 ) -> list[LatentClassModel]:
     """For every number of classes the best of ``n_rep`` random starts.
 
-    All starts of all models advance in the same pass over the patterns, so the number of passes
-    is that of the slowest one and not their sum.
+    Where one task can take all patterns, every start makes its steps in a task of its own. Where there
+    are more, all starts of all models advance in the same pass over the patterns. The steps are the same.
 
     A start stops when a step gains no more than ``tol``. With ``accelerate`` every two EM steps
     are followed by an extrapolated one, which is kept only if its likelihood is not lower, so
@@ -336,46 +456,8 @@ def fit_patterns(
     rng = np.random.default_rng(seed)
     sizes = list(class_range)
     runs = [_random_start(patterns.coding, k, rng) for k in sizes for _ in range(n_rep)]
-    active = list(range(len(runs)))
-    starts = patterns.coding.starts
-
-    def advance(points: dict[int, tuple]) -> dict[int, tuple]:
-        for i in points:
-            runs[i].iterations += 1
-        return _em_pass(patterns, points)
-
-    while active:
-        first = advance({i: (runs[i].shares, runs[i].probs) for i in active})
-        for i in list(active):
-            level, shares, probs = first[i]
-            gain = level - runs[i].log_likelihood
-            runs[i].log_likelihood = level
-            if gain <= tol:
-                runs[i].converged = True
-            if runs[i].converged or runs[i].iterations >= max_iter:
-                active.remove(i)
-        if not active:
-            break
-        if not accelerate:
-            for i in active:
-                _, runs[i].shares, runs[i].probs = first[i]
-            continue
-        second = advance({i: first[i][1:] for i in active})
-        jumps = {
-            i: _valid(
-                _extrapolate(runs[i].shares, first[i][1], second[i][1]),
-                _extrapolate(runs[i].probs, first[i][2], second[i][2]),
-                starts,
-            )
-            for i in active
-        }
-        landed = advance(jumps)
-        for i in active:
-            better = landed[i][0] >= second[i][0]
-            # Either way the start continues from an EM update, whose likelihood is at least as high.
-            runs[i].log_likelihood = landed[i][0] if better else second[i][0]
-            _, runs[i].shares, runs[i].probs = landed[i] if better else second[i]
-
+    climb = _climb_apart if patterns.in_one_task else _climb_together
+    runs = climb(patterns, runs, (max_iter, tol, accelerate)) if runs else runs
     return [_best_model(patterns, runs[m * n_rep : (m + 1) * n_rep]) for m in range(len(sizes))]
 
 
