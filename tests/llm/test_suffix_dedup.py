@@ -99,3 +99,41 @@ def test_window_sort_equals_plain_sort():
     windows = [body[p : p + 50] for p in places[order]]
     assert windows == sorted(windows)
     assert all((a == b) == (g == h) for a, b, g, h in zip(windows, windows[1:], group, group[1:]))
+
+
+def test_tries_that_grow_together_equal_single_ones(monkeypatch):
+    rng = np.random.default_rng(31)
+    base = rng.integers(97, 99, (150, 50))
+    windows = base[rng.integers(0, 150, 2500)].astype(np.uint8)
+    # Half of the copies differ, all behind the bytes that the quicksort looks at, in high bytes as well.
+    some = rng.permutation(2500)[:1250]
+    windows[some, rng.integers(24, 50, 1250)] = rng.integers(0, 256, 1250)
+    text, places = windows.ravel(), np.arange(2500) * 50
+    grown = []
+    plain = suffix_dedup.blind_tries
+    monkeypatch.setattr(suffix_dedup, "blind_tries", lambda texts, starts, sizes: grown.append(len(sizes)) or plain(texts, starts, sizes))
+    order, group = suffix_dedup.sort_windows(text, places)
+    assert grown and grown[0] >= suffix_dedup.TOGETHER
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 10**9)
+    alone, classes = suffix_dedup.sort_windows(text, places)
+    assert order.tolist() == alone.tolist() and group.tolist() == classes.tolist() and len(grown) == 1
+    keys = [windows[k].tobytes() for k in order]
+    assert keys == sorted(keys) and all((a == b) == (g == h) for a, b, g, h in zip(keys, keys[1:], group, group[1:]))
+
+
+def test_stretches_do_not_depend_on_the_step(monkeypatch):
+    rng = np.random.default_rng(32)
+    data = np.concatenate([rng.integers(97, 99, 4000), np.full(600, 97), rng.integers(97, 123, 4000)]).astype(np.uint8)
+    offsets = np.r_[0, np.sort(rng.integers(0, len(data), 90)), len(data)]
+    whole = suffix_dedup.stretches(data, offsets)
+    for step in (1, 37, 1000):
+        monkeypatch.setattr(suffix_dedup, "STEP_WINDOWS", step)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, suffix_dedup.stretches(data, offsets)))
+    # Every window of a row is in one stretch, led by the leftmost of the smallest hashes of its strings.
+    keys, anchor, first, last, rows = whole
+    inside = [w for a, b in zip(offsets, offsets[1:]) for w in range(a, b - suffix_dedup.LENGTH + 1)]
+    assert [w for a, b in zip(first, last) for w in range(a, b + 1)] == inside
+    with np.errstate(over="ignore"):
+        hashes, _ = suffix_dedup._leads(data)
+    span = suffix_dedup.LENGTH - suffix_dedup.KMER + 1
+    assert all(a == w + hashes[w : w + span].argmin() for a, f, t in zip(anchor, first, last) for w in (f, t))

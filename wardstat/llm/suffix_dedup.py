@@ -33,8 +33,12 @@ from wardstat.session import scratch_path, ship_code
 LENGTH, KMER = 50, 20
 #: Bytes of text in a block, and anchors or stretches that one task takes.
 BLOCK_BYTES, RANGE_ANCHORS, RANGE_STRETCHES = 3 << 20, 2_000_000, 250_000
+#: Windows whose anchors are found in one step.
+STEP_WINDOWS = 1 << 15
 #: Bytes that the multikey quicksort looks at before the rest is left to tries.
 SHALLOW = 24
+#: So many tries at least grow together.
+TOGETHER = 64
 
 _SPREAD = LENGTH - KMER + 1
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -47,15 +51,17 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, n, 1 << 64))
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, anchor place, first and last window, and row of every stretch of the rows."""
-    n = len(data)
-    none = np.empty(0, np.int64)
-    if n < LENGTH:
-        return np.empty(0, np.uint64), none, none, none, none
-    with np.errstate(over="ignore"):
-        by_size = {1: _VALUES[data]}
-        size = 1
+def _leads(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every string of ``KMER`` bytes, and for every window the place of its anchor.
+
+    In steps whose arrays stay in the processor's cache.
+    """
+    windows = len(data) - LENGTH + 1
+    hashes, place = np.empty(len(data) - KMER + 1, np.uint64), np.empty(windows, np.int32 if windows < 1 << 31 else np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    for begin in range(0, windows, STEP_WINDOWS):
+        part = data[begin : min(begin + STEP_WINDOWS, windows) + LENGTH - 1]
+        by_size, size = {1: _VALUES[part]}, 1
         while 2 * size <= KMER:
             half = by_size[size]
             by_size[2 * size] = half[:-size] * _power(size) + half[size:]
@@ -63,34 +69,48 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         hashed, have = by_size[size], size
         for rest in sorted((s for s in by_size if s < size), reverse=True):
             if have + rest <= KMER:
-                keep = n - have - rest + 1
+                keep = len(part) - have - rest + 1
                 hashed = hashed[:keep] * _power(rest) + by_size[rest][have : have + keep]
                 have += rest
-        least = mix(hashed)
-        del by_size, hashed
-    place, width = np.arange(len(least), dtype=np.int32), 1
-    own = least
-    while width < _SPREAD:
-        # The leftmost of equal hashes leads.
-        step = min(width, _SPREAD - width)
-        later = least[step:] < least[:-step]
-        least = np.where(later, least[step:], least[:-step])
-        place = np.where(later, place[step:], place[:-step])
-        width += step
-    ends = np.zeros(n + 1, np.int32)
-    begin, stop = offsets[:-1], offsets[1:]
-    np.add.at(ends, np.maximum(begin, stop - LENGTH + 1), 1)
-    np.add.at(ends, stop, -1)
-    windows = np.flatnonzero(np.cumsum(ends[:n])[: n - LENGTH + 1] == 0)
-    if not len(windows):
+        hashed = mix(hashed)
+        hashes[begin : begin + len(hashed)] = hashed
+        # Half of the hash above the place: the leftmost of equal hashes leads.
+        least, width = (hashed & ~low) | np.arange(len(hashed), dtype=np.uint64), 1
+        while width < _SPREAD:
+            step = min(width, _SPREAD - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        place[begin : begin + len(least)] = (least & low).astype(place.dtype) + begin
+    return hashes, place
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, anchor place, first and last window, and row of every stretch of the rows."""
+    n = len(data)
+    none = np.empty(0, np.int64)
+    if n < LENGTH:
         return np.empty(0, np.uint64), none, none, none, none
-    leads = place[windows].astype(np.int64)
-    new = np.flatnonzero(np.r_[True, (leads[1:] != leads[:-1]) | (windows[1:] != windows[:-1] + 1)])
-    first, last = windows[new], windows[np.r_[new[1:] - 1, len(windows) - 1]]
-    anchor = leads[new]
+    with np.errstate(over="ignore"):
+        hashes, place = _leads(data)
+    inside = np.ones(len(place), bool)
+    inside[_windows_across(offsets, len(place))] = False
+    begins, ends = inside.copy(), inside.copy()
+    changes = place[1:] != place[:-1]
+    begins[1:] &= changes | ~inside[:-1]
+    ends[:-1] &= changes | ~inside[1:]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    anchor = place[first].astype(np.int64)
     # The smallest hashes lead, so they are mixed again to spread over the ranges evenly.
-    keys = mix(own[anchor] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return keys, anchor, first, last, np.searchsorted(offsets, first, side="right") - 1
+    keys = mix(hashes[anchor] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return keys, anchor, first, last, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(first, offsets)))
+
+
+def _windows_across(offsets: np.ndarray, windows: int) -> np.ndarray:
+    """Windows that begin in one row and end in another."""
+    begin, stop = offsets[:-1], np.minimum(offsets[1:], windows)
+    first = np.maximum(begin, offsets[1:] - LENGTH + 1)
+    count = np.maximum(stop - first, 0)
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
 class BlindTrie:
@@ -197,31 +217,107 @@ def sort_windows(text: np.ndarray, places: np.ndarray, groups: np.ndarray | None
     # Deep: groups that agree to the end stay; the others are ordered by a trie each.
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(group)])
+    words, at = _words(text), np.array([*range(shallow, LENGTH - 8, 8), LENGTH - 8])  # words that overlap order as the bytes do
     differs = np.zeros(len(group), bool)
     many = np.flatnonzero(np.repeat(sizes > 1, sizes))
     leader = np.repeat(starts, sizes)
     for low in range(0, len(many), 1 << 18):
         part = many[low : low + (1 << 18)]
-        tail = np.arange(shallow, LENGTH)
-        mine, theirs = text[places[order[part]][:, None] + tail], text[places[order[leader[part]]][:, None] + tail]
-        differs[part] = (mine != theirs).any(axis=1)
-    mixed = np.unique(leader[differs])
+        mine, theirs = places[order[part]], places[order[leader[part]]]
+        for k in at.tolist():
+            differs[part] |= words[mine + k] != words[theirs + k]
     split = np.r_[False, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-    ends = dict(zip(starts.tolist(), (starts + sizes).tolist()))
-    for start in mixed.tolist():
-        stop = ends[start]
+    mixed = np.isin(starts, leader[differs])
+    starts, sizes = starts[mixed], sizes[mixed]
+    # As long as enough groups take part, their tries grow together; the rest of the groups are large.
+    together = np.sort(sizes)[-TOGETHER] if len(sizes) >= TOGETHER else 0
+    small = sizes <= together
+    if small.any():
+        count = sizes[small]
+        begin = np.cumsum(count) - count
+        spot = np.repeat(starts[small] - begin, count) + np.arange(int(count.sum()))
+        own = order[spot]
+        tails = words[places[own][:, None] + at].astype(np.uint64)
+        rank = blind_tries(tails, begin, count)
+        by = np.argsort(rank, kind="stable")
+        order[spot], rank = own[by], rank[by]
+        split[spot[1:]] |= rank[1:] != rank[:-1]
+    for start, size in zip(starts[~small].tolist(), sizes[~small].tolist()):
         trie = BlindTrie()
-        for member in order[start:stop].tolist():
-            at = places[member]
-            trie.insert(text[at + shallow : at + LENGTH].tobytes(), member)
-        at = start
+        for member in order[start : start + size].tolist():
+            begin = places[member]
+            trie.insert(text[begin + shallow : begin + LENGTH].tobytes(), member)
+        spot = start
         for members in trie.leaves():
-            order[at : at + len(members)] = members
-            split[at] = split[at] or at > start
-            at += len(members)
+            order[spot : spot + len(members)] = members
+            split[spot] = split[spot] or spot > start
+            spot += len(members)
     return order, np.cumsum(split)
 
 
+def blind_tries(texts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ranks of texts in the order of their group and, within it, of a blind trie; equal texts share a rank.
+
+    ``texts`` has a row of 64-bit words per text, and the groups are runs of rows. The tries of all groups
+    grow together: a round inserts the next text of every group. Inner nodes are like those of
+    :class:`BlindTrie`, with bits in place of bytes, so each has two children: rows as ``~row``, or nodes.
+    """
+
+    def bit(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return ((texts[rows, place >> 6] >> (63 - (place & 63)).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+    place = np.zeros(len(texts), np.int64)  # a node has the number of the row that it came with
+    children = np.zeros((len(texts), 2), np.int64)
+    below = np.zeros(len(texts), np.int64)
+    leaf = np.arange(len(texts))
+    by_size = np.argsort(-sizes, kind="stable")
+    first, left = starts[by_size], sizes[by_size]
+    root = ~first
+    for turn in range(1, int(left[0]) if len(left) else 0):
+        active = int(np.searchsorted(-left, -turn))
+        rows, node = first[:active] + turn, root[:active].copy()
+        inner = np.flatnonzero(node >= 0)
+        while len(inner):
+            at = node[inner]
+            node[inner] = children[at, bit(rows[inner], place[at])]
+            inner = inner[node[inner] >= 0]
+        differs = texts[rows] ^ texts[~node]
+        word = (differs != 0).argmax(axis=1)
+        value = differs[np.arange(active), word]
+        leaf[rows] = ~node
+        new = np.flatnonzero(value)
+        rows, word, value = rows[new], word[new], value[new]
+        high = value >> np.uint64(32)
+        # 32-bit numbers are exact as floats, whose exponent tells the highest bit.
+        split = word * 64 + np.where(high > 0, 32, 64) - np.frexp(np.where(high > 0, high, value).astype(np.float64))[1]
+        leaf[rows] = rows
+        node, above, side = root[new], np.full(len(new), -1), np.zeros(len(new), np.int64)
+        inner = np.flatnonzero((node >= 0) & (place[node] < split))
+        while len(inner):
+            at = node[inner]
+            below[at] += 1
+            above[inner], side[inner] = at, bit(rows[inner], place[at])
+            node[inner] = children[at, side[inner]]
+            inner = inner[(node[inner] >= 0) & (place[node[inner]] < split[inner])]
+        own = bit(rows, split)
+        place[rows] = split
+        children[rows, own], children[rows, 1 - own] = ~rows, node
+        below[rows] = np.where(node >= 0, below[node], 1) + 1
+        top = above < 0
+        root[new[top]] = rows[top]
+        children[above[~top], side[~top]] = rows[~top]
+    # From the roots down, every node's leaves follow those to its left.
+    rank = np.zeros(len(texts), np.int64)
+    node, before = root, first.copy()
+    while len(node):
+        ends = node < 0
+        rank[~node[ends]] = before[ends]
+        node, before = node[~ends], before[~ends]
+        low, high = children[node].T
+        node, before = np.r_[low, high], np.r_[before, before + np.where(low >= 0, below[low], 1)]
+    return rank[leaf]
+
+
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The documents in blocks of whole rows, written once in buckets of block numbers."""
     taken = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -525,10 +621,9 @@ def _removed(size: int, ids: np.ndarray, taken: dict[str, np.ndarray], least: np
     smallest = least[np.repeat(begin[taken["number"]], count) + inner] if len(count) else np.empty(0, np.int64)
     place = np.repeat(taken["first"], count) + inner
     place = place[smallest < np.repeat(ids[taken["rows"]], count)]
-    change = np.zeros(size + 1, np.int32)
-    np.add.at(change, place, 1)
-    np.add.at(change, place + LENGTH, -1)
-    return np.cumsum(change[:size]) > 0
+    begun = np.bincount(place, minlength=size + LENGTH)
+    begun[LENGTH:] -= begun[:-LENGTH].copy()
+    return np.cumsum(begun[:size]) > 0
 
 
 def _spans(removed: np.ndarray) -> list[dict]:
