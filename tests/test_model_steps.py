@@ -440,3 +440,18 @@ def test_sums_of_patterns_that_no_class_makes_likely(monkeypatch, most):
     mass = post.sum(axis=1, keepdims=True)
     assert np.isclose(level, weight @ (np.log(mass) + top)[:, 0], rtol=1e-12)
     assert np.allclose(counts, hot.T @ (post / mass * weight[:, None]), rtol=1e-10, atol=1e-200)
+
+
+def _jobs(spark, group: str, work) -> int:
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_posteriors_of_a_fit_take_no_more_jobs_for_more_steps(spark):
+    df, names = _wide_answers(spark, 500)
+    score = lambda steps: latent.lca_fit(df, 3, names, max_iter=steps, tol=0, n_rep=2).transform(df).count()
+    assert _jobs(spark, "few-posterior", lambda: score(4)) == _jobs(spark, "many-posterior", lambda: score(31))
