@@ -455,3 +455,9 @@ def test_posteriors_of_a_fit_take_no_more_jobs_for_more_steps(spark):
     df, names = _wide_answers(spark, 500)
     score = lambda steps: latent.lca_fit(df, 3, names, max_iter=steps, tol=0, n_rep=2).transform(df).count()
     assert _jobs(spark, "few-posterior", lambda: score(4)) == _jobs(spark, "many-posterior", lambda: score(31))
+
+
+def test_a_selection_takes_no_more_jobs_for_more_steps(spark):
+    df, names = _wide_answers(spark, 500)
+    select = lambda steps: latent.lca_select(df, [2, 3, 4], names, max_iter=steps, tol=0, n_rep=1)
+    assert _jobs(spark, "few-select", lambda: select(4)) == _jobs(spark, "many-select", lambda: select(31))
